@@ -23,7 +23,22 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(token_files(documents(spark, sf_dir), tokenizer_file(WORD_TOKENIZER), end_id=2)).drop("ids")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.warc import read_archives, write_archives
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer_file(BYTE_TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing": op5_packing,
+    "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -52,15 +52,17 @@ def _tokeniser(path: str, end_id: int, dtype: str, special: bool) -> Callable[[I
     return run
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", encode_special_tokens: bool = False, name: str = "ids") -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", encode_special_tokens: bool = False, name: str = "ids", ordered: bool = True) -> DataFrame:
     """Written table (part, doc_id, at, n, ids): ids of the whole text and ``end_id``, as packed integers.
 
     Parts hold ranges of (doc_id, hash of text) in ascending order; ``at`` counts the ids before the
     document within its part. A null text counts as empty; a row with a null doc_id keeps it and comes first;
-    repeated rows stay. ``dtype`` must hold every id of the vocabulary.
+    repeated rows stay. Without ``ordered`` nothing is shuffled: parts are those of the input. ``dtype`` must hold every id of the vocabulary.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
+    if not ordered:
+        return written(rows.mapInArrow(_tokeniser(path, end_id, dtype, encode_special_tokens), SCHEMA), name)
     dealt = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     return written(dealt.mapInArrow(_tokeniser(path, end_id, dtype, encode_special_tokens), SCHEMA), name)
 
