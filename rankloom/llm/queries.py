@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.common import documents
 
@@ -36,9 +37,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file(BYTE_TOKENIZER))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), words=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
