@@ -18,6 +18,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=400).drop("kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.token_huffman import read_tokens, token_files
 
@@ -45,6 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_packing": op5_packing,
     "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
