@@ -5,7 +5,8 @@ the white space after it gives the same ids whether a text is encoded whole or i
 A batch of texts is therefore one Arrow buffer cut before white space, dictionary-encoded; only
 words that this worker has not met are handed to the library, and the ids of the texts are gathered
 with numpy. Positions where it is not plain from two bytes that a printing character stands before
-the white space are not cut, so a piece may hold several words.
+the white space are not cut, so a piece may hold several words. Pieces are also cut between an ASCII letter and one of
+the marks in ``STOPS``, where these pre-tokenizers always end a token.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Marks after which no special token of a vocabulary goes on, and before which a run of letters always ends.
+STOPS = np.zeros(256, bool)
+STOPS[list(b".,;:!?")] = True
+
+
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Pieces of all texts in order, and for each text the number of pieces before it (with the total at the end).
 
@@ -34,6 +40,8 @@ def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         plain = (before > 32) & (before < 127)
         plain[1:] |= (before[1:] >= 128) & (data[:-2] == 0xC3)  # a Latin letter with an accent
         mark[1:-1] = space[1:] & plain
+        letter = ((before | 32) >= 97) & ((before | 32) <= 122)
+        mark[1:-1] |= letter & STOPS[data[1:]]
     mark[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     starts = np.flatnonzero(mark[: len(data)])
     bounds = np.append(starts, len(data)).astype(np.int64)
