@@ -169,13 +169,12 @@ def links(nodes: DataFrame, radius: int = 3, trie_rows: int = 1024) -> DataFrame
     blocks = [(k * width, width if k < count - 1 else 64 - k * width) for k in range(count)]
     value = lambda at, bits: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1))
     rows = nodes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), value(*b)) for k, b in enumerate(blocks)])).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    sizes = written(sizes, "buckets")
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    cold = rows.join(sizes.filter(F.col("n") <= trie_rows).select("bucket"), "bucket", "left_semi")
+    large = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > trie_rows), "large-buckets")
+    most = large.agg(F.max("n")).first()[0] or 0
+    cold = rows.join(large, "bucket", "left_anti") if most else rows
     tasks = cold.select(F.col("bucket").alias("task"), F.lit(0).alias("side"), "fp")
-    if most > trie_rows:
-        hot = rows.join(sizes.filter(F.col("n") > trie_rows).select("bucket"), "bucket", "left_semi")
+    if most:
+        hot = rows.join(large, "bucket", "left_semi")
         hot = hot.withColumn("key", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))  # signed order is then that of the bits
         cuts = -(-most // trie_rows)
         marks = hot.groupBy("bucket").agg(F.percentile_approx("key", [i / cuts for i in range(1, cuts)], 20 * cuts).alias("marks"))
