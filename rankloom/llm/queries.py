@@ -18,6 +18,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.secrets_scan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.suffix_dedup import remove_repeats
 
@@ -30,6 +36,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(token_files(documents(spark, sf_dir), tokenizer_file(WORD_TOKENIZER), end_id=2)).drop("ids")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.toxicity import fit, held_out, score
+
+    docs = documents(spark, sf_dir)
+    found = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.warc import read_archives, write_archives
 
@@ -51,8 +65,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
