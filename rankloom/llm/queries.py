@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import documents
+from rankloom.llm.perspectives import SQL as PERSPECTIVES_SQL
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -51,6 +52,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.perspectives import mask_string, rotated
+
+    return rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("masks", mask_string())
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.packing import pack
 
@@ -64,13 +71,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.decontamination import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_perspectives": op3_perspectives,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_perspectives": PERSPECTIVES_SQL}

@@ -71,9 +71,11 @@ class Automaton:
     ends: list[int] = field(default_factory=lambda: [0])
     moves: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])
     symbols: int = 1
+    lengths: dict[int, int] = field(default_factory=dict)
 
     def add(self, text: str) -> None:
         state = 0
+        self.lengths[len(text)] = self.lengths.get(len(text), 0) + 1
         self.visits[0] += 1
         for c in text:
             if c not in self.moves[state]:
@@ -121,8 +123,12 @@ class Automaton:
                     self.moves[a][c] = [child, n]
 
     def bits(self, text: str) -> float:
-        """log2 of the text's probability, each symbol's and the end's smoothed by one unseen time."""
-        state, total = 0, 0.0
+        """log2 of the text's probability and its length's, smoothed by half an unseen time.
+
+        States of random symbols are visited too seldom to tell how far along they are, so lengths are counted beside them.
+        """
+        seen = sum(self.lengths.values())
+        state, total = 0, math.log2((self.lengths.get(len(text), 0) + 0.5) / (seen + 0.5 * (len(self.lengths) + 1)))
         for c in text:
             move = self.moves[state].get(c)
             total += math.log2(((move[1] if move else 0) + 0.5) / (self.visits[state] + 0.5 * (self.symbols + 1)))
