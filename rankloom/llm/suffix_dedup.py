@@ -170,7 +170,7 @@ def repeated(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
 
 def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 2_000_000):
             data, bounds = ids_of(batch.column("text").cast(pa.large_binary()), np.uint8)
             h, row, first, last = anchors(data, bounds, length)
             cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
@@ -200,28 +200,40 @@ def _cut_segments(length: int):
 FOUND = "key string, first long, last long, digest binary"
 
 
-def _search_shards(length: int, most_bytes: int = 2 << 20):
+def _search_shards(length: int, most_bytes: int = 1 << 20):
     def search(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        data, bounds = ids_of(table.column("bytes").combine_chunks(), np.uint8)
         hot, first = (np.asarray(table.column(x).combine_chunks()) for x in ("hot", "first"))
+        keys = table.column("key").combine_chunks()
+        # equal segments: all their windows repeat, and one of them stands for all in the suffix array
+        coded = table.column("bytes").combine_chunks().dictionary_encode()
+        which = np.asarray(coded.indices, np.int64)
+        _, one, times = np.unique(which, return_index=True, return_counts=True)
+        data, bounds = ids_of(coded.dictionary, np.uint8)
+        whole = np.flatnonzero(times[which] > 1)
         twice, group = repeated(data, bounds, length)
-        row = np.repeat(np.arange(len(first)), np.diff(bounds))
-        place = np.arange(len(data)) - bounds[row] + first[row]
-        # runs of repeated windows
-        at = np.flatnonzero(twice)
+        segment = np.repeat(np.arange(len(one)), np.diff(bounds))
+        row = one[segment]
+        place = np.arange(len(data)) - bounds[segment] + first[row]
+        # runs of repeated windows of segments that occur once
+        at = np.flatnonzero(twice & (times[segment] == 1))
         heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))) if len(at) else at
         tails = np.append(heads[1:] - 1, len(at) - 1)[: len(heads)]
         # one digest for each distinct window of hot anchors; with its place where it is the only one here
         windows = np.flatnonzero((group >= 0) & hot[row])
-        _, one = np.unique(group[windows], return_index=True)
-        windows = windows[one]
+        _, least = np.unique(group[windows], return_index=True)
+        windows = windows[least]
         raw = memoryview(data.tobytes())
         digests = [hashlib.blake2b(raw[w : w + length], digest_size=16).digest() for w in windows.tolist()]
-        keys = table.column("key").combine_chunks()
-        key = pa.concat_arrays([keys.take(pa.array(row[at[heads]])), keys.take(pa.array(row[windows], mask=twice[windows]))])
+        known = twice[windows] | (times[segment[windows]] > 1)
+        size = np.diff(bounds)[which[whole]]
         return pa.RecordBatch.from_arrays(
-            [key, pa.array(np.concatenate([place[at[heads]], place[windows]])), pa.array(np.concatenate([place[at[tails]], place[windows]])), pa.array([None] * len(heads) + digests, pa.binary())],
+            [
+                pa.concat_arrays([keys.take(pa.array(whole)), keys.take(pa.array(row[at[heads]])), keys.take(pa.array(row[windows], mask=known))]),
+                pa.array(np.concatenate([first[whole], place[at[heads]], place[windows]])),
+                pa.array(np.concatenate([first[whole] + size - length, place[at[tails]], place[windows]])),
+                pa.array([None] * (len(whole) + len(heads)) + digests, pa.binary()),
+            ],
             ["key", "first", "last", "digest"],
         )
 
