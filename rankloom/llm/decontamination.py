@@ -51,14 +51,14 @@ def blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) * 64 + k for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23, by_row: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and item, the best window of ``threshold`` or more.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Null and empty texts have no words and match nothing. An item
     of fewer than five words matches a document of just these words. A document shorter than an item is one window.
     Of windows of equal similarity the first is returned; rows that repeat a doc_id and text give one result. At
     similarity 0.8 fingerprints differ in 9.7 bits on average with a deviation of 2.9, so ``radius`` leaves 4.6 deviations.
-    Empty tables: no rows.
+    Empty tables: no rows. With ``by_row``: (doc_id, text_hash) of the documents found, text_hash being xxhash64 of the text.
     """
     counted = lambda name: bound(word_hashes(text_or_empty()), lambda w: F.struct(F.size(w).alias(name), run_hashes(w).alias("runs")))
     items = benchmark.select("item_id", counted("n_item").alias("x")).select("item_id", "x.*")
@@ -90,5 +90,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     common = inside.join(weights, ["item_id", "run"]).groupBy(*key, "n_item").agg(F.sum(F.least("weight", "item_weight")).alias("common"))
     pair = common.alias("c").join(near.alias("n"), (F.col("c.text_hash") == F.col("n.text_hash")) & (F.col("c.item_id") == F.col("n.item_id")) & (F.col("c.start") == F.col("n.start")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id")))
     found = pair.select("c.doc_id", "c.text_hash", "c.item_id", F.col("c.start").alias("start_word"), F.col("n_item").alias("n_words"), (F.col("common") / (F.col("n_runs") + F.col("item_runs") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    if by_row:
+        return found.select("doc_id", "text_hash").distinct()
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "similarity"), F.struct("similarity", -F.col("start_word"))).alias("best"))
     return best.select("doc_id", "item_id", "best.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``, with all their columns."""
+    found = written(contaminated(docs, benchmark, threshold, radius, by_row=True), "contaminated").withColumnRenamed("doc_id", "of")
+    return docs.join(found, docs.doc_id.eqNullSafe(found["of"]) & (F.xxhash64(text_or_empty()) == found.text_hash), "left_anti")

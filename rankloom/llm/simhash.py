@@ -206,3 +206,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, trie_rows:
     of = written(of, "labelled")
     lowest = of.groupBy("label").agg(F.min("low").alias("component_id"))
     return prints.join(of.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without near copies: of each component the row with the smallest doc_id
+    stays, and every other whose runs of ``words`` words are less similar (Jaccard) than ``similarity`` to that row's.
+
+    Texts without words are copies of each other. Of rows that repeat a doc_id and text one stays; rows with a null doc_id stay.
+    """
+    found = written(near_duplicates(docs, words, radius).filter("doc_id is not null and component_id is not null"), "near-duplicates")
+    many = written(found.filter("doc_id != component_id").select("doc_id", "component_id").distinct(), "members")
+    of_groups = many.select("doc_id").unionByName(many.select(F.col("component_id").alias("doc_id"))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 2_000_000):
+            runs = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
+            bounds = np.append(0, np.cumsum([len(x) for x in runs])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(runs)))], ["doc_id", "runs"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(of_groups, "doc_id", "left_semi")
+    runs = written(texts.mapInArrow(run, "doc_id long, runs array<long>"), "runs")
+    firsts = runs.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("component_id"), F.col("runs").alias("first_runs"))
+    pairs = runs.join(many, "doc_id").join(firsts, "component_id")
+    common = F.size(F.array_intersect("runs", "first_runs"))
+    union = F.size("runs") + F.size("first_runs") - common
+    copies = written(pairs.filter((union == 0) | (common >= similarity * union)).select("doc_id").distinct(), "copies")
+    left = docs.join(copies, "doc_id", "left_anti")
+    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(left.columns))
