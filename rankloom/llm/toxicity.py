@@ -12,8 +12,9 @@ most); scores are of every word of every document.
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,7 +141,7 @@ class Field:
         return alpha[:, 1] / alpha.sum(1)
 
 
-def standing_out(texts: list[set[bytes]], toxic: np.ndarray, fewest: int = 3, times: float = 8.0) -> frozenset[bytes]:
+def standing_out(texts: Iterable[set[bytes]], toxic: np.ndarray, fewest: int = 3, times: float = 8.0) -> frozenset[bytes]:
     """Words in ``fewest`` toxic documents at least, ``times`` as often there as in others."""
     from collections import Counter
 
@@ -264,12 +265,25 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
         return None
     some = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_clean))
     # broadcast of most_toxic + most_clean ids at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.length("text") <= longest).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    toxic = rows.toxic.to_numpy()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.length("text") <= longest).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        model = fitted(pa.Table.from_batches(held).sort_by("doc_id"), counts) if held else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the bounded sample is fitted in one task, so the driver gets the model only
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found.model)) if found else None
+
+
+def fitted(rows: pa.Table, counts: dict[int, int]) -> Model | None:
+    """The model of a sample (doc_id, text, toxic); ``counts`` has all labelled rows by label."""
+    toxic = rows.column("toxic").to_numpy()
     if not (toxic == 0).any() or not (toxic == 1).any():
         return None
-    fold = np.array([zlib.crc32(b"fold%d" % i) % 5 < 3 for i in rows.doc_id])
-    texts = [t.encode("utf-8", "replace").decode() for t in rows.text]
+    fold = np.array([zlib.crc32(b"fold%d" % i) % 5 < 3 for i in rows.column("doc_id").to_pylist()])
+    texts = rows.column("text").to_pylist()
 
     def taken(pick: np.ndarray):
         coded, before, _, _, _ = words_of(pa.array([t for t, k in zip(texts, pick, strict=True) if k], pa.large_string()))
@@ -277,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
 
     words, which, before = taken(fold)
     low = [w.lower() for w in words]
-    lexicon = standing_out([{low[k] for k in which[a:b]} for a, b in zip(before[:-1], before[1:], strict=True)], toxic[fold])
+    lexicon = standing_out(({low[k] for k in which[a:b]} for a, b in zip(before[:-1], before[1:], strict=True)), toxic[fold])
     bad = np.array([w in lexicon for w in low] or [False])
     label = (bad[which] & (np.repeat(toxic[fold], np.diff(before)) == 1)).astype(np.int64)
     heads = before[:-1][np.diff(before) > 0]
