@@ -58,6 +58,12 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("masks", mask_string())
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankloom.llm.fingerprints import versions
+
+    return versions(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.llm.packing import pack
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_perspectives": op3_perspectives,
+    "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
