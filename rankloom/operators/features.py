@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,11 @@ def train_ranker(train: DataFrame, columns: list[str], trees: int = S.TREES, see
     from pyspark.ml.classification import GBTClassifier
 
     held = F.pmod(F.xxhash64("impression_id", "candidate_id", F.lit(seed)), F.lit(10)) == 0
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, stepSize=S.RATE, maxDepth=S.DEPTH, maxBins=256, seed=seed, validationIndicatorCol="_held").fit(matrix(train, columns).withColumn("_held", held))
+    data = matrix(train, columns).select("features", "label", held.alias("_held")).persist(StorageLevel.MEMORY_AND_DISK)  # every tree level reads it
+    try:
+        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, stepSize=S.RATE, maxDepth=S.DEPTH, maxBins=256, seed=seed, validationIndicatorCol="_held").fit(data)
+    finally:
+        data.unpersist()
 
 
 def scored(model, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,6 +85,7 @@ def scored(model, df: DataFrame, columns: list[str]) -> DataFrame:
 
 def staged(train: DataFrame, test: DataFrame, stages: dict[str, list[str]], trees: int) -> DataFrame:
     """(stage, metric, mean, n): a model for each stage's columns."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for name, columns in stages.items():
         one = R.summary(R.impression_metrics(scored(train_ranker(train, columns, trees), test, columns))).select(F.lit(name).alias("stage"), "metric", "mean", "n")
