@@ -116,3 +116,43 @@ def latency_report(timings: DataFrame, ms: str) -> DataFrame:
 def cost_report(report: DataFrame, price_per_hour: float = 0.05, target_qps: float = 1000.0) -> DataFrame:
     qps = F.lit(1000.0) / F.col("mean")
     return report.select(qps.alias("qps"), (F.lit(price_per_hour / 3600.0) / qps * 1000.0).alias("cost_per_1000"), F.ceil(F.lit(target_qps) / qps).alias("cores"))
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """All columns of a feature table that a model may read."""
+    return [c for c in df.columns if c not in {"impression_id", "user_id", "candidate_id", "label", "freshness_hours_raw"}]
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = S.SEED) -> DataFrame:
+    """A sampling operator: the n rows of least hash, the same on every run and however the input is split."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.1, seed: int = S.SEED) -> DataFrame:
+    """Adds ``held``: about ``share`` of each label's rows, by hash."""
+    return df.withColumn("held", F.pmod(F.xxhash64(key, label, F.lit(seed)), F.lit(1000)) < int(share * 1000))
+
+
+def serve(model, rows: DataFrame, train: DataFrame, articles: DataFrame, columns: list[str]) -> DataFrame:
+    """(impression_id, line): the given lists scored with features in serving mode, as rank lines."""
+    return R.rank_lines(scored(model, feature_table(rows, train, articles, "serving"), columns))
+
+
+def ablation_pair(train: DataFrame, test: DataFrame, trees: int = 5) -> DataFrame:
+    """(metric, n, delta): the full model's metrics less those of the three base features, paired by impression."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    full = R.impression_metrics(scored(train_ranker(train, FEATURES, trees), test, FEATURES))
+    base = R.impression_metrics(scored(train_ranker(train, BASE, trees), test, BASE))
+    both = full.alias("f").join(base.alias("b"), "impression_id")
+    names = ("auc", "mrr", "ndcg5", "ndcg10")
+    long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"f.{m}") - F.col(f"b.{m}")).alias("d")) for m in names])).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.count("d").alias("n"), F.avg("d").alias("delta"))
+
+
+def rerank_report(lists: dict[str, DataFrame]) -> DataFrame:
+    """(method, metric, mean, n) of scored lists by method, in one plan."""
+    out = None
+    for name, one in lists.items():
+        part = R.summary(R.impression_metrics(one)).select(F.lit(name).alias("method"), "metric", "mean", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -619,3 +619,158 @@ def _(spark, sf):
 def _(spark, sf):
     report = FT.cost_report(FT.latency_report(table(spark, sf, "events"), "value"))
     return report.select(r6("qps"), F.round("cost_per_1000", 9).alias("cost_per_1000"), "cores")
+
+
+# More sources, sinks, filters, joins and reports, each over the standard tables
+
+
+def roundtrip(df: DataFrame, name: str) -> DataFrame:
+    import uuid
+
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@query("sink_parquet", "SELECT p_partkey AS article_id, p_name AS text_lexical, p_brand AS category FROM part")
+def _(spark, sf):
+    return roundtrip(articles(spark, sf), "articles")
+
+
+@query("sink_rank_lines", f"WITH {SCORED} SELECT impression_id || ' [' || string_agg(CAST(place AS VARCHAR), ',' ORDER BY pos) || ']' AS value FROM rk GROUP BY impression_id")
+def _(spark, sf):
+    import uuid
+
+    path = f"{folder(spark)}/lines-{uuid.uuid4().hex}"
+    readers.write_rank_lines(R.rank_lines(tune_scored(spark, sf)), path)
+    return spark.read.text(path)
+
+
+@query("sink_json_report", f"WITH {SCORED} SELECT count(*) AS n, round(avg(mrr), 6) AS mrr FROM met")
+def _(spark, sf):
+    import uuid
+
+    path = f"{folder(spark)}/report-{uuid.uuid4().hex}"
+    readers.write_report(R.impression_metrics(tune_scored(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mrr"), 6).alias("mrr")), path)
+    return spark.read.schema("n long, mrr double").json(path)
+
+
+@query("scan_history_lengths", f"WITH {IC} SELECT user_id, max(n) AS n FROM hist GROUP BY 1")
+def _(spark, sf):
+    return roundtrip(R.click_history(parted(spark, sf)[1]).groupBy("user_id").agg(F.max("n").alias("n")), "history").select("user_id", "n")
+
+
+@query("scan_publish_times", "SELECT l_partkey AS article_id, min(l_shipdate) AS published_time FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    times = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("article_id")).agg(F.min("l_shipdate").alias("published_time"))
+    return readers.union_first_wins("article_id", times, times.withColumn("published_time", F.lit(None).cast("timestamp_ntz")))
+
+
+@query("scan_vectors", "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", F.size("vec").alias("dim"))
+
+
+@query("filter_positives", f"WITH {IC} SELECT impression_id, candidate_id FROM ic WHERE label = 1")
+def _(spark, sf):
+    return impressions(spark, sf).filter("label = 1").select("impression_id", "candidate_id")
+
+
+@query("filter_valid_impression", f"WITH {IC} SELECT impression_id, CAST(sum(label) AS BIGINT) AS positives, count(*) AS n FROM ic GROUP BY 1 HAVING sum(label) > 0 AND sum(label) < count(*)")
+def _(spark, sf):
+    return impressions(spark, sf).groupBy("impression_id").agg(F.sum("label").alias("positives"), F.count(F.lit(1)).alias("n")).filter("positives > 0 and positives < n")
+
+
+@query("carve_internal_validation", f"WITH {IC} SELECT impression_id, 'fit' AS part FROM fit GROUP BY 1 UNION ALL SELECT impression_id, 'tune' FROM tune GROUP BY 1")
+def _(spark, sf):
+    _, fit, tune = parted(spark, sf)
+    return fit.select("impression_id").distinct().withColumn("part", F.lit("fit")).unionByName(tune.select("impression_id").distinct().withColumn("part", F.lit("tune")))
+
+
+@query("union_partition_check", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+def _(spark, sf):
+    rows, fit, tune = parted(spark, sf)
+    both, whole = fit.select("impression_id", "candidate_id").unionAll(tune.select("impression_id", "candidate_id")), rows.select("impression_id", "candidate_id")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(whole.exceptAll(both), "missing").crossJoin(n(both.exceptAll(whole), "extra"))
+
+
+@query("semi_join_clicked", f"WITH {IC} SELECT p_partkey AS article_id FROM part WHERE p_partkey IN (SELECT candidate_id FROM pop)")
+def _(spark, sf):
+    pop = R.popularity(parted(spark, sf)[1]).select(F.col("candidate_id").alias("article_id"))
+    return articles(spark, sf).join(pop, "article_id", "left_semi").select("article_id")
+
+
+@query("join_popularity", f"WITH {IC} SELECT p_partkey AS article_id, coalesce(clicks, 0) AS clicks FROM part LEFT JOIN pop ON candidate_id = p_partkey")
+def _(spark, sf):
+    pop = R.popularity(parted(spark, sf)[1]).withColumnRenamed("candidate_id", "article_id")
+    return articles(spark, sf).join(pop, "article_id", "left").select("article_id", F.coalesce("clicks", F.lit(0)).alias("clicks"))
+
+
+@query("topk_prefix10", f"WITH {SCORED} SELECT impression_id, candidate_id FROM rk WHERE place <= 10")
+def _(spark, sf):
+    return tune_scored(spark, sf).withColumn("place", R.score_rank("score")).filter("place <= 10").select("impression_id", "candidate_id")
+
+
+@query("sample_rows")
+def _(spark, sf):
+    return FT.sample_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 200)
+
+
+@query("stratified_holdout")
+def _(spark, sf):
+    rows = impressions(spark, sf)
+    return FT.stratified_holdout(rows, "impression_id", "label").groupBy("label", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("query_build", f"""WITH {IC}, txt AS (SELECT user_id, string_agg(coalesce(p_name, ''), ' ' ORDER BY idx) AS query_text FROM tail LEFT JOIN part ON p_partkey = article_id GROUP BY 1) SELECT * FROM txt""")
+def _(spark, sf):
+    tail = R.history_tail(R.click_history(parted(spark, sf)[1])).join(articles(spark, sf), "article_id", "left")
+    lists = tail.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text_lexical", F.lit("")).alias("t")))).alias("x"))
+    return lists.select("user_id", F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("query_text"))
+
+
+@query("embed_score_candidates", "SELECT a.vec_id AS query, a.vec_id * 2 AS id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS score FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id * 2")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    asked = v.select(F.col("id").alias("query"), (F.col("id") * 2).alias("id"), F.col("vec").alias("q"))
+    return asked.join(v.select("id", "vec"), "id", "left").select("query", "id", F.round(cosine(F.col("q"), F.col("vec")), 6).alias("score"))
+
+
+@query("rerank_report", f"""WITH {SCORED}, o AS (SELECT impression_id, sum(label / (pos + 1.0::DOUBLE)) / sum(label)::DOUBLE AS mrr FROM tune GROUP BY 1 HAVING sum(label) > 0)
+SELECT 'clicks' AS method, round(avg(mrr), 6) AS mean, count(mrr) AS n FROM met UNION ALL SELECT 'given order', round(avg(mrr), 6), count(mrr) FROM o""")
+def _(spark, sf):
+    s = tune_scored(spark, sf)
+    report = FT.rerank_report({"clicks": s, "given order": s.withColumn("score", -F.col("pos").cast("double"))})
+    return report.filter("metric = 'mrr'").select("method", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("serving_score")
+def _(spark, sf):
+    _, fit, tune = parted(spark, sf)
+    model = FT.train_ranker(feature_rows(spark, sf, "train"), FT.FEATURES, trees=3)
+    return FT.serve(model, tune, fit, articles(spark, sf), FT.FEATURES)
+
+
+@query("ablation_pair")
+def _(spark, sf):
+    return FT.ablation_pair(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"), trees=3)
+
+
+@query("sink_model")
+def _(spark, sf):
+    import uuid
+
+    from pyspark.ml.classification import GBTClassificationModel
+
+    path = f"{folder(spark)}/model-{uuid.uuid4().hex}"
+    FT.train_ranker(feature_rows(spark, sf, "train"), FT.BASE, trees=2).write().save(path)
+    return FT.scored(GBTClassificationModel.load(path), feature_rows(spark, sf, "val"), FT.BASE)
+
+
+@query("memory_report")
+def _(spark, sf):
+    """Rows and values of what serving keeps: postings, vectors, articles."""
+    _, _, postings, _q = bm25(spark, sf)
+    n = lambda name, df, size: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows", (F.col("rows") * size).alias("bytes"))
+    return n("postings", postings, 12).unionByName(n("vectors", vectors(spark, sf), 4 * 64)).unionByName(n("articles", articles(spark, sf), 8))
