@@ -226,8 +226,10 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 3, similarity: fl
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(of_groups, "doc_id", "left_semi")
     runs = written(texts.mapInArrow(run, "doc_id long, runs array<long>"), "runs")
-    firsts = runs.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("component_id"), F.col("runs").alias("first_runs"))
-    pairs = runs.join(many, "doc_id").join(firsts, "component_id")
+    # written, so that both sides of the join on the component are plain shuffles, which adaptive execution can split
+    firsts = written(runs.join(many.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first-runs")
+    firsts = firsts.select(F.col("doc_id").alias("component_id"), F.col("runs").alias("first_runs"))
+    pairs = written(runs.join(many, "doc_id"), "member-runs").join(firsts, "component_id")
     common = F.size(F.array_intersect("runs", "first_runs"))
     union = F.size("runs") + F.size("first_runs") - common
     copies = written(pairs.filter((union == 0) | (common >= similarity * union)).select("doc_id").distinct(), "copies")
