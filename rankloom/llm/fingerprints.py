@@ -85,11 +85,12 @@ def likeness(table: DataFrame) -> DataFrame:
     return both.groupBy("bucket", "row").agg(F.max("payload").alias("payload"), (F.sum("left") == 0).alias("whole"), pick(0).alias("near0"), pick(1).alias("near1"))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, bucket_rows: int = 512, most_parts: int = 100_000) -> DataFrame:
     """(bucket, row, doc_id, text, hash, next_text, next_id, next_hash) by descending doc_id; after the last comes the first.
 
     Equal doc_ids follow by a hash of their texts, null ids come last. Buckets are even stretches of ids, so ids
-    far from evenly spread cost balance, not results. Only texts at a bucket's end are sent twice.
+    far from evenly spread cost balance, not results. Only texts at a bucket's end are sent twice. About one bucket goes
+    to a task, so that its cells stay in memory; beyond ``most_parts`` tasks, more do.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
     span = docs.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high")).first()
@@ -105,7 +106,7 @@ def with_next(docs: DataFrame, bucket_rows: int = 1024) -> DataFrame:
     sent = own.join(ghosts, (own.bucket == ghosts["of"]) & (own["id"] == ghosts["id"]) & (own["hash"] == ghosts["h"])).dropDuplicates(["of"]).select("doc_id", "text", own["hash"], F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
     every = rows.select("doc_id", "text", "hash", "bucket", F.lit(0).alias("ghost")).unionByName(sent)
     w = W.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("hash"))
-    dealt = every.repartition(parts(docs.sparkSession), "bucket")
+    dealt = every.repartition(max(parts(docs.sparkSession), min(most_parts, span.n // bucket_rows + 1)), "bucket")
     after = [F.lead(c).over(w).alias(n) for c, n in (("text", "next_text"), ("doc_id", "next_id"), ("hash", "next_hash"))]
     return dealt.select("bucket", "doc_id", "text", "hash", "ghost", *after, F.row_number().over(w).alias("row")).filter("ghost = 0").drop("ghost")
 
