@@ -145,6 +145,25 @@ def test_simhash_components(spark):
     assert {0, 6, 7, 8, 9} <= {r.doc_id for r in left} and not {1, 5} & {r.doc_id for r in left} and len(left) < len(texts)
 
 
+def like(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_down_to_the_limit_go(spark):
+    rng = random.Random(11)
+    texts, want = [], set()
+    for i in range(60):
+        words = [rng.choice(WORDS) for _ in range(240)]
+        copy = list(words)
+        for at in rng.sample(range(10, 230), 1 + i % 6):
+            copy[at] = "changed"
+        texts += [" ".join(words), " ".join(copy)]
+        want |= {2 * i} | ({2 * i + 1} if like(*texts[-2:]) < 0.8 else set())
+    assert 60 < len(want) < 80
+    assert {r.doc_id for r in simhash.one_of_each(table(spark, texts)).select("doc_id").collect()} == want
+
+
 def test_decontamination_against_all_windows(spark):
     items = [prose(20), prose(35), "two words", prose(12)]
     inside = items[1].split()
