@@ -79,7 +79,11 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, clusters: int, probe: int, seed: int = S.SEED) -> DataFrame:
-    """Approximate top k: an equi-join on the ``probe`` nearest of ``clusters`` centroids, exact inside."""
+    """Top k by equi-joins on the nearest of ``clusters`` centroids, exact inside: first the ``probe`` nearest of a query, then every
+    other that could hold a better one than the k-th found, by the angles to the centroid of the query and of its farthest member.
+
+    ``queries`` and ``vectors`` have unit length, so that angles obey the triangle inequality and no neighbour is lost.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -87,9 +91,18 @@ def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, clusters: int, probe
     model = KMeans(k=clusters, seed=seed, featuresCol="f").fit(vectors.select(array_to_vector("vec").alias("f")))
     found = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centres = unit(spark.createDataFrame(found, "id int, vec array<double>")).withColumnRenamed("id", "cluster").withColumnRenamed("vec", "centre")
-    near = lambda df, key, n: df.crossJoin(F.broadcast(centres)).withColumn("_c", dot(F.col("vec"), F.col("centre"))).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_c"), "cluster"))).filter(F.col("_n") <= n).select(key, "vec", "cluster")
-    pairs = near(queries.withColumnRenamed("vec", "vec"), "query", probe).withColumnRenamed("vec", "qvec").join(near(vectors, "id", 1), "cluster")
-    return top_k(pairs.select("query", "id", dot(F.col("qvec"), F.col("vec")).alias("score")), k)
+    near = lambda df, key: df.crossJoin(F.broadcast(centres)).withColumn("_c", dot(F.col("vec"), F.col("centre"))).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_c"), "cluster"))).select(key, "vec", "cluster", "_c", "_n")
+    angle = lambda c: F.acos(F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)))
+    asked = near(queries, "query").withColumnRenamed("vec", "qvec")
+    members = near(vectors, "id").filter("_n = 1").select("id", "vec", "cluster", F.col("_c").alias("_m"))
+    scores = lambda q: q.select("query", "qvec", "cluster").join(members, "cluster").select("query", "id", dot(F.col("qvec"), F.col("vec")).alias("score"))
+    first = top_k(scores(asked.filter(F.col("_n") <= probe)), k).select("query", "id", "score")
+    worst = first.groupBy("query").agg(F.min("score").alias("_worst"), F.count(F.lit(1)).alias("_found"))
+    reach = members.groupBy("cluster").agg(F.min("_m").alias("_m"))
+    best = F.cos(F.greatest(angle("_c") - angle("_m"), F.lit(0.0)))
+    more = asked.filter(F.col("_n") > probe).join(F.broadcast(reach), "cluster").join(worst, "query", "left")
+    more = more.filter(F.col("_found").isNull() | (F.col("_found") < k) | (best >= F.col("_worst") - 1e-6))
+    return top_k(first.unionByName(scores(more)), k)
 
 
 def pooled(items: DataFrame, weight: str | None = None) -> DataFrame:

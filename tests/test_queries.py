@@ -40,3 +40,9 @@ def test_clustered_search_finds_most_neighbours(spark):
     exact = {(r.query, r.id) for r in QUERIES["knn_exact_topk"](spark, SF).collect()}
     near = {(r.query, r.id) for r in QUERIES["knn_ivf"](spark, SF).collect()}
     assert len(exact & near) >= 0.5 * len(exact)
+
+
+def test_clustered_search_has_the_required_recall(spark):
+    exact = {(r.query, r.id) for r in QUERIES["knn_exact_topk"](spark, SF).collect()}
+    near = {(r.query, r.id) for r in QUERIES["knn_ivf"](spark, SF).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
