@@ -97,8 +97,13 @@ def suffix_array(words: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     short = left < 8
     key = words.copy()
     key[short] &= ~((np.uint64(1) << ((8 - left[short]) * 8).astype(np.uint64)) - np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    heads = np.append(True, key[order[1:]] != key[order[:-1]])
+    if (words >> np.uint64(56) == 0).any():  # a zero byte is not the end, which comes first
+        least = np.minimum(left, 8)
+        order = np.lexsort((least, key))
+        heads = np.append(True, (key[order[1:]] != key[order[:-1]]) | (least[order[1:]] != least[order[:-1]]))
+    else:
+        order = np.argsort(key, kind="stable")
+        heads = np.append(True, key[order[1:]] != key[order[:-1]])
     slot = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = slot + 1
@@ -124,7 +129,8 @@ def suffix_array(words: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(words: np.ndarray, end: np.ndarray, order: np.ndarray, most: int, stride: int = 64) -> np.ndarray:
     """Of each place of ``order`` with the one before it: bytes in common, ``most`` at most, 0 for the first.
 
-    By Kasai's bound: going on by one place loses one byte of the common prefix at most. Every ``stride``-th place begins
+    By Kasai's bound: going on by one place loses one byte of the common prefix at most. It holds for the full order alone, of
+    places that are equal up to their ends by place. Every ``stride``-th place begins
     anew, and all of these go forward together.
     """
     n = len(words)
@@ -158,7 +164,7 @@ def repeated(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     """For segments data[bounds[i] : bounds[i + 1]]: places whose ``length`` bytes occur at another place too, and a group number of each place (-1: too short)."""
     end = np.repeat(bounds[1:], np.diff(bounds))
     words = eight(data)
-    order = suffix_array(words, end, length)
+    order = suffix_array(words, end, int(np.diff(bounds).max(initial=0)))  # in full, which common_prefixes needs
     same = common_prefixes(words, end, order, length) >= length
     group = np.empty(len(data), np.int64)
     group[order] = np.cumsum(~same)

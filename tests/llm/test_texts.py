@@ -98,6 +98,28 @@ def test_suffix_array_and_prefixes():
     assert suffix_dedup.common_prefixes(words, end, order, 20, stride=8).tolist() == want
 
 
+@pytest.mark.parametrize("shared", [512, 513, 560, 670])
+def test_shared_runs_longer_than_the_sorted_depth(shared):
+    rng = np.random.default_rng(shared)
+    length, texts = 400, []
+    for _ in range(12):
+        passage = rng.integers(97, 101, shared).astype(np.uint8)
+        for _ in range(3):  # what follows the passage differs, and sorts either way
+            texts.append(np.concatenate([passage, rng.integers(97, 101, 90).astype(np.uint8)]))
+        for _ in range(8):  # a byte before the end of a window differs
+            other = rng.integers(97, 101, shared).astype(np.uint8)
+            at = int(rng.integers(1, shared - length + 1))
+            other[: length - 1] = passage[at : at + length - 1]
+            other[length - 1] = 97 + (passage[at + length - 1] - 96) % 4
+            texts.append(other)
+    data, bounds = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+    twice, group = suffix_dedup.repeated(data, bounds, length)
+    windows = [(i, data[i : i + length].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for i in range(a, b - length + 1)]
+    seen = collections.Counter(w for _, w in windows)
+    assert twice.nonzero()[0].tolist() == [i for i, w in windows if seen[w] > 1]
+    assert len({(group[i], w) for i, w in windows}) == len({w for _, w in windows}) == len({group[i] for i, _ in windows})
+
+
 def test_fingerprints_of_versions(spark):
     texts = TEXTS
     got = {r.doc_id: r for r in fingerprints.versions(table(spark, texts)).collect()}
