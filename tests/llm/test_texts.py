@@ -186,6 +186,24 @@ def test_near_copies_down_to_the_limit_go(spark):
     assert {r.doc_id for r in simhash.one_of_each(table(spark, texts)).select("doc_id").collect()} == want
 
 
+@pytest.mark.parametrize("most_pairs", [4, 0])
+def test_members_far_from_the_first_are_compared_with_each_other(spark, most_pairs):
+    rng = random.Random(12)
+    words = [rng.choice(WORDS) for _ in range(2000)]
+    texts = [" ".join(words)]
+    for i in range(70):
+        words = list(words)
+        words[10 + 25 * i : 14 + 25 * i] = rng.choices(WORDS, k=4)
+        texts.append(" ".join(words))
+    texts += [texts[-1], texts[-2], texts[-1] + " more"]
+    want = []
+    for i, t in enumerate(texts):
+        if all(like(t, texts[k]) < 0.8 for k in want):
+            want.append(i)
+    assert len(want) > 1
+    assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, texts), most_pairs=most_pairs).select("doc_id").collect()) == want
+
+
 def test_decontamination_against_all_windows(spark):
     items = [prose(20), prose(35), "two words", prose(12)]
     inside = items[1].split()
