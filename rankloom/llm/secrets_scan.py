@@ -15,8 +15,9 @@ import hashlib
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,18 +33,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Every access or hex match that is long enough lies within one such run.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Maximal runs of the alphabet of labelled values, from the least labelled length on. Every access or hex match lies within one.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{6,}")
+#: What is left of a run between dots, which may as well be a sentence's.
+PART = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 
 
 def base_matches(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int, str]]]:
-    """(kind, start, end, value) of the fixed patterns by start, then kind; and (start, end, value) of all long runs."""
+    """(kind, start, end, value) of the fixed patterns by start, then kind; and (start, end, value) of all runs."""
     found = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
         found += [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     runs = [(m.start(), m.end(), m[0]) for m in RUN.finditer(text)]
     for at, _, run in runs:
+        if len(run) < LEAST["access"]:
+            continue
         for kind, pattern in (("access", ACCESS), ("hex", HEX)):
             found += [(kind, at + m.start(), at + m.end(), m[0]) for m in pattern.finditer(run) if m.end() - m.start() >= LEAST[kind]]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]))), runs
@@ -63,6 +68,19 @@ def apart(base: list[tuple[str, int, int, str]], runs: list[tuple[int, int, str]
     return left
 
 
+def candidates(base: list[tuple[str, int, int, str]], runs: list[tuple[int, int, str]]) -> list[list[tuple[int, int, str]]]:
+    """Groups of a run and its parts between dots, as far as they touch no base match."""
+    parts = [(at + m.start(), at + m.end(), m[0]) for at, _, run in runs if "." in run for m in PART.finditer(run)]
+    whole = {x[0]: x for x in apart(base, runs)}
+    inside: dict[int, list[tuple[int, int, str]]] = {}
+    k = 0
+    for part in apart(base, parts):
+        while runs[k][1] < part[1]:
+            k += 1
+        inside.setdefault(runs[k][0], []).append(part)
+    return [([whole[at]] if at in whole else []) + inside.get(at, []) for at, _, _ in runs if at in whole or at in inside]
+
+
 @dataclass
 class Automaton:
     """Deterministic probabilistic automaton: for each state its visits, ends, and {symbol: (next state, times)}."""
@@ -192,34 +210,41 @@ def fit_formats(labelled: dict[str, list[str]], ordinary: list[str], margin: flo
     return Formats(kinds, infer(sorted(ordinary)) if len(ordinary) >= fewest else None, margin)
 
 
-SPAN = "struct<kind:string,start:int,stop:int,value:string>"
-
-
 def extracted(docs: DataFrame) -> DataFrame:
-    """Written table (doc_id, base, runs) of each row's whole text: fixed matches, and long runs apart from them."""
+    """Written table (kind, value): the values of fixed matches, and the candidates apart from them as ``format``; those of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
         for batch in small_batches(batches, "text"):
-            base, rest = [], []
+            seen: dict[tuple[str, str], None] = {}
             for text in batch.column("text").to_pylist():
                 found, runs = base_matches(text)
-                base.append([{"kind": k, "start": a, "stop": b, "value": v} for k, a, b, v in found])
-                rest.append([{"kind": "format", "start": a, "stop": b, "value": v} for a, b, v in apart(found, runs)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(rest, kind)], ["doc_id", "base", "runs"])
+                seen.update(((k, v), None) for k, _, _, v in found)
+                seen.update((("format", v), None) for group in candidates(found, runs) for _, _, v in group)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string())], ["kind", "value"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return written(rows.mapInArrow(run, f"doc_id long, base array<{SPAN}>, runs array<{SPAN}>"), "secret-candidates")
+    return written(docs.select(text_or_empty().alias("text")).mapInArrow(run, "kind string, value string"), "secret-candidates")
+
+
+def format_spans(base: list[tuple[str, int, int, str]], runs: list[tuple[int, int, str]], is_secret: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """(start, end) of the candidates that are secrets; a run that is one stands for its parts."""
+    found = []
+    for group in candidates(base, runs):
+        reach = -1
+        for start, end, value in group:
+            if start >= reach and is_secret(value):
+                found.append((start, end))
+                reach = end
+    return found
 
 
 def learned(found: DataFrame, sample: int = 1000, longest: int = 128, margin: float = 1.0) -> Formats:
     """Formats fitted on ``sample`` distinct values a kind (of ``longest`` characters at most), those of least hash."""
 
-    def some(column: str, kind: str) -> list[str]:
-        values = found.select(F.explode(column).alias("x")).filter((F.col("x.kind") == kind) & (F.length("x.value") <= longest)).select("x.value").distinct()
+    def some(kind: str) -> list[str]:
+        values = found.filter((F.col("kind") == kind) & (F.length("value") <= longest)).select("value").distinct()
         return [r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
 
-    return fit_formats({k: some("base", k) for k in KINDS[:3]}, some("runs", "format"), margin)
+    return fit_formats({k: some(k) for k in KINDS[:3]}, some("format"), margin)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -235,22 +260,23 @@ def scan(docs: DataFrame, sample: int = 1000, margin: float = 1.0) -> DataFrame:
     Null or empty text: no spans, the digest of the empty string. Repeated rows each get their row; null doc_ids stay.
     Too few labelled strings: fixed patterns alone. Offsets count code points.
     """
-    found = extracted(docs)
-    formats = learned(found, sample, margin=margin)
+    formats = learned(extracted(docs), sample, margin=margin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        is_secret = lru_cache(1 << 17)(formats.is_secret)
+        for batch in small_batches(batches, "text"):
             rows = []
-            for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                spans = [(x["kind"], x["start"], x["stop"]) for x in base]
+            for text in batch.column("text").to_pylist():
+                base, runs = base_matches(text)
+                spans = [(k, a, b) for k, a, b, _ in base]
                 n = [sum(k == kind for k, _, _ in spans) for kind in KINDS[:3]]
-                more = [("format", x["start"], x["stop"]) for x in runs if formats.is_secret(x["value"])]
+                more = [("format", a, b) for a, b in format_spans(base, runs, is_secret)]
                 every = sorted(spans + more, key=lambda x: (x[1], KINDS.index(x[0])))
                 rows.append((*n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(every)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], [x.split()[0] for x in RESULT.split(", ")])
 
-    return found.mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, RESULT)
 
 
 def redacted(docs: DataFrame, sample: int = 1000, margin: float = 1.0, mark: str = "[SECRET]") -> DataFrame:
@@ -261,11 +287,11 @@ def redacted(docs: DataFrame, sample: int = 1000, margin: float = 1.0, mark: str
     formats = learned(extracted(docs), sample, margin=margin)
     schema = docs.schema
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, is_secret: Callable[[str], bool]) -> str | None:
         if not text:
             return text
         base, runs = base_matches(text)
-        spans = sorted([(a, b) for _, a, b, _ in base] + [(a, b) for a, b, v in apart(base, runs) if formats.is_secret(v)])
+        spans = sorted([(a, b) for _, a, b, _ in base] + format_spans(base, runs, is_secret))
         if not spans:
             return text
         out, at = [], 0
@@ -276,8 +302,9 @@ def redacted(docs: DataFrame, sample: int = 1000, margin: float = 1.0, mark: str
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_secret = lru_cache(1 << 17)(formats.is_secret)
         for batch in small_batches(batches, "text"):
-            texts = [clean(t) for t in batch.column("text").to_pylist()]
+            texts = [clean(t, is_secret) for t in batch.column("text").to_pylist()]
             columns = {name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 was = batch.column("n_chars")

@@ -58,6 +58,21 @@ def test_inferred_automaton_knows_the_format():
     assert len(formats.kinds["assign"][0].moves) > 1 and not secrets_scan.fit_formats({"assign": known[:3]}, ordinary).kinds
 
 
+def test_short_and_dotted_credentials_are_candidates(spark):
+    rng = random.Random(2)
+    key = lambda: "q7." + "".join(rng.choice("0123456789") for _ in range(9))
+    short = lambda: "".join(rng.choice("0123456789") for _ in range(8))
+    labelled = [key() for _ in range(200)] + [short() for _ in range(200)]
+    bare = [key() for _ in range(20)] + [short() for _ in range(20)]
+    texts = [f"{prose(5)} token={x} {prose(5)}" for x in labelled] + [f"{prose(5)} {x} {prose(5)}" for x in bare] + [f"{prose(5)} {x}. {prose(5)}" for x in bare[20:]]
+    texts += ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) + " " + prose(20) for _ in range(300)]
+    got = {r.doc_id: r.spans for r in secrets_scan.scan(table(spark, texts)).collect()}
+    assert np.mean(["format:" in got[400 + i] for i in range(60)]) > 0.9
+    assert not any(got[460 + i] for i in range(300))
+    clean = {r.doc_id: r.text for r in secrets_scan.redacted(table(spark, texts)).collect()}
+    assert np.mean([x not in clean[400 + i] for i, x in enumerate(bare)]) > 0.9
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
