@@ -93,7 +93,7 @@ def staged(train: DataFrame, test: DataFrame, stages: dict[str, list[str]], tree
     return out
 
 
-def incremental(train: DataFrame, test: DataFrame, trees: int = 5) -> DataFrame:
+def incremental(train: DataFrame, test: DataFrame, trees: int = S.TREES) -> DataFrame:
     stages, columns = {"base": list(BASE)}, list(BASE)
     for name, more in GROUPS.items():
         columns = [*columns, *more]
@@ -101,7 +101,7 @@ def incremental(train: DataFrame, test: DataFrame, trees: int = 5) -> DataFrame:
     return staged(train, test, stages, trees)
 
 
-def without_position(train: DataFrame, test: DataFrame, trees: int = 5, most: float = 0.05) -> DataFrame:
+def without_position(train: DataFrame, test: DataFrame, trees: int = S.TREES, most: float = 0.05) -> DataFrame:
     """(auc_with, auc_without, gap, flagged)."""
     both = staged(train, test, {"with": FEATURES, "without": [c for c in FEATURES if c not in POSITION]}, trees).filter("metric = 'auc'")
     row = both.agg(F.max(F.when(F.col("stage") == "with", F.col("mean"))).alias("auc_with"), F.max(F.when(F.col("stage") == "without", F.col("mean"))).alias("auc_without"))
@@ -138,7 +138,7 @@ def serve(model, rows: DataFrame, train: DataFrame, articles: DataFrame, columns
     return R.rank_lines(scored(model, feature_table(rows, train, articles, "serving"), columns))
 
 
-def ablation_pair(train: DataFrame, test: DataFrame, trees: int = 5) -> DataFrame:
+def ablation_pair(train: DataFrame, test: DataFrame, trees: int = S.TREES) -> DataFrame:
     """(metric, n, delta): the full model's metrics less those of the three base features, paired by impression."""
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     full = R.impression_metrics(scored(train_ranker(train, FEATURES, trees), test, FEATURES))

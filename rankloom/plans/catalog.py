@@ -467,7 +467,7 @@ def _(spark, sf):
 
 @query("word2vec_train")
 def _(spark, sf):
-    v = V.word2vec(articles(spark, sf), "article_id", "text_lexical", dim=16, epochs=1)
+    v = V.word2vec(articles(spark, sf), "article_id", "text_lexical")
     return v.select("id", F.size("vec").alias("dim"))
 
 
@@ -593,17 +593,17 @@ def _(spark, sf):
 @query("gbt_train_score")
 def _(spark, sf):
     train, test = feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val")
-    return FT.scored(FT.train_ranker(train, FT.FEATURES, trees=5), test, FT.FEATURES).select("impression_id", "candidate_id", "score")
+    return FT.scored(FT.train_ranker(train, FT.FEATURES), test, FT.FEATURES).select("impression_id", "candidate_id", "score")
 
 
 @query("ablation_incremental")
 def _(spark, sf):
-    return FT.incremental(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"), trees=3)
+    return FT.incremental(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"))
 
 
 @query("position_removal")
 def _(spark, sf):
-    return FT.without_position(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"), trees=3)
+    return FT.without_position(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"))
 
 
 LATENCY_SQL = "lat AS (SELECT avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS max_ms, min(value) AS min_ms FROM events)"
@@ -748,13 +748,13 @@ def _(spark, sf):
 @query("serving_score")
 def _(spark, sf):
     _, fit, tune = parted(spark, sf)
-    model = FT.train_ranker(feature_rows(spark, sf, "train"), FT.FEATURES, trees=3)
+    model = FT.train_ranker(feature_rows(spark, sf, "train"), FT.FEATURES)
     return FT.serve(model, tune, fit, articles(spark, sf), FT.FEATURES)
 
 
 @query("ablation_pair")
 def _(spark, sf):
-    return FT.ablation_pair(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"), trees=3)
+    return FT.ablation_pair(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"))
 
 
 @query("sink_model")
@@ -764,7 +764,7 @@ def _(spark, sf):
     from pyspark.ml.classification import GBTClassificationModel
 
     path = f"{folder(spark)}/model-{uuid.uuid4().hex}"
-    FT.train_ranker(feature_rows(spark, sf, "train"), FT.BASE, trees=2).write().save(path)
+    FT.train_ranker(feature_rows(spark, sf, "train"), FT.BASE).write().save(path)
     return FT.scored(GBTClassificationModel.load(path), feature_rows(spark, sf, "val"), FT.BASE)
 
 
