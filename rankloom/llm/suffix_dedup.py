@@ -1,14 +1,17 @@
 """Removing long repeated byte strings, found exactly by sharded suffix arrays.
 
 Every ``length``-byte window of a text has one anchor: the leftmost of its GRAM-byte strings with the least hash. Equal
-windows have equal anchors at equal places, so only windows whose anchor occurs more than once can repeat, and all
-windows of one anchor can be compared in one shard. A shard's segments (runs of windows of one anchor and the bytes they
-span) get a suffix array by Larsson-Sadakane refinement, and neighbours' common prefixes by Kasai's bound, in numpy.
-Anchors with more than ``hot`` segments are dealt over sub-shards by text instead. A sub-shard emits one digest for each
-distinct window of its suffix array; equal digests of different sub-shards are met by merging their sorted runs, a binary search
-(Spark's sort-merge join), and mark the windows that did not repeat within their own sub-shard.
-
-Texts that occur more than once are matched through one of their rows and, if long enough, removed whole.
+windows have equal anchors, so only windows whose anchor's hash occurs more than once can repeat, and all windows of one hash
+can be compared in one shard. A segment is a run of windows of one anchor hash with the bytes they span; in periodic text
+one segment goes on however often the anchor comes again, up to ``MOST_STARTS`` windows. Equal segments are counted first, by the
+hash of their bytes, so of thousands of copies one segment goes on, and an anchor with but one distinct segment is done.
+
+A shard's other segments get a suffix array by Larsson-Sadakane refinement, and neighbours' common prefixes by Kasai's bound, in
+numpy. Anchors with more than ``hot`` distinct segments are dealt over sub-shards by the segments' hashes. Each sub-shard sends the
+digests of its distinct windows, sorted, to merging tasks by ranges of digests; there the sorted runs of all sub-shards are
+merged by binary search, which marks the windows that several sub-shards hold.
+
+Hashes of segments have 64 bits beside the anchor's 64, digests of windows 128: equality is by these.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from rankloom.llm.common import parts, text_or_empty, written
 from rankloom.llm.tokens import binary_rows, ids_of
 from rankloom.llm.wordids import ranges, small_batches
 
-GRAM = 128
+GRAM = 64
+#: Windows of a segment at most; a longer run of one anchor hash (periodic text) is cut.
+MOST_STARTS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,45 +45,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     """Hash of data[i : i + size] for each i, ``size`` a power of two."""
     h = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)[data]
-    step, power = 1, BASE
+    step, power = 1, int(BASE)
     while step < size:
-        h = h[:-step] * power + h[step:]
-        power = power * power
+        h = h[:-step] * np.uint64(power) + h[step:]
+        power = power * power & 0xFFFFFFFFFFFFFFFF
         step *= 2
     return mixed(h)
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, row, first and last window start (within the row) of each run of windows of one anchor.
+def anchors(h: np.ndarray, bounds: np.ndarray, length: int, size: int, block: int = 1 << 21) -> tuple[np.ndarray, ...]:
+    """Anchor hash, row, first and last window start (within the row), and whether it has several anchors, of each run of windows of one anchor hash.
 
-    Row i is data[bounds[i] : bounds[i + 1]]; windows don't leave their row. The text is gone through in blocks.
+    ``h`` has the gram hash of each place of a text of ``size`` bytes whose row i is bounds[i] .. bounds[i + 1]; windows don't leave their row.
+    The text is gone through in blocks.
     """
     width, found = length - GRAM + 1, []
     row_end = np.repeat(bounds[1:], np.diff(bounds))
-    for first in range(0, len(data), block):
-        part = data[first : first + block + length - 1]
-        starts = len(part) - length + 1
+    for first in range(0, size, block):
+        part = h[first : first + block + width - 1]
+        starts = min(block, size - first - length + 1)
         if starts <= 0:
-            continue
-        h = gram_hashes(part)
-        mark = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-        whole = np.full(-(-len(h) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-        whole[: len(h)] = mark
+            break
+        mark = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        whole = np.full(-(-len(part) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+        whole[: len(part)] = mark
         table = whole.reshape(-1, width)
         before = np.minimum.accumulate(table, 1).reshape(-1)
         after = np.minimum.accumulate(table[:, ::-1], 1)[:, ::-1].reshape(-1)
         least = np.minimum(after[:starts], before[width - 1 : width - 1 + starts])
         place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+        anchor = part[place]
         at = np.arange(first, first + starts)
-        good = at + length <= row_end[first : first + starts]
-        change = np.flatnonzero(good & np.append(True, (place[1:] != place[:-1]) | ~good[:-1] | (row_end[first + 1 : first + starts] != row_end[first : first + starts - 1])))
-        if not len(change):
+        ends = row_end[first : first + starts]
+        good = at + length <= ends
+        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | ~good[:-1] | (ends[1:] != ends[:-1]))
+        heads = np.flatnonzero(good & fresh)
+        if not len(heads):
             continue
-        stop = np.flatnonzero(good & np.append((place[1:] != place[:-1]) | ~good[1:] | (row_end[first + 1 : first + starts] != row_end[first : first + starts - 1]), True))
-        row = np.searchsorted(bounds, at[change], "right") - 1
-        found.append((h[place[change]], row, at[change] - bounds[row], at[stop] - bounds[row]))
+        tails = np.flatnonzero(good & np.append(fresh[1:] | ~good[1:], True))
+        # runs longer than MOST_STARTS are cut
+        cuts = (tails - heads) // MOST_STARTS + 1
+        which = np.repeat(np.arange(len(heads)), cuts)
+        start = heads[which] + (np.arange(len(which)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * MOST_STARTS
+        stop = np.minimum(start + MOST_STARTS - 1, tails[which])
+        row = np.searchsorted(bounds, at[start], "right") - 1
+        found.append((anchor[start], row, at[start] - bounds[row], at[stop] - bounds[row], place[stop] != place[start]))
     if not found:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3, np.empty(0, bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -174,156 +187,251 @@ def repeated(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     return twice, group
 
 
-def _find_anchors(length: int):
+ROWS = "doc_id long, text_hash long"
+
+
+def _find_segments(lengths: tuple[int, ...]):
+    """For each text and window length (``kind`` is its place in ``lengths``) the segments: anchor hash, hash of their bytes, first and last window."""
+    from xxhash import xxh3_64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
             data, bounds = ids_of(batch.column("text").cast(pa.large_binary()), np.uint8)
-            h, row, first, last = anchors(data, bounds, length)
-            cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h.view(np.int64), first, last)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *lists], ["key", "doc_id", "hash", "first", "last"])
+            h, raw, found = gram_hashes(data), memoryview(data.tobytes()), []
+            for kind, length in enumerate(lengths):
+                anchor, row, first, last, again = anchors(h, bounds, length, len(data))
+                at, to = bounds[row] + first, bounds[row] + last + length
+                own = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)), np.uint64, len(at))
+                found.append((row, np.full(len(row), kind, np.int32), (mixed(anchor ^ np.uint64(kind))).view(np.int64), own.view(np.int64), first, last, again))
+            row, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("text_hash").take(of), *map(pa.array, columns)], ["doc_id", "text_hash", "kind", "hash", "own", "first", "last", "again"])
 
     return run
 
 
-def _cut_segments(length: int):
+SEGMENTS = f"{ROWS}, kind int, hash long, own long, first long, last long, again boolean"
+
+
+def _cut_segments(lengths: tuple[int, ...]):
+    size_of = np.array(lengths)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1_000_000):
             marks = batch.column("marks")
             n = np.asarray(pc.list_value_length(marks))
             flat = marks.flatten()
-            shard, first, last, hot = (np.asarray(flat.field(i)) for i in range(4))
+            shard, kind, hash_, own, first, last, n_same, hot = (np.asarray(flat.field(i)) for i in range(8))
             data, bounds = ids_of(batch.column("text").cast(pa.large_binary()), np.uint8)
             row = np.repeat(np.arange(len(n)), n)
-            size = last - first + length
+            size = last - first + size_of[kind]
             cut = np.append(0, np.cumsum(size))
             segments = binary_rows(data[ranges(bounds[row] + first, size)], cut)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(hot), batch.column("key").take(pa.array(row)), pa.array(first), segments], ["shard", "hot", "key", "first", "bytes"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (shard, kind, hash_, own)), pa.array(n_same > 1), pa.array(hot), segments], [x.split()[0] for x in CUT.split(", ")])
 
     return run
 
 
-FOUND = "key string, first long, last long, digest binary"
+CUT = "shard long, kind int, hash long, own long, many boolean, hot boolean, bytes binary"
+FOUND = "kind int, hash long, own long, lo long, hi long, high long, low long, sub long"
 
 
-def _search_shards(length: int, most_bytes: int = 1 << 20):
-    def search(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        hot, first = (np.asarray(table.column(x).combine_chunks()) for x in ("hot", "first"))
-        keys = table.column("key").combine_chunks()
-        # equal segments: all their windows repeat, and one of them stands for all in the suffix array
-        coded = table.column("bytes").combine_chunks().dictionary_encode()
-        which = np.asarray(coded.indices, np.int64)
-        _, one, times = np.unique(which, return_index=True, return_counts=True)
-        data, bounds = ids_of(coded.dictionary, np.uint8)
-        whole = np.flatnonzero(times[which] > 1)
+def _search_shards(lengths: tuple[int, ...], most_bytes: int = 1 << 20):
+    """Of segments, sorted by kind and shard: runs lo .. hi of windows that repeat in the shard; for hot anchors each distinct window's digest (high, low)."""
+    from xxhash import xxh3_128_intdigest
+
+    def search(table: pa.Table) -> pa.RecordBatch:
+        column = lambda name: np.asarray(table.column(name).combine_chunks())
+        kind, hash_, own, many, hot, shard = map(column, ("kind", "hash", "own", "many", "hot", "shard"))
+        length = lengths[kind[0]]
+        data, bounds = ids_of(table.column("bytes").combine_chunks(), np.uint8)
         twice, group = repeated(data, bounds, length)
-        segment = np.repeat(np.arange(len(one)), np.diff(bounds))
-        row = one[segment]
-        place = np.arange(len(data)) - bounds[segment] + first[row]
-        # runs of repeated windows of segments that occur once
-        at = np.flatnonzero(twice & (times[segment] == 1))
-        heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))) if len(at) else at
+        segment = np.repeat(np.arange(len(kind)), np.diff(bounds))
+        place = np.arange(len(data)) - bounds[segment]
+        at = np.flatnonzero(twice & ~many[segment])
+        heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (segment[at[1:]] != segment[at[:-1]]))) if len(at) else at
         tails = np.append(heads[1:] - 1, len(at) - 1)[: len(heads)]
-        # one digest for each distinct window of hot anchors; with its place where it is the only one here
-        windows = np.flatnonzero((group >= 0) & hot[row])
+        # one digest for each distinct window of hot anchors; a window that is known to repeat needs no place
+        windows = np.flatnonzero((group >= 0) & hot[segment])
         _, least = np.unique(group[windows], return_index=True)
         windows = windows[least]
         raw = memoryview(data.tobytes())
-        digests = [hashlib.blake2b(raw[w : w + length], digest_size=16).digest() for w in windows.tolist()]
-        known = twice[windows] | (times[segment[windows]] > 1)
-        size = np.diff(bounds)[which[whole]]
+        digests = [xxh3_128_intdigest(raw[w : w + length]) for w in windows.tolist()]
+        known = twice[windows] | many[segment[windows]]
+        ranges_, w = segment[at[heads]], segment[windows]
+        none = np.zeros(len(heads), np.int64)
+        both = lambda a, b: np.concatenate([a, b])
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([keys.take(pa.array(whole)), keys.take(pa.array(row[at[heads]])), keys.take(pa.array(row[windows], mask=known))]),
-                pa.array(np.concatenate([first[whole], place[at[heads]], place[windows]])),
-                pa.array(np.concatenate([first[whole] + size - length, place[at[tails]], place[windows]])),
-                pa.array([None] * (len(whole) + len(heads)) + digests, pa.binary()),
+                pa.array(np.full(len(heads) + len(windows), kind[0], np.int32)), pa.array(both(hash_[ranges_], hash_[w])), pa.array(both(own[ranges_], own[w])),
+                pa.array(both(place[at[heads]], np.where(known, -1, place[windows]))), pa.array(both(place[at[tails]], np.where(known, -1, place[windows]))),
+                pa.array(both(none, np.array([d >> 64 for d in digests], np.uint64).view(np.int64))), pa.array(both(none, np.array([d & ((1 << 64) - 1) for d in digests], np.uint64).view(np.int64))),
+                pa.array(both(none, shard[w]), mask=both(none == 0, w < 0)),
             ],
-            ["key", "first", "last", "digest"],
-        )
+            [x.split()[0] for x in FOUND.split(", ")],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
+
+        def pieces(table: pa.Table):
+            kinds = np.asarray(table.column("kind").combine_chunks())
+            cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield search(table.slice(a, b - a).combine_chunks())
+
         for batch in small_batches(batches, "bytes", most_bytes // 2):
             held.append(batch)
             size += batch.nbytes
             if size < most_bytes:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            shard = np.asarray(table.column("shard").combine_chunks())
-            cut = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on
+            shard, kind = (np.asarray(table.column(x).combine_chunks()) for x in ("shard", "kind"))
+            goes_on = (shard == shard[-1]) & (kind == kind[-1])  # the last shard may go on
+            cut = len(shard) - int(goes_on.sum())
             if cut:
-                yield search(table.slice(0, cut).to_batches())
+                yield from pieces(table.slice(0, cut))
             held = table.slice(cut).combine_chunks().to_batches()
             size = sum(x.nbytes for x in held)
         if held:
-            yield search(held)
+            yield from pieces(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+def merged_runs(high: np.ndarray, low: np.ndarray, run_of: np.ndarray) -> np.ndarray:
+    """Which of the digests (high, low) another run holds too. Each run is sorted by ``high``; its digests are looked up in every later run by binary search."""
+    shared = np.zeros(len(high), bool)
+    cuts = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1])).tolist() + [len(run_of)]
+    acc_high, acc_low, acc_at = np.empty(0, high.dtype), np.empty(0, low.dtype), np.empty(0, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own_high, own_low, own_at = high[a:b], low[a:b], np.arange(a, b)
+        left, right = np.searchsorted(acc_high, own_high, "left"), np.searchsorted(acc_high, own_high, "right")
+        same = np.zeros(b - a, bool)
+        for k in range(int((right - left).max(initial=0))):  # one step but for digests that agree in 64 bits only
+            some = np.flatnonzero(left + k < right)
+            hit = some[acc_low[left[some] + k] == own_low[some]]
+            same[hit] = True
+            shared[acc_at[left[hit] + k]] = True
+        shared[own_at[same]] = True
+        fresh = ~same
+        where = right[fresh]
+        acc_high, acc_low, acc_at = np.insert(acc_high, where, own_high[fresh]), np.insert(acc_low, where, own_low[fresh]), np.insert(acc_at, where, own_at[fresh])
+    return shared
+
+
+def _merge_sub_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that several sub-shards hold, of digests sorted by range, sub-shard and digest."""
+    held: list[pa.RecordBatch] = []
+
+    def shared(table: pa.Table) -> list[pa.RecordBatch]:
+        column = lambda name: np.asarray(table.column(name).combine_chunks())
+        cell, sub = column("cell"), column("sub")
+        run_of = np.cumsum(np.append(0, (sub[1:] != sub[:-1]) | (cell[1:] != cell[:-1])))
+        twice = merged_runs(column("high"), column("low"), run_of)
+        keep = twice & (column("lo") >= 0)
+        return table.select(["kind", "hash", "own", "lo", "hi"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        cell = batch.column("cell")
+        if cell[0] == cell[-1] and len(held) == 1 or not batch.num_rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cells = np.asarray(table.column("cell").combine_chunks())
+        cut = int(np.searchsorted(cells, cells[-1], "left"))
+        if cut:
+            yield from shared(table.slice(0, cut))
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield from shared(pa.Table.from_batches(held).combine_chunks())
+
 
+def repeat_spans(rows: DataFrame, lengths: tuple[int, ...], hot: int = 1024, sub_shard: int = 2048, merge_rows: int = 1 << 16) -> DataFrame:
+    """Written table (doc_id, text_hash, spans: array of (kind, first, last)) of ``rows`` (doc_id, text_hash, text as bytes) that have any.
 
-def _remove(length: int):
+    A span says that the windows of lengths[kind] bytes from ``first`` to ``last`` each start anywhere else too. Spans may overlap.
+    """
+    spark = rows.sparkSession
+    runs = rows.mapInArrow(_find_segments(lengths), SEGMENTS)
+    runs = written(runs, "segments")
+    counts = written(runs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("hash"), "anchors")
+    live = written(runs.join(counts, "hash", "left_semi"), "live-segments")
+    one = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "last")]  # of one and the same row
+    distinct = written(live.groupBy("kind", "hash", "own").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), *one), "distinct-segments")
+    mixed_anchors = written(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("d"), F.max("again").alias("again")).filter("d > 1 or again").drop("again"), "mixed-anchors")
+    many = mixed_anchors.filter(F.col("d") > hot).agg(F.sum("d")).first()[0] or 0
+    shards = -(-many // sub_shard) or 1
+    is_hot = F.col("d") > hot
+    # sub-shards of hot anchors have numbers that no anchor's hash equals but by chance, which harms nothing
+    shard = F.when(is_hot, F.pmod(F.col("own"), F.lit(shards))).otherwise(F.col("hash"))
+    marks = distinct.join(mixed_anchors, "hash").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(shard.alias("shard"), "kind", "hash", "own", "first", "last", "n", is_hot.alias("hot"))).alias("marks"))
+    marks = written(marks, "marks").withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
+    texts = rows.join(marks, rows.doc_id.eqNullSafe(marks["of"]) & (rows.text_hash == marks.of_hash)).select("doc_id", "text_hash", "text", "marks")
+    cut = texts.mapInArrow(_cut_segments(lengths), CUT)  # rows that repeat give a segment twice, which is the same as many of it
+    dealt = cut.repartition(parts(spark), "kind", "shard").sortWithinPartitions("kind", "shard")
+    seen = written(dealt.mapInArrow(_search_shards(lengths), FOUND), "repeats")
+    found = seen.filter("sub is null").select("kind", "hash", "own", "lo", "hi")
+    if many:
+        windows = seen.filter("sub is not null")
+        cells = max(1, windows.count() // merge_rows)
+        windows = windows.withColumn("cell", F.pmod("low", F.lit(cells)))
+        runs_of = windows.repartition(max(parts(spark), min(cells, 10_000)), "cell").sortWithinPartitions("cell", "sub", "high")
+        found = found.unionByName(runs_of.mapInArrow(_merge_sub_shards, "kind int, hash long, own long, lo long, hi long"))
+    whole = distinct.filter("n > 1").select("kind", "hash", "own", F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    found = written(found.unionByName(whole), "repeated-windows")
+    placed = live.join(found, ["kind", "hash", "own"]).select("doc_id", "text_hash", "kind", (F.col("first") + F.col("lo")).alias("first"), F.coalesce(F.col("first") + F.col("hi"), F.col("last")).alias("last"))
+    return written(placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans")), "spans")
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, kept binary"
+
+
+def covered(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes of windows first .. last, as (start, stop)."""
+    out: list[list[int]] = []
+    for a, b in sorted(zip(first, last, strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b + length)
+        else:
+            out.append([a, b + length])
+    return [(a, b) for a, b in out]
+
+
+def _remove(lengths: tuple[int, ...], passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4_000_000):
             found = []
-            for text, spans, copies in zip(*(batch.column(i).to_pylist() for i in ("text", "spans", "copies")), strict=True):
-                size = len(text)
-                if copies and size >= length:
-                    spans = [{"first": 0, "last": size - length}]
-                kept, at, removed, n = [], 0, 0, 0
-                for x in sorted(spans or (), key=lambda s: (s["first"], s["last"])):
-                    first, last = x["first"], x["last"] + length
-                    if not n or first > at:
-                        kept.append(text[at:first])
-                        n += 1
-                        removed += last - first
-                        at = last
-                    elif last > at:
-                        removed += last - at
-                        at = last
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                runs = [covered([x["first"] for x in own], [x["last"] for x in own], n) for n, own in ((n, [x for x in spans or () if x["kind"] == k]) for k, n in enumerate(lengths))]
+                kept, at = [], 0
+                for a, b in runs[0]:
+                    kept.append(text[at:a])
+                    at = b
                 kept.append(text[at:])
-                rest = b"".join(kept)
-                found.append((size, removed, n, hashlib.sha256(rest).hexdigest(), rest))
+                rest = b"".join(kept) if runs[0] else text
+                passages = sum(len(text[a:b].split()) > passage_words for a, b in runs[-1])
+                found.append((len(text), len(text) - len(rest), len(runs[0]), hashlib.sha256(rest).hexdigest(), passages, rest))
             columns = list(zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3]), pa.array(columns[4], pa.binary())], [x.split()[0] for x in RESULT.split(", ")])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 64, sub_shard: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50, hot: int = 1024, sub_shard: int = 2048) -> DataFrame:
     """RESULT for each row of ``docs`` (doc_id, text): the bytes covered by a ``length``-byte string that starts anywhere else too are removed.
 
     Texts are UTF-8 bytes, null is empty; matches stay within a text; what repeats is judged on the input. Repeated rows
     are copies of each other, so of ``length`` bytes or more nothing is left. Null doc_ids are kept. ``kept`` holds the
-    remaining bytes (which can cut a character); n_spans counts maximal removed runs. Empty table: no rows.
-    ``length`` must be over 128.
+    remaining bytes (which can cut a character); n_spans counts maximal removed runs. ``n_passages`` counts the maximal runs of
+    bytes, each covered by a ``passage``-byte string that starts elsewhere too, that have more than ``passage_words`` words: nothing of them is
+    removed that ``length`` doesn't cover. Empty table: no rows. Both lengths must be over 64.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text")).withColumn("key", F.md5("text"))
-    copies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low")).filter("copies > 1"), "copies")
-    found = written(rows.mapInArrow(_find_anchors(length), "key string, doc_id long, hash array<long>, first array<long>, last array<long>"), "anchors")
-    one = found.filter(F.size("hash") > 0).join(copies, "key", "left").filter("copies is null or doc_id <=> low")
-    runs = one.select("key", "doc_id", F.explode(F.arrays_zip("hash", "first", "last")).alias("a")).select("key", "doc_id", "a.*")
-    counts = runs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counts = written(counts, "anchor-counts")
-    many = counts.filter(F.col("n") > hot).agg(F.sum("n")).first()[0] or 0
-    shards = -(-many // sub_shard) or 1
-    # hot anchors: dealt by text over shards that no hash of an anchor names but by chance, which harms nothing
-    shard = F.when(F.col("n") > hot, F.pmod(F.xxhash64("key"), F.lit(shards))).otherwise(F.col("hash"))
-    marks = runs.join(counts, "hash").groupBy("key", "doc_id").agg(F.collect_list(F.struct(shard.alias("shard"), "first", "last", (F.col("n") > hot).alias("hot"))).alias("marks"))
-    marks = written(marks, "marks").withColumnRenamed("doc_id", "of")
-    segments = rows.join(marks, (rows.key == marks.key) & rows.doc_id.eqNullSafe(marks.of)).select(rows.key, "text", "marks")
-    segments = segments.mapInArrow(_cut_segments(length), "shard long, hot boolean, key string, first long, bytes binary")
-    dealt = segments.repartition(parts(docs.sparkSession), "shard").sortWithinPartitions("shard")
-    seen = written(dealt.mapInArrow(_search_shards(length), FOUND), "repeats")
-    within = seen.filter("digest is null").select("key", "first", "last")
-    digests = seen.filter("digest is not null")
-    across = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    across = digests.filter("key is not null").join(across, "digest", "left_semi").select("key", "first", "last")
-    spans = within.unionByName(across).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = written(spans.join(copies.select("key", "copies"), "key", "full_outer"), "spans")
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans", "copies").mapInArrow(_remove(length), RESULT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    lengths = (length, passage)
+    spans = repeat_spans(rows, lengths, hot, sub_shard).withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
+    # a plain join, which can be split where rows repeat
+    placed = rows.join(spans, rows.doc_id.eqNullSafe(spans["of"]) & (rows.text_hash == spans.of_hash), "left")
+    return placed.select("doc_id", "text", "spans").mapInArrow(_remove(lengths, passage_words), RESULT)

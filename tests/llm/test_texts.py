@@ -73,27 +73,65 @@ def test_short_and_dotted_credentials_are_candidates(spark):
     assert np.mean([x not in clean[400 + i] for i, x in enumerate(bare)]) > 0.9
 
 
-def brute_repeats(texts, length):
+def brute_repeats(texts, length, passage, words):
     raw = [(t or "").encode() for t in texts]
-    seen = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
-    for t in raw:
-        cover = np.zeros(len(t), bool)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                cover[i : i + length] = True
+
+    def covers(n):
+        seen = collections.Counter(t[i : i + n] for t in raw for i in range(len(t) - n + 1))
+        for t in raw:
+            cover = np.zeros(len(t), bool)
+            for i in range(len(t) - n + 1):
+                if seen[t[i : i + n]] > 1:
+                    cover[i : i + n] = True
+            yield cover
+
+    for t, cover, wide in zip(raw, covers(length), covers(passage), strict=True):
         runs = int((np.diff(np.append(0, cover.astype(int))) == 1).sum())
-        yield len(t), int(cover.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~cover])).hexdigest()
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], wide.astype(int), [0]]))).reshape(-1, 2)
+        yield len(t), int(cover.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~cover])).hexdigest(), sum(len(t[a:b].split()) > words for a, b in edges)
 
 
 @pytest.mark.parametrize("hot", [64, 1])
 def test_repeats_are_removed_exactly(spark, hot):
-    texts = [*TEXTS, "a" * 900, "é" * 500, "\x00" * 700, BASE[100:700]]
-    got = sorted(suffix_dedup.remove_repeats(table(spark, texts), length=150, hot=hot, sub_shard=3).drop("kept").collect())
-    assert [tuple(r)[1:] for r in got] == list(brute_repeats(texts, 150))
+    texts = [*TEXTS, "a" * 900, "é" * 500, "\x00" * 700, BASE[100:700], "ab" * 300 + prose(20), prose(20) + "ba" * 300, prose(9) + BASE[:100] + prose(9)]
+    got = sorted(suffix_dedup.remove_repeats(table(spark, texts), length=150, passage=80, passage_words=12, hot=hot, sub_shard=3).drop("kept").collect())
+    want = list(brute_repeats(texts, 150, 80, 12))
+    assert [tuple(r)[1:] for r in got] == want and len({w[4] for w in want}) > 1
     if hot == 1:
         assert suffix_dedup.remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
+def test_repeated_rows_null_ids_and_wide_ids(spark):
+    ids = [None, None, -(1 << 62) - 5, (1 << 63) - 1, 3, 3, 3]
+    texts = [BASE, BASE, prose(90), BASE[:500] + prose(60), prose(80), None, ""]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = sorted((str(r[0]), *r[1:]) for r in suffix_dedup.remove_repeats(docs).drop("kept").collect())
+    assert got == sorted((str(i), *w) for i, w in zip(ids, brute_repeats(texts, 400, 200, 50), strict=True))
+
+
+def test_long_periodic_texts_stay_small():
+    for text in (b"a" * 300_000, b"0123456789" * 30_000):
+        data = np.frombuffer(text, np.uint8)
+        h, row, first, last, again = suffix_dedup.anchors(suffix_dedup.gram_hashes(data), np.array([0, len(data)]), 400, len(data))
+        assert (last - first + 400).sum() < 1.1 * len(data) and (last - first + 1).sum() == len(data) - 399
+        assert (first[1:] == last[:-1] + 1).all() and len(set(h.tolist())) <= 10 and again.all()
+
+
+def test_a_text_of_one_character(spark):
+    texts = ["a" * 1_000_000, prose(100)]
+    got = sorted(suffix_dedup.remove_repeats(table(spark, texts)).drop("kept").collect())
+    assert [tuple(r)[1:4] for r in got] == [(1_000_000, 1_000_000, 1), (len(texts[1]), 0, 0)]
+
+
+def test_runs_are_merged_by_binary_search():
+    rng = np.random.default_rng(4)
+    high, low, run = rng.integers(0, 60, 400), rng.integers(0, 3, 400), np.sort(rng.integers(0, 9, 400))
+    pairs = sorted(set(zip(run.tolist(), high.tolist(), low.tolist(), strict=True)))
+    run, high, low = (np.array(x) for x in zip(*pairs, strict=True))
+    times = collections.Counter((h, w) for _, h, w in pairs)
+    assert suffix_dedup.merged_runs(high, low, run).tolist() == [times[h, w] > 1 for _, h, w in pairs]
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 300).astype(np.uint8)
