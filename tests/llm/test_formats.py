@@ -74,7 +74,10 @@ def test_limited_code_is_no_longer_than_plain_huffman_where_the_limit_is_loose()
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_words_encode_like_whole_texts(name):
     encoder = WordEncoder(tokenizer_file(name))
-    texts = [*ODD, "a<|endoftext|> b", "foo  <|endoftext|>bar"]
+    texts = [*ODD, "a<|endoftext|> b", "foo  <|endoftext|>bar", "É\nÉa\r\n\té×a\u00d7. ×÷é÷.é, é.\nA\n\nB  \n C\n d", "don't $5 a$$$ é&&& \n(x) [y]_z é\u0301. e\u0301\u0301.x ÿ=ß~ STRASSE ßẞ İi ﬁ.ﬁ ĳ\u200bA"]
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(list("abÉéß×÷ \n\t.,$'<|>9_-Ω\u0301\u00a0"), 60)) for _ in range(400)]
+    assert encoder.plain
     ids, at = encoder.encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
