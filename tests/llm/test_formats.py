@@ -136,13 +136,26 @@ def test_seed_takes_its_lexical_neighbours():
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "late"), (1, 300, "ann", "late"), (2, 0, "system", "alone"), (3, None, None, "x")]
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "late"), (1, 300, "ann", "late"), (2, 0, "system", "alone"), (3, None, None, "x"), (None, 1, "ann", "y")]
     turns = spark.createDataFrame([(*r, "b") for r in rows], "conv_id long, turn long, role string, text string, block string")
-    got = {(r.conv_id, r.speaker, r.block): r for r in perspectives.rotated(turns).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (3, "unknown", -1)}
+    got = {(r.conv_id, r.speaker, r.block): r for r in perspectives.rotated(turns, block_turns=3).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (3, "unknown", 0), (None, "ann", 0)}
     r = got[1, "ann", 0]
     assert r.text == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n<|user bob|>\n<|end|>\n"
     assert [r.text[m.start : m.stop] for m in r.masks] == ["hi<|end|>\n"] and r.n_turns == 3
     late = got[1, "ann", 1]
     assert late.chunk_start == len(r.text) and late.n_turns == 1 and [late.text[m.start : m.stop] for m in late.masks] == ["late<|end|>\n"]
     assert perspectives.rotated(turns.limit(0)).count() == 0
+
+
+def test_perspectives_cut_equal_turns_into_blocks(spark):
+    rows = [(7, None if i % 2 else 5, "ann" if i % 3 else "bob", f"text {i:04}") for i in range(900)] + [(8, 1, "ann", "z" * 70_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(r for r in perspectives.rotated(turns, block_turns=100).collect() if r.conv_id == 7)
+    assert [(r.speaker, r.block, r.n_turns) for r in got] == [(s, b, 100) for s in ("ann", "bob") for b in range(9)]
+    want = sorted(rows[:900], key=lambda r: (-1 if r[1] is None else r[1], r[2], r[3]))
+    for speaker in ("ann", "bob"):
+        own = [r for r in got if r.speaker == speaker]
+        text = "".join(r.text for r in own)
+        assert text == "".join(f"<|{'assistant' if r[2] == speaker else 'user ' + r[2]}|>\n{r[3]}<|end|>\n" for r in want)
+        assert [text[r.chunk_start + m.start : r.chunk_start + m.stop] for r in own for m in r.masks] == [f"{r[3]}<|end|>\n" for r in want if r[2] == speaker]
