@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, plus formats learned from labelled credentials by grammar inference.
 
 State merging (ALERGIA): the labelled strings of a kind form a prefix tree; states are merged, in breadth-first order, where
-the frequencies of what follows don't differ by Hoeffding's bound, children with them. The result is a probabilistic
-automaton of the kind's format. Every other candidate token of all texts is scored under each kind's automaton and under one of
+the frequencies of what follows don't differ by Hoeffding's bound, children with them; states too rare for that are pooled first. The result
+is a probabilistic automaton of the kind's format. Every other candidate token of all texts is scored under each kind's automaton and under one of
 ordinary tokens; it is reported as ``format`` if a kind's is likelier by ``margin`` bits a character and no less
-likely than that kind's own strings but for their lowest hundredth.
+likely than that kind's strings are to an automaton that hasn't seen them, but for their lowest fiftieth.
 
 Labels are what the fixed patterns find. The automata are fitted on ``sample`` distinct strings a kind, those of least hash.
 """
@@ -81,15 +81,24 @@ def candidates(base: list[tuple[str, int, int, str]], runs: list[tuple[int, int,
     return [([whole[at]] if at in whole else []) + inside.get(at, []) for at, _, _ in runs if at in whole or at in inside]
 
 
+def class_of(c: str) -> tuple[str, int]:
+    """A symbol's class and how many symbols the class has."""
+    if c.isdigit():
+        return "digit", 10
+    if c.isalpha():
+        return ("upper", 26) if c.isupper() else ("lower", 26)
+    return "mark", 6
+
+
 @dataclass
 class Automaton:
-    """Deterministic probabilistic automaton: for each state its visits, ends, and {symbol: (next state, times)}."""
+    """Deterministic probabilistic automaton: for each state its visits, ends, and {symbol: [next state, times]}."""
 
     visits: list[int] = field(default_factory=lambda: [0])
     ends: list[int] = field(default_factory=lambda: [0])
     moves: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])
-    symbols: int = 1
     lengths: dict[int, int] = field(default_factory=dict)
+    classes: list[dict[str, tuple[int, int]]] = field(default_factory=list)
 
     def add(self, text: str) -> None:
         state = 0
@@ -109,12 +118,13 @@ class Automaton:
 
     def alike(self, a: int, b: int, bound: float) -> bool:
         """Whether what follows states a and b, and recursively their successors, could have one distribution."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
             a, b = todo.pop()
             na, nb = self.visits[a], self.visits[b]
-            if not na or not nb:
+            if not na or not nb or a == b or (a, b) in seen:
                 continue
+            seen.add((a, b))
             most = bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
             if abs(self.ends[a] / na - self.ends[b] / nb) > most:
                 return False
@@ -126,67 +136,127 @@ class Automaton:
                     todo.append((x[0], y[0]))
         return True
 
-    def fold(self, into: int, tree: int) -> None:
-        """Adds the subtree at ``tree`` to state ``into``."""
-        todo = [(into, tree)]
+    def distance(self, a: int, b: int) -> float:
+        """How far apart two states' classes of next symbols are, and their ends: 0 (the same) to 1 (nothing in common)."""
+        shares = []
+        for s in (a, b):
+            share = {"end": self.ends[s] / self.visits[s]}
+            for c, (_, n) in self.moves[s].items():
+                key = c if class_of(c)[0] == "mark" else class_of(c)[0]
+                share[key] = share.get(key, 0.0) + n / self.visits[s]
+            shares.append(share)
+        one, two = shares
+        return sum(abs(one.get(k, 0.0) - two.get(k, 0.0)) for k in one.keys() | two.keys()) / 2
+
+    def fold(self, into: int, tree: int) -> set[int]:
+        """Adds the subtree at ``tree`` to state ``into``; the states that got new moves."""
+        todo, grown = [(into, tree)], set()
         while todo:
             a, b = todo.pop()
             self.visits[a] += self.visits[b]
             self.ends[a] += self.ends[b]
-            for c, (child, n) in self.moves[b].items():
+            for c, (child, n) in list(self.moves[b].items()):
                 if c in self.moves[a]:
                     self.moves[a][c][1] += n
-                    todo.append((self.moves[a][c][0], child))
+                    if self.moves[a][c][0] != child:
+                        todo.append((self.moves[a][c][0], child))
                 else:
                     self.moves[a][c] = [child, n]
+                    grown.add(a)
+        return grown
+
+    def finish(self) -> None:
+        """Counts each state's moves by class: {class: (times, most frequent next state)}."""
+        self.classes = []
+        for moves in self.moves:
+            found: dict[str, tuple[int, int]] = {}
+            top: dict[str, int] = {}
+            for c, (to, n) in sorted(moves.items()):
+                name = class_of(c)[0]
+                if n > top.get(name, 0):
+                    top[name] = n
+                    found[name] = (found.get(name, (0, 0))[0] + n, to)
+                else:
+                    found[name] = (found[name][0] + n, found[name][1])
+            self.classes.append(found)
 
-    def bits(self, text: str) -> float:
-        """log2 of the text's probability and its length's, smoothed by half an unseen time.
+    def states(self) -> int:
+        """How many states can be reached."""
+        seen, todo = {0}, [0]
+        while todo:
+            for to, _ in self.moves[todo.pop()].values():
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+        return len(seen)
+
+    def bits(self, text: str, weight: float = 2.0) -> float:
+        """log2 of the text's probability and its length's.
 
+        A symbol's share at a state is smoothed by ``weight`` times its class's, shared out evenly among the class; a symbol that
+        the state never had goes where most of its class go. Lengths have half an unseen time.
         States of random symbols are visited too seldom to tell how far along they are, so lengths are counted beside them.
         """
         seen = sum(self.lengths.values())
         state, total = 0, math.log2((self.lengths.get(len(text), 0) + 0.5) / (seen + 0.5 * (len(self.lengths) + 1)))
         for c in text:
+            visits = self.visits[state]
+            name, size = class_of(c)
+            known = self.classes[state].get(name)
+            prior = ((known[0] if known else 0) + 0.1) / (visits + 0.5) / size
             move = self.moves[state].get(c)
-            total += math.log2(((move[1] if move else 0) + 0.5) / (self.visits[state] + 0.5 * (self.symbols + 1)))
-            if not move:
-                return total - math.log2(self.symbols + 1) * 4 * max(0, len(text))
-            state = move[0]
-        return total + math.log2((self.ends[state] + 0.5) / (self.visits[state] + 0.5 * (self.symbols + 1)))
+            total += math.log2(((move[1] if move else 0) + weight * prior) / (visits + weight))
+            if not move and not known:
+                return total - 8.0 * len(text)  # a class that this state never had: no such format
+            state = move[0] if move else known[1]
+        return total + math.log2((self.ends[state] + 0.5) / (self.visits[state] + 1.0))
 
 
-def infer(texts: list[str], alpha: float = 0.05) -> Automaton:
-    """The automaton of the texts by merging compatible states of their prefix tree."""
-    tree = Automaton(symbols=max(1, len({c for t in texts for c in t})))
+def infer(texts: list[str], alpha: float = 0.05, enough: int = 16, far: float = 0.5) -> Automaton:
+    """The automaton of the texts by merging compatible states of their prefix tree.
+
+    Successors of a state that fewer than ``enough`` texts reach are too rare to be told apart; they are pooled into one, whose evidence is
+    all of theirs. So states of random symbols are tested by their distribution, and do not fall together with a prefix's. States of fewer than ``enough``
+    visits even so merge only if their next symbols' classes are within ``far`` of each other.
+    """
+    tree = Automaton()
     for t in texts:
         tree.add(t)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
-    red: list[int] = [0]
-    known = {0}
-    blue = deque((0, c) for c in sorted(tree.moves[0]))
-    while blue:
-        parent, c = blue.popleft()
-        state = tree.moves[parent][c][0]
-        if state in known:
-            continue
-        for r in red:
-            if tree.alike(r, state, bound):
-                tree.moves[parent][c][0] = r
-                before = {k: set(tree.moves[k]) for k in red}
-                tree.fold(r, state)
-                blue.extend((k, x) for k in red for x in sorted(set(tree.moves[k]) - before[k]))
+    red, todo = {0: None}, deque([0])
+    while todo:
+        state = todo.popleft()
+        while True:
+            fresh = [c for c in sorted(tree.moves[state]) if tree.moves[state][c][0] not in red]
+            if not fresh:
                 break
-        else:
-            red.append(state)
-            known.add(state)
-            blue.extend((state, x) for x in sorted(tree.moves[state]))
+            rare = [c for c in fresh if tree.visits[tree.moves[state][c][0]] < enough]
+            if len({tree.moves[state][c][0] for c in rare}) > 1:
+                first = tree.moves[state][rare[0]][0]
+                for c in rare[1:]:
+                    other, tree.moves[state][c][0] = tree.moves[state][c][0], first
+                    if other != first:
+                        tree.fold(first, other)
+            target = tree.moves[state][fresh[0]][0]
+            sure = tree.visits[target] >= enough
+            near = [(tree.distance(r, target), r) for r in red if tree.alike(r, target, bound)]
+            near = [x for x in near if sure or x[0] <= far]
+            if near:
+                into = min(near)[1]
+                for c in fresh:
+                    if tree.moves[state][c][0] == target:
+                        tree.moves[state][c][0] = into
+                todo.extend(k for k in sorted(tree.fold(into, target)) if k in red and k not in todo)
+            else:
+                red[target] = None
+                todo.append(target)
+    tree.finish()
     return tree
 
 
 @dataclass
 class Formats:
-    """The automata of kinds with what their own strings' likelihood allows, and that of ordinary tokens."""
+    """The automata of kinds with the least likelihood of theirs, and that of ordinary tokens."""
 
     kinds: dict[str, tuple[Automaton, float]]
     ordinary: Automaton | None
@@ -199,15 +269,23 @@ class Formats:
         return any((own := a.bits(value) / len(value)) >= least and own - usual >= self.margin for a, least in self.kinds.values())
 
 
-def fit_formats(labelled: dict[str, list[str]], ordinary: list[str], margin: float = 1.0, fewest: int = 16) -> Formats:
-    """Kinds with fewer than ``fewest`` labelled strings get no automaton; without ordinary tokens nothing is reported."""
+def fit_formats(labelled: dict[str, list[str]], ordinary: list[str], margin: float = 1.0, folds: int = 4) -> Formats:
+    """An automaton for each kind that has any labelled string, however few; without ordinary tokens nothing is reported.
+
+    The least likelihood that counts is taken from strings that were not fitted: each of ``folds`` parts is scored by the automaton of the
+    others, and all but the lowest fiftieth count (with one string alone: its own).
+    """
     kinds = {}
     for kind, texts in sorted(labelled.items()):
-        if len(texts) >= fewest:
-            automaton = infer(sorted(texts))
-            own = sorted(automaton.bits(t) / len(t) for t in texts)
-            kinds[kind] = (automaton, own[len(own) // 100])
-    return Formats(kinds, infer(sorted(ordinary)) if len(ordinary) >= fewest else None, margin)
+        texts = sorted(set(texts))
+        if not texts:
+            continue
+        parts_ = [texts[i::folds] for i in range(min(folds, len(texts)))] if len(texts) > 1 else []
+        scores = [a.bits(t) / len(t) for i, part in enumerate(parts_) for a in [infer([t for k, p in enumerate(parts_) if k != i for t in p])] for t in part]
+        automaton = infer(texts)
+        scores = sorted(scores or [automaton.bits(t) / len(t) for t in texts])
+        kinds[kind] = (automaton, scores[len(scores) // 50])
+    return Formats(kinds, infer(sorted(set(ordinary))) if ordinary else None, margin)
 
 
 def extracted(docs: DataFrame) -> DataFrame:
