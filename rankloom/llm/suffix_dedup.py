@@ -1,15 +1,16 @@
 """Removing long repeated byte strings, found exactly by sharded suffix arrays.
 
-Every ``length``-byte window of a text has one anchor: the leftmost of its GRAM-byte strings with the least hash. Equal
+Every window of the least length asked for has one anchor: the leftmost of its GRAM-byte strings with the least hash. Equal
 windows have equal anchors, so only windows whose anchor's hash occurs more than once can repeat, and all windows of one hash
-can be compared in one shard. A segment is a run of windows of one anchor hash with the bytes they span; in periodic text
+can be compared in one shard; a longer string that repeats begins with such a window. A segment is a run of windows of one anchor hash
+with the bytes that the longest strings from these places on span; in periodic text
 one segment goes on however often the anchor comes again, up to ``MOST_STARTS`` windows. Equal segments are counted first, by the
 hash of their bytes, so of thousands of copies one segment goes on, and an anchor with but one distinct segment is done.
 
 A shard's other segments get a suffix array by Larsson-Sadakane refinement, and neighbours' common prefixes by Kasai's bound, in
 numpy. Anchors with more than ``hot`` distinct segments are dealt over sub-shards by the segments' hashes. Each sub-shard sends the
-digests of its distinct windows, sorted, to merging tasks by ranges of digests; there the sorted runs of all sub-shards are
-merged by binary search, which marks the windows that several sub-shards hold.
+digests of its distinct windows, as one sorted run for each cell of digests, to merging tasks; there the sorted runs of all sub-shards are
+merged two by two by binary search, which marks the windows that several sub-shards hold.
 
 Hashes of segments have 64 bits beside the anchor's 64, digests of windows 128: equality is by these.
 """
@@ -118,24 +119,25 @@ def suffix_array(words: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
         order = np.argsort(key, kind="stable")
         heads = np.append(True, key[order[1:]] != key[order[:-1]])
     slot = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = slot + 1
-    alone = heads & np.append(heads[1:], True)
-    open_ = np.flatnonzero(~alone)  # slots of groups of two or more
+    rank = np.empty(n + 1, np.int32)
+    rank[order], rank[n] = slot + 1, 0
+    # of a group still equal all have passed their ends, or none has: then they are equal in full
+    going = ~(heads & np.append(heads[1:], True)) & (left[order] >= 8)
+    slots, place, group = np.flatnonzero(going), order[going].astype(np.int32), slot[going]
+    left = left.astype(np.int32)
+    rest = left[place]
     h = 8
-    while len(open_) and h < depth:
-        place = order[open_]
-        next_ = place + h
-        second = np.where(next_ < end[place], rank[np.minimum(next_, n - 1)], 0)
-        key = rank[place] << 32 | second
+    while len(place) and h < depth:
+        key = group << 32 | rank[np.where(rest > h, place + h, n)]
         by = np.argsort(key, kind="stable")
-        key, place = key[by], place[by]
-        order[open_] = place
+        key, place, rest = key[by], place[by], rest[by]
         heads = np.append(True, key[1:] != key[:-1])
-        slot = open_[np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))]
-        rank[place] = slot + 1
-        open_ = open_[~(heads & np.append(heads[1:], True))]
+        group = slots[np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))]
+        rank[place] = group + 1
+        order[slots] = place
         h *= 2
+        going = ~(heads & np.append(heads[1:], True)) & (rest >= h)
+        slots, place, group, rest = slots[going], place[going], group[going], rest[going]
     return order
 
 
@@ -173,216 +175,217 @@ def common_prefixes(words: np.ndarray, end: np.ndarray, order: np.ndarray, most:
     return found[order]
 
 
-def repeated(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For segments data[bounds[i] : bounds[i + 1]]: places whose ``length`` bytes occur at another place too, and a group number of each place (-1: too short)."""
-    end = np.repeat(bounds[1:], np.diff(bounds))
+def repeated(data: np.ndarray, bounds: np.ndarray, lengths: tuple[int, ...], starts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For segments data[bounds[i] : bounds[i + 1]], of which the first starts[i] places count (all, if None), and each length: places
+    whose ``length`` bytes occur at another place too, and a group number of each place (-1: too short, or not counted)."""
+    size = np.diff(bounds)
+    end = np.repeat(bounds[1:], size)
     words = eight(data)
-    order = suffix_array(words, end, int(np.diff(bounds).max(initial=0)))  # in full, which common_prefixes needs
-    same = common_prefixes(words, end, order, length) >= length
-    group = np.empty(len(data), np.int64)
-    group[order] = np.cumsum(~same)
-    group[end - np.arange(len(data)) < length] = -1
-    twice = np.zeros(len(data), bool)
-    twice[order] = same | np.append(same[1:], False)
-    return twice, group
+    order = suffix_array(words, end, int(size.max(initial=0)))  # in full, which common_prefixes needs
+    common = common_prefixes(words, end, order, max(lengths))
+    at = np.arange(len(data))
+    counts = np.ones(len(data), bool) if starts is None else at - np.repeat(bounds[:-1], size) < np.repeat(starts, size)
+    found = []
+    for length in lengths:
+        some = np.flatnonzero((counts & (end - at >= length))[order])
+        group, twice = np.full(len(data), -1, np.int64), np.zeros(len(data), bool)
+        if len(some):
+            # with the one before it among these: the least of all common prefixes between
+            cuts = np.append(some[:1], some[:-1] + 1)
+            same = np.minimum.reduceat(common[: some[-1] + 1], cuts) >= length
+            same[0] = False
+            place = order[some]
+            group[place] = np.cumsum(~same)
+            twice[place] = same | np.append(same[1:], False)
+        found.append((twice, group))
+    return found
 
 
 ROWS = "doc_id long, text_hash long"
+SEGMENTS = f"{ROWS}, hash long, own long, first long, last long, size long, again boolean"
 
 
-def _find_segments(lengths: tuple[int, ...]):
-    """For each text and window length (``kind`` is its place in ``lengths``) the segments: anchor hash, hash of their bytes, first and last window."""
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _find_segments(least: int, most: int):
+    """For each text the segments: anchor hash, hash of their bytes, first and last window, bytes, whether it holds its anchor's hash twice."""
     from xxhash import xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
             data, bounds = ids_of(batch.column("text").cast(pa.large_binary()), np.uint8)
-            h, raw, found = gram_hashes(data), memoryview(data.tobytes()), []
-            for kind, length in enumerate(lengths):
-                anchor, row, first, last, again = anchors(h, bounds, length, len(data))
-                at, to = bounds[row] + first, bounds[row] + last + length
-                own = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)), np.uint64, len(at))
-                found.append((row, np.full(len(row), kind, np.int32), (mixed(anchor ^ np.uint64(kind))).view(np.int64), own.view(np.int64), first, last, again))
-            row, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+            anchor, row, first, last, again = anchors(gram_hashes(data), bounds, least, len(data))
+            at, to = bounds[row] + first, np.minimum(bounds[row] + last + most, bounds[row + 1])
+            raw = memoryview(data)
+            own = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)), np.uint64, len(at))
             of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("text_hash").take(of), *map(pa.array, columns)], ["doc_id", "text_hash", "kind", "hash", "own", "first", "last", "again"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("text_hash").take(of), *map(pa.array, (anchor.view(np.int64), own.view(np.int64), first, last, to - at, again))], names(SEGMENTS))
 
     return run
 
 
-SEGMENTS = f"{ROWS}, kind int, hash long, own long, first long, last long, again boolean"
+CUT = "shard long, hash long, own long, many boolean, hot boolean, starts long, bytes binary"
 
 
-def _cut_segments(lengths: tuple[int, ...]):
-    size_of = np.array(lengths)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1_000_000):
-            marks = batch.column("marks")
-            n = np.asarray(pc.list_value_length(marks))
-            flat = marks.flatten()
-            shard, kind, hash_, own, first, last, n_same, hot = (np.asarray(flat.field(i)) for i in range(8))
-            data, bounds = ids_of(batch.column("text").cast(pa.large_binary()), np.uint8)
-            row = np.repeat(np.arange(len(n)), n)
-            size = last - first + size_of[kind]
-            cut = np.append(0, np.cumsum(size))
-            segments = binary_rows(data[ranges(bounds[row] + first, size)], cut)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (shard, kind, hash_, own)), pa.array(n_same > 1), pa.array(hot), segments], [x.split()[0] for x in CUT.split(", ")])
-
-    return run
+def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", 1_000_000):
+        marks = batch.column("marks")
+        n = np.asarray(pc.list_value_length(marks))
+        flat = marks.flatten()
+        shard, hash_, own, first, last, size, n_same, hot = (np.asarray(flat.field(i)) for i in range(8))
+        data, bounds = ids_of(batch.column("text").cast(pa.large_binary()), np.uint8)
+        row = np.repeat(np.arange(len(n)), n)
+        segments = binary_rows(data[ranges(bounds[row] + first, size)], np.append(0, np.cumsum(size)))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (shard, hash_, own, n_same > 1, hot, last - first + 1)), segments], names(CUT))
 
 
-CUT = "shard long, kind int, hash long, own long, many boolean, hot boolean, bytes binary"
-FOUND = "kind int, hash long, own long, lo long, hi long, high long, low long, sub long"
+#: Without ``runs``: windows lo .. hi of a segment that repeat. With it: a sub-shard's digests of distinct windows in a cell, with each its segment and place.
+FOUND = "kind int, hash long, own long, lo long, hi long, cell int, sub long, runs binary"
+RUN = np.dtype([("high", "<u8"), ("low", "<u8"), ("hash", "<i8"), ("own", "<i8"), ("lo", "<i8")])
 
 
-def _search_shards(lengths: tuple[int, ...], most_bytes: int = 1 << 20):
-    """Of segments, sorted by kind and shard: runs lo .. hi of windows that repeat in the shard; for hot anchors each distinct window's digest (high, low)."""
+def _search_shards(lengths: tuple[int, ...], cells: int = 1, most_bytes: int = 1 << 20):
+    """FOUND of segments sorted by shard. Segments that occur more than once are known to repeat, and only tell others."""
     from xxhash import xxh3_128_intdigest
 
     def search(table: pa.Table) -> pa.RecordBatch:
         column = lambda name: np.asarray(table.column(name).combine_chunks())
-        kind, hash_, own, many, hot, shard = map(column, ("kind", "hash", "own", "many", "hot", "shard"))
-        length = lengths[kind[0]]
+        hash_, own, many, hot, shard, starts = map(column, ("hash", "own", "many", "hot", "shard", "starts"))
         data, bounds = ids_of(table.column("bytes").combine_chunks(), np.uint8)
-        twice, group = repeated(data, bounds, length)
-        segment = np.repeat(np.arange(len(kind)), np.diff(bounds))
+        segment = np.repeat(np.arange(len(hash_)), np.diff(bounds))
         place = np.arange(len(data)) - bounds[segment]
-        at = np.flatnonzero(twice & ~many[segment])
-        heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (segment[at[1:]] != segment[at[:-1]]))) if len(at) else at
-        tails = np.append(heads[1:] - 1, len(at) - 1)[: len(heads)]
-        # one digest for each distinct window of hot anchors; a window that is known to repeat needs no place
-        windows = np.flatnonzero((group >= 0) & hot[segment])
-        _, least = np.unique(group[windows], return_index=True)
-        windows = windows[least]
-        raw = memoryview(data.tobytes())
-        digests = [xxh3_128_intdigest(raw[w : w + length]) for w in windows.tolist()]
-        known = twice[windows] | many[segment[windows]]
-        ranges_, w = segment[at[heads]], segment[windows]
-        none = np.zeros(len(heads), np.int64)
-        both = lambda a, b: np.concatenate([a, b])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(heads) + len(windows), kind[0], np.int32)), pa.array(both(hash_[ranges_], hash_[w])), pa.array(both(own[ranges_], own[w])),
-                pa.array(both(place[at[heads]], np.where(known, -1, place[windows]))), pa.array(both(place[at[tails]], np.where(known, -1, place[windows]))),
-                pa.array(both(none, np.array([d >> 64 for d in digests], np.uint64).view(np.int64))), pa.array(both(none, np.array([d & ((1 << 64) - 1) for d in digests], np.uint64).view(np.int64))),
-                pa.array(both(none, shard[w]), mask=both(none == 0, w < 0)),
-            ],
-            [x.split()[0] for x in FOUND.split(", ")],
-        )
+        raw, plain, runs = memoryview(data), [], []
+        for kind, (twice, group) in enumerate(repeated(data, bounds, lengths, starts)):
+            at = np.flatnonzero(twice & ~many[segment])
+            heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (segment[at[1:]] != segment[at[:-1]]))) if len(at) else at
+            tails = np.append(heads[1:] - 1, len(at) - 1)[: len(heads)]
+            of = segment[at[heads]]
+            plain.append((np.full(len(heads), kind, np.int32), hash_[of], own[of], place[at[heads]], place[at[tails]]))
+            # one digest for each distinct window of hot anchors; a window that is known to repeat needs no place
+            windows = np.flatnonzero((group >= 0) & hot[segment])
+            _, first = np.unique(group[windows], return_index=True)
+            windows = windows[first]
+            if not len(windows):
+                continue
+            digests = [xxh3_128_intdigest(raw[w : w + lengths[kind]], kind) for w in windows.tolist()]
+            found = np.empty(len(windows), RUN)
+            found["high"], found["low"] = [d >> 64 for d in digests], [d & 0xFFFFFFFFFFFFFFFF for d in digests]
+            found["hash"], found["own"] = hash_[segment[windows]], own[segment[windows]]
+            found["lo"] = np.where(twice[windows] | many[segment[windows]], -1, place[windows])
+            key = shard[segment[windows]], (found["low"] % np.uint64(cells)).astype(np.int64)
+            by = np.lexsort((found["high"], *key[::-1]))
+            found, sub, cell = found[by], key[0][by], key[1][by]
+            cuts = np.append(np.flatnonzero(np.append(True, (sub[1:] != sub[:-1]) | (cell[1:] != cell[:-1]))), len(by))
+            runs += [(kind, int(cell[a]), int(sub[a]), found[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        columns = [np.concatenate(x) for x in zip(*plain, strict=True)]
+        none, more = len(columns[0]), len(runs)
+        whole = [pa.concat_arrays([pa.array(x), pa.nulls(more, pa.array(x).type)]) for x in columns[1:]]
+        kinds = pa.array(np.append(columns[0], np.array([r[0] for r in runs], np.int32)).astype(np.int32))
+        tail = [pa.concat_arrays([pa.nulls(none, t), pa.array([r[i] for r in runs], t)]) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.binary()))]
+        return pa.RecordBatch.from_arrays([kinds, *whole, *tail], names(FOUND))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def pieces(table: pa.Table):
-            kinds = np.asarray(table.column("kind").combine_chunks())
-            cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield search(table.slice(a, b - a).combine_chunks())
-
         for batch in small_batches(batches, "bytes", most_bytes // 2):
             held.append(batch)
             size += batch.nbytes
             if size < most_bytes:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            shard, kind = (np.asarray(table.column(x).combine_chunks()) for x in ("shard", "kind"))
-            goes_on = (shard == shard[-1]) & (kind == kind[-1])  # the last shard may go on
-            cut = len(shard) - int(goes_on.sum())
+            shard = np.asarray(table.column("shard").combine_chunks())
+            cut = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on
             if cut:
-                yield from pieces(table.slice(0, cut))
+                yield search(table.slice(0, cut).combine_chunks())
             held = table.slice(cut).combine_chunks().to_batches()
             size = sum(x.nbytes for x in held)
         if held:
-            yield from pieces(pa.Table.from_batches(held).combine_chunks())
+            yield search(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def merged_runs(high: np.ndarray, low: np.ndarray, run_of: np.ndarray) -> np.ndarray:
-    """Which of the digests (high, low) another run holds too. Each run is sorted by ``high``; its digests are looked up in every later run by binary search."""
-    shared = np.zeros(len(high), bool)
-    cuts = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1])).tolist() + [len(run_of)]
-    acc_high, acc_low, acc_at = np.empty(0, high.dtype), np.empty(0, low.dtype), np.empty(0, np.int64)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own_high, own_low, own_at = high[a:b], low[a:b], np.arange(a, b)
-        left, right = np.searchsorted(acc_high, own_high, "left"), np.searchsorted(acc_high, own_high, "right")
-        same = np.zeros(b - a, bool)
-        for k in range(int((right - left).max(initial=0))):  # one step but for digests that agree in 64 bits only
-            some = np.flatnonzero(left + k < right)
-            hit = some[acc_low[left[some] + k] == own_low[some]]
-            same[hit] = True
-            shared[acc_at[left[hit] + k]] = True
-        shared[own_at[same]] = True
-        fresh = ~same
-        where = right[fresh]
-        acc_high, acc_low, acc_at = np.insert(acc_high, where, own_high[fresh]), np.insert(acc_low, where, own_low[fresh]), np.insert(acc_at, where, own_at[fresh])
-    return shared
+def inside(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which digests of ``one`` the run ``other``, sorted by ``high``, holds: each is looked up by binary search."""
+    left, right = (np.searchsorted(other["high"], one["high"], side) for side in ("left", "right"))
+    found = np.zeros(len(one), bool)
+    for k in range(int((right - left).max(initial=0))):  # one step but for digests that agree in 64 bits
+        some = np.flatnonzero(left + k < right)
+        found[some] |= other["low"][left[some] + k] == one["low"][some]
+    return found
+
+
+def merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs as one, sorted by ``high``, and which of its digests two runs or more hold. Runs are merged two by two."""
+    level = [(r, np.zeros(len(r), bool)) for r in runs]
+    while len(level) > 1:
+        pairs = zip(level[::2], level[1::2], strict=False)
+        nearer = []
+        for (a, in_a), (b, in_b) in pairs:
+            rows, shared = np.concatenate([a, b]), np.concatenate([in_a | inside(a, b), in_b | inside(b, a)])
+            by = np.argsort(rows["high"], kind="stable")
+            nearer.append((rows[by], shared[by]))
+        level = nearer + level[len(level) - len(level) % 2 :]
+    return level[0]
 
 
 def _merge_sub_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that several sub-shards hold, of digests sorted by range, sub-shard and digest."""
-    held: list[pa.RecordBatch] = []
+    """The windows that several sub-shards hold, of runs sorted by kind and cell."""
 
-    def shared(table: pa.Table) -> list[pa.RecordBatch]:
-        column = lambda name: np.asarray(table.column(name).combine_chunks())
-        cell, sub = column("cell"), column("sub")
-        run_of = np.cumsum(np.append(0, (sub[1:] != sub[:-1]) | (cell[1:] != cell[:-1])))
-        twice = merged_runs(column("high"), column("low"), run_of)
-        keep = twice & (column("lo") >= 0)
-        return table.select(["kind", "hash", "own", "lo", "hi"]).filter(pa.array(keep)).combine_chunks().to_batches()
+    def shared(kind: int, runs: list[bytes]) -> pa.RecordBatch:
+        rows, twice = merged_runs([np.frombuffer(r, RUN) for r in runs])
+        rows = rows[twice & (rows["lo"] >= 0)]
+        lo = pa.array(np.ascontiguousarray(rows["lo"]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(np.ascontiguousarray(rows[c])) for c in ("hash", "own")), lo, lo], ["kind", "hash", "own", "lo", "hi"])
 
+    key, held = None, []
     for batch in batches:
-        held.append(batch)
-        cell = batch.column("cell")
-        if cell[0] == cell[-1] and len(held) == 1 or not batch.num_rows:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        cells = np.asarray(table.column("cell").combine_chunks())
-        cut = int(np.searchsorted(cells, cells[-1], "left"))
-        if cut:
-            yield from shared(table.slice(0, cut))
-        held = table.slice(cut).combine_chunks().to_batches()
+        for kind, cell, run in zip(*(batch.column(c).to_pylist() for c in ("kind", "cell", "runs")), strict=True):
+            if (kind, cell) != key and held:
+                yield shared(key[0], held)
+                held = []
+            key = (kind, cell)
+            held.append(run)
     if held:
-        yield from shared(pa.Table.from_batches(held).combine_chunks())
+        yield shared(key[0], held)
 
 
-def repeat_spans(rows: DataFrame, lengths: tuple[int, ...], hot: int = 1024, sub_shard: int = 2048, merge_rows: int = 1 << 16) -> DataFrame:
+def repeat_spans(rows: DataFrame, lengths: tuple[int, ...], hot: int = 512, sub_shard: int = 512, cell_windows: int = 1 << 16) -> DataFrame:
     """Written table (doc_id, text_hash, spans: array of (kind, first, last)) of ``rows`` (doc_id, text_hash, text as bytes) that have any.
 
     A span says that the windows of lengths[kind] bytes from ``first`` to ``last`` each start anywhere else too. Spans may overlap.
     """
     spark = rows.sparkSession
-    runs = rows.mapInArrow(_find_segments(lengths), SEGMENTS)
-    runs = written(runs, "segments")
+    least, most = min(lengths), max(lengths)
+    runs = written(rows.mapInArrow(_find_segments(least, most), SEGMENTS), "segments")
     counts = written(runs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("hash"), "anchors")
     live = written(runs.join(counts, "hash", "left_semi"), "live-segments")
-    one = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "last")]  # of one and the same row
-    distinct = written(live.groupBy("kind", "hash", "own").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), *one), "distinct-segments")
+    one = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "last", "size")]  # of one and the same row
+    distinct = written(live.groupBy("hash", "own").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), *one), "distinct-segments")
     mixed_anchors = written(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("d"), F.max("again").alias("again")).filter("d > 1 or again").drop("again"), "mixed-anchors")
     many = mixed_anchors.filter(F.col("d") > hot).agg(F.sum("d")).first()[0] or 0
     shards = -(-many // sub_shard) or 1
     is_hot = F.col("d") > hot
     # sub-shards of hot anchors have numbers that no anchor's hash equals but by chance, which harms nothing
     shard = F.when(is_hot, F.pmod(F.col("own"), F.lit(shards))).otherwise(F.col("hash"))
-    marks = distinct.join(mixed_anchors, "hash").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(shard.alias("shard"), "kind", "hash", "own", "first", "last", "n", is_hot.alias("hot"))).alias("marks"))
+    marks = distinct.join(mixed_anchors, "hash").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(shard.alias("shard"), "hash", "own", "first", "last", "size", "n", is_hot.alias("hot"))).alias("marks"))
     marks = written(marks, "marks").withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
     texts = rows.join(marks, rows.doc_id.eqNullSafe(marks["of"]) & (rows.text_hash == marks.of_hash)).select("doc_id", "text_hash", "text", "marks")
-    cut = texts.mapInArrow(_cut_segments(lengths), CUT)  # rows that repeat give a segment twice, which is the same as many of it
-    dealt = cut.repartition(parts(spark), "kind", "shard").sortWithinPartitions("kind", "shard")
-    seen = written(dealt.mapInArrow(_search_shards(lengths), FOUND), "repeats")
-    found = seen.filter("sub is null").select("kind", "hash", "own", "lo", "hi")
+    # a row that repeats gives its segments again, which occur more than once anyhow
+    dealt = texts.mapInArrow(_cut_segments, CUT).repartition(parts(spark), "shard").sortWithinPartitions("shard")
+    cells = max(1, many * (most - GRAM) // cell_windows)  # a segment has some half of most - GRAM windows of each of two lengths
+    seen = written(dealt.mapInArrow(_search_shards(lengths, cells), FOUND), "repeats")
+    found = seen.filter("runs is null").select("kind", "hash", "own", "lo", "hi")
     if many:
-        windows = seen.filter("sub is not null")
-        cells = max(1, windows.count() // merge_rows)
-        windows = windows.withColumn("cell", F.pmod("low", F.lit(cells)))
-        runs_of = windows.repartition(max(parts(spark), min(cells, 10_000)), "cell").sortWithinPartitions("cell", "sub", "high")
+        runs_of = seen.filter("runs is not null").select("kind", "cell", "sub", "runs").repartition(max(parts(spark), min(cells, 10_000)), "kind", "cell").sortWithinPartitions("kind", "cell", "sub")
         found = found.unionByName(runs_of.mapInArrow(_merge_sub_shards, "kind int, hash long, own long, lo long, hi long"))
-    whole = distinct.filter("n > 1").select("kind", "hash", "own", F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    whole = distinct.filter("n > 1").select(F.explode(F.array(*map(F.lit, range(len(lengths))))).alias("kind"), "hash", "own", F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
     found = written(found.unionByName(whole), "repeated-windows")
-    placed = live.join(found, ["kind", "hash", "own"]).select("doc_id", "text_hash", "kind", (F.col("first") + F.col("lo")).alias("first"), F.coalesce(F.col("first") + F.col("hi"), F.col("last")).alias("last"))
-    return written(placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans")), "spans")
+    ends = F.least("last", F.col("first") + F.col("size") - F.element_at(F.array(*map(F.lit, lengths)), F.col("kind") + 1))  # the last window of this length
+    placed = live.join(found, ["hash", "own"]).select("doc_id", "text_hash", "kind", (F.col("first") + F.col("lo")).alias("begin"), F.coalesce(F.col("first") + F.col("hi"), ends).alias("last")).filter("begin <= last")
+    return written(placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", F.col("begin").alias("first"), "last")).alias("spans")), "spans")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, kept binary"
@@ -415,12 +418,12 @@ def _remove(lengths: tuple[int, ...], passage_words: int):
                 found.append((len(text), len(text) - len(rest), len(runs[0]), hashlib.sha256(rest).hexdigest(), passages, rest))
             columns = list(zip(*found, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [x.split()[0] for x in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names(RESULT))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50, hot: int = 1024, sub_shard: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 250, passage_words: int = 50, hot: int = 512, sub_shard: int = 512) -> DataFrame:
     """RESULT for each row of ``docs`` (doc_id, text): the bytes covered by a ``length``-byte string that starts anywhere else too are removed.
 
     Texts are UTF-8 bytes, null is empty; matches stay within a text; what repeats is judged on the input. Repeated rows

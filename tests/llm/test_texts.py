@@ -128,7 +128,7 @@ def test_repeated_rows_null_ids_and_wide_ids(spark):
     texts = [BASE, BASE, prose(90), BASE[:500] + prose(60), prose(80), None, ""]
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     got = sorted((str(r[0]), *r[1:]) for r in suffix_dedup.remove_repeats(docs).drop("kept").collect())
-    assert got == sorted((str(i), *w) for i, w in zip(ids, brute_repeats(texts, 400, 200, 50), strict=True))
+    assert got == sorted((str(i), *w) for i, w in zip(ids, brute_repeats(texts, 400, 250, 50), strict=True))
 
 
 def test_long_periodic_texts_stay_small():
@@ -149,9 +149,11 @@ def test_runs_are_merged_by_binary_search():
     rng = np.random.default_rng(4)
     high, low, run = rng.integers(0, 60, 400), rng.integers(0, 3, 400), np.sort(rng.integers(0, 9, 400))
     pairs = sorted(set(zip(run.tolist(), high.tolist(), low.tolist(), strict=True)))
-    run, high, low = (np.array(x) for x in zip(*pairs, strict=True))
     times = collections.Counter((h, w) for _, h, w in pairs)
-    assert suffix_dedup.merged_runs(high, low, run).tolist() == [times[h, w] > 1 for _, h, w in pairs]
+    runs = [np.array([(h, w, 0, 0, 0) for r, h, w in pairs if r == k], suffix_dedup.RUN) for k in sorted({p[0] for p in pairs})]
+    rows, shared = suffix_dedup.merged_runs(runs)
+    assert rows["high"].tolist() == sorted(h for _, h, _ in pairs) and sorted(zip(rows["high"].tolist(), rows["low"].tolist(), strict=True)) == sorted((h, w) for _, h, w in pairs)
+    assert shared.tolist() == [times[h, w] > 1 for h, w in zip(rows["high"].tolist(), rows["low"].tolist(), strict=True)]
 
 
 def test_suffix_array_and_prefixes():
@@ -188,7 +190,7 @@ def test_shared_runs_longer_than_the_sorted_depth(shared):
             other[length - 1] = 97 + (passage[at + length - 1] - 96) % 4
             texts.append(other)
     data, bounds = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
-    twice, group = suffix_dedup.repeated(data, bounds, length)
+    [(twice, group)] = suffix_dedup.repeated(data, bounds, (length,))
     windows = [(i, data[i : i + length].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for i in range(a, b - length + 1)]
     seen = collections.Counter(w for _, w in windows)
     assert twice.nonzero()[0].tolist() == [i for i, w in windows if seen[w] > 1]
