@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,13 +34,15 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LETTERS), F.lit(0))
 
 
+def is_term(token: Column) -> Column:
+    """Neither a stopword nor a single letter; the words are a hash set in the plan."""
+    return (F.length(token) > 1) & ~token.isin(STOPWORDS)
+
+
 def tokens(text: Column, stopwords: bool = True) -> Column:
-    """Letter runs of a text in lower case, without stopwords and single letters."""
+    """Letter runs of a text (see ``normalised``) in lower case, without stopwords and single letters."""
     found = raw_tokens(text)
-    if not stopwords:
-        return found
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, is_term) if stopwords else found
 
 
 @F.pandas_udf(StringType())
@@ -49,3 +51,13 @@ def nfkc(text: pd.Series) -> pd.Series:
     import unicodedata
 
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+#: Texts of these characters alone are their own compatibility composition: ASCII and Latin letters without ligatures and digraphs.
+STABLE = r"^[\x00-\x7F\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}]*$"
+
+
+def normalised(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with NFKC texts. Only rows that hold any other character than ``STABLE`` ones go through Python."""
+    plain = F.coalesce(F.col(column), F.lit("")).rlike(STABLE)
+    return df.filter(plain).unionByName(df.filter(~plain).withColumn(column, nfkc(F.col(column))))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom import settings as S
+from rankloom.functions.vectors import cosine
 from rankloom.operators import ranking as R
+from rankloom.operators import retrieval as V
+from rankloom.sources.store import written
 
 BASE = ["hist_len", "popularity_log", "candidate_position_norm"]
 GROUPS = {
@@ -19,11 +23,13 @@ FEATURES = [*BASE, *[c for g in GROUPS.values() for c in g]]
 POSITION = ["candidate_position", "candidate_position_norm"]
 
 
-def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode: str) -> DataFrame:
+def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode: str, vectors: DataFrame | None = None, engagement: DataFrame | None = None) -> DataFrame:
     """One row an (impression, candidate) of ``rows``; histories, clicks and first sightings come from ``train`` alone.
 
     mode "train": a click does not count towards its own item's popularity; "val", "serving": nothing is taken off. Serving
-    has no labels to look at and clamps freshness like the others.
+    has no labels to look at and clamps freshness like the others. With ``vectors`` (id, vec) there is hist_embed_sim, the cosine of
+    the candidate and the user's weighted mean, 0 where either is missing; with ``engagement`` (user_id, read_time, scroll) there are user_avg_read_time
+    and user_avg_scroll_pct, means without nulls and NaN, 0 without any.
     """
     history = R.click_history(train)
     profile = R.category_profile(R.history_tail(history), articles)
@@ -32,7 +38,7 @@ def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode:
     whole = profile.groupBy("user_id").agg(F.max("n_known").alias("n_known"), F.max("total_weight").alias("total_weight"))
     seen = R.first_seen(train)
     raw = R.hours_between(F.col("ts"), F.col("first_ts"))
-    median = train.join(seen, "candidate_id").agg(F.percentile(raw, F.lit(0.5)).alias("median_freshness"))
+    median = R.quantiles(train.join(seen, "candidate_id").select(raw.alias("hours")), "hours", {"median_freshness": 0.5})
     impressions = rows.select("impression_id", "user_id", "ts").distinct()
     positions = R.sessions(impressions, "user_id", "ts", "impression_id").select("impression_id", "session_position")
     out = rows.join(users, "user_id", "left").join(whole, "user_id", "left").join(top, "user_id", "left")
@@ -40,6 +46,14 @@ def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode:
     out = out.join(profile.select("user_id", "category", "cnt", "weight"), ["user_id", "category"], "left")
     out = out.join(R.popularity(train), "candidate_id", "left").join(seen, "candidate_id", "left").join(positions, "impression_id", "left").crossJoin(F.broadcast(median))
     own = F.when(F.col("label") == 1, 1).otherwise(0) if mode == "train" else F.lit(0)
+    more = []
+    if vectors is not None:
+        out = out.join(user_vectors(history, vectors), "user_id", "left").join(vectors.select(F.col("id").alias("candidate_id"), "vec"), "candidate_id", "left")
+        more.append(cosine(F.col("vec"), F.col("user_vec")).alias("hist_embed_sim"))
+    if engagement is not None:
+        real = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+        out = out.join(engagement.groupBy("user_id").agg(real("read_time").alias("_read"), real("scroll").alias("_scroll")), "user_id", "left")
+        more += [F.coalesce("_read", F.lit(0.0)).alias("user_avg_read_time"), F.coalesce("_scroll", F.lit(0.0)).alias("user_avg_scroll_pct")]
     fresh = F.coalesce(raw, F.col("median_freshness"), F.lit(0.0))
     return out.select(
         "impression_id", "user_id", "candidate_id", "label",
@@ -50,10 +64,51 @@ def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode:
         F.log1p(F.greatest(F.coalesce("clicks", F.lit(0)) - own, F.lit(0)).cast("double")).alias("popularity_log"),
         F.greatest(fresh, F.lit(0.0)).alias("freshness_hours"), fresh.alias("freshness_hours_raw"),
         F.coalesce((F.col("category") == F.col("top_category")).cast("int"), F.lit(0)).alias("category_match"),
-        F.col("pos").alias("candidate_position"), R.position_norm().alias("candidate_position_norm"),
+        F.col("pos").alias("candidate_position"), R.position_norm().alias("candidate_position_norm"), *more,
     )
 
 
+def user_vectors(history: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, user_vec): mean of the vectors of a user's window, weighted by rank; users without any are left out."""
+    tail = R.history_tail(history).select("user_id", F.col("article_id").alias("id"), R.rank_weight(F.col("idx"), F.col("n")).alias("weight"))
+    items = tail.join(vectors.select("id", "vec"), "id").select(F.col("user_id").alias("key"), "vec", "weight")
+    return V.pooled(items, "weight").select(F.col("key").alias("user_id"), F.col("vec").alias("user_vec"))
+
+
+def user_queries(history: DataFrame, articles: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a user's window: (user_id, query_text), its articles' texts, oldest first; (user_id, vec), the plain mean of their vectors, missing without any."""
+    tail = R.history_tail(history).select("user_id", "idx", "article_id")
+    lists = tail.join(articles, "article_id", "left").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text_lexical", F.lit("")).alias("t")))).alias("x"))
+    texts = lists.select("user_id", F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("query_text"))
+    means = V.pooled(tail.join(vectors.select(F.col("id").alias("article_id"), "vec"), "article_id").select(F.col("user_id").alias("key"), "vec")).withColumnRenamed("key", "user_id")
+    return texts, means
+
+
+def fused_pool(users: DataFrame, history: DataFrame, articles: DataFrame, vectors: DataFrame, k: int = S.POOL_SIZE) -> DataFrame:
+    """Written table (query, item, pos): for each user of ``users`` the best ``k`` articles by BM25 of the history's texts, then the best ``k`` by cosine with
+    its mean vector, each article at its first place. A user without history has no list of either kind.
+    """
+    texts, means = user_queries(history.join(users, "user_id", "left_semi"), articles, vectors)
+    docs = articles.select("article_id", "text_lexical")
+    counts = V.term_counts(docs, "article_id", "text_lexical")
+    postings = V.bm25_postings(counts, V.bm25_idf(counts, docs))
+    lexical = V.top_k(V.bm25_scores(V.term_counts(texts, "user_id", "query_text"), postings), k)
+    near = V.knn_exact(V.unit(means.select(F.col("user_id").alias("id"), "vec")).withColumnRenamed("id", "query"), V.unit(vectors), k)
+    lists = lexical.select("query", F.lit(0).alias("channel"), F.col("place").alias("rank"), F.col("id").alias("item"))
+    lists = lists.unionByName(near.select("query", F.lit(1).alias("channel"), F.col("place").alias("rank"), F.col("id").alias("item")))
+    return written(R.pool_concat(lists), "fused-pool")
+
+
+def fused_rows(rows: DataFrame, train: DataFrame, articles: DataFrame, vectors: DataFrame, k: int = S.POOL_SIZE) -> DataFrame:
+    """Rows like ``rows`` with each impression's candidates from its user's ``fused_pool``, its positives put in where they are missing."""
+    impressions = rows.select("impression_id", "user_id", "ts").distinct()
+    pool = fused_pool(impressions.select("user_id").distinct(), R.click_history(train), articles, vectors, k)
+    own = impressions.select(F.col("impression_id").alias("q"), F.col("user_id").alias("query")).join(pool, "query").select(F.col("q").alias("query"), "item", "pos")
+    positives = rows.filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item")).distinct()
+    both = R.pool_with_positives(own, positives).join(positives.withColumn("label", F.lit(1)), ["query", "item"], "left")
+    return both.select(F.col("query").alias("impression_id"), F.col("item").alias("candidate_id"), "pos", F.coalesce("label", F.lit(0)).alias("label")).join(impressions, "impression_id")
+
+
 def matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
@@ -83,34 +138,38 @@ def scored(model, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("impression_id", "candidate_id", F.col("candidate_position").alias("pos"), "label", vector_to_array("probability")[1].alias("score"))
 
 
-def staged(train: DataFrame, test: DataFrame, stages: dict[str, list[str]], trees: int) -> DataFrame:
-    """(stage, metric, mean, n): a model for each stage's columns."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
-    for name, columns in stages.items():
-        one = R.summary(R.impression_metrics(scored(train_ranker(train, columns, trees), test, columns))).select(F.lit(name).alias("stage"), "metric", "mean", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+def staged(train: DataFrame, test: DataFrame, stages: dict[str, list[str]], trees: int) -> dict[str, DataFrame]:
+    """Written impression metrics of a model for each stage's columns."""
+    train, test = written(train, "stage-train"), written(test, "stage-test")
+    return {name: written(R.impression_metrics(scored(train_ranker(train, columns, trees), test, columns)), "stage-metrics") for name, columns in stages.items()}
 
 
-def incremental(train: DataFrame, test: DataFrame, trees: int = S.TREES) -> DataFrame:
+def incremental(train: DataFrame, test: DataFrame, trees: int = S.TREES, rounds: int = S.ROUNDS) -> DataFrame:
+    """(stage, metric, mean, n, delta, ci_low, ci_high, excludes_zero): a group of columns more at each stage, with the paired difference from the one before."""
     stages, columns = {"base": list(BASE)}, list(BASE)
     for name, more in GROUPS.items():
         columns = [*columns, *more]
         stages[f"+{name}"] = columns
-    return staged(train, test, stages, trees)
+    found = staged(train, test, stages, trees)
+    names, out = list(found), None
+    for i, name in enumerate(names):
+        one = R.summary(found[name]).select(F.lit(name).alias("stage"), "metric", "mean", "n")
+        gain = R.paired_bootstrap(found[name], found[names[max(i - 1, 0)]], rounds).select("metric", "delta", "ci_low", "ci_high", "excludes_zero")
+        one = one.join(gain, "metric", "left").select("stage", "metric", "mean", "n", "delta", "ci_low", "ci_high", "excludes_zero")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def without_position(train: DataFrame, test: DataFrame, trees: int = S.TREES, most: float = 0.05) -> DataFrame:
     """(auc_with, auc_without, gap, flagged)."""
-    both = staged(train, test, {"with": FEATURES, "without": [c for c in FEATURES if c not in POSITION]}, trees).filter("metric = 'auc'")
-    row = both.agg(F.max(F.when(F.col("stage") == "with", F.col("mean"))).alias("auc_with"), F.max(F.when(F.col("stage") == "without", F.col("mean"))).alias("auc_without"))
+    found = staged(train, test, {"with": FEATURES, "without": [c for c in FEATURES if c not in POSITION]}, trees)
+    row = found["with"].agg(F.avg("auc").alias("auc_with")).crossJoin(found["without"].agg(F.avg("auc").alias("auc_without")))
     return row.withColumn("gap", F.col("auc_with") - F.col("auc_without")).withColumn("flagged", F.abs("gap") > most)
 
 
 def latency_report(timings: DataFrame, ms: str) -> DataFrame:
-    q = lambda p: F.percentile(ms, F.lit(p))
-    return timings.agg(F.avg(ms).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(ms).alias("max_ms"), F.min(ms).alias("min_ms"))
+    ends = R.quantiles(timings, ms, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return timings.agg(F.avg(ms).alias("mean"), F.max(ms).alias("max_ms"), F.min(ms).alias("min_ms")).crossJoin(ends).select("mean", "p50", "p95", "p99", "max_ms", "min_ms")
 
 
 def cost_report(report: DataFrame, price_per_hour: float = 0.05, target_qps: float = 1000.0) -> DataFrame:
@@ -124,13 +183,18 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = S.SEED) -> DataFrame:
-    """A sampling operator: the n rows of least hash, the same on every run and however the input is split."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """A sampling operator: the n rows of least ``md5_share`` of their key, the same on every run and however the input is split."""
+    return df.orderBy(R.md5_share(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def sample_users(df: DataFrame, user: str, n: int, seed: int = S.SEED) -> DataFrame:
+    """A sampling operator: all rows of n users, those of least ``md5_share``; null users are never drawn."""
+    return df.join(sample_rows(df.filter(F.col(user).isNotNull()).select(user).distinct(), user, n, seed), user, "left_semi")
 
 
 def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.1, seed: int = S.SEED) -> DataFrame:
-    """Adds ``held``: about ``share`` of each label's rows, by hash."""
-    return df.withColumn("held", F.pmod(F.xxhash64(key, label, F.lit(seed)), F.lit(1000)) < int(share * 1000))
+    """Adds ``held``: about ``share`` of each label's rows, by ``md5_share``."""
+    return df.withColumn("held", R.md5_share(F.col(key), F.col(label), F.lit(seed)) < share)
 
 
 def serve(model, rows: DataFrame, train: DataFrame, articles: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,15 +202,23 @@ def serve(model, rows: DataFrame, train: DataFrame, articles: DataFrame, columns
     return R.rank_lines(scored(model, feature_table(rows, train, articles, "serving"), columns))
 
 
-def ablation_pair(train: DataFrame, test: DataFrame, trees: int = S.TREES) -> DataFrame:
-    """(metric, n, delta): the full model's metrics less those of the three base features, paired by impression."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    full = R.impression_metrics(scored(train_ranker(train, FEATURES, trees), test, FEATURES))
-    base = R.impression_metrics(scored(train_ranker(train, BASE, trees), test, BASE))
-    both = full.alias("f").join(base.alias("b"), "impression_id")
-    names = ("auc", "mrr", "ndcg5", "ndcg10")
-    long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"f.{m}") - F.col(f"b.{m}")).alias("d")) for m in names])).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(F.count("d").alias("n"), F.avg("d").alias("delta"))
+def ablation_pair(train: DataFrame, test: DataFrame, trees: int = S.TREES, rounds: int = S.ROUNDS) -> DataFrame:
+    """(metric, n, delta, ci_low, ci_high, excludes_zero): the full model's metrics less those of the base features, paired by impression."""
+    found = staged(train, test, {"full": FEATURES, "base": BASE}, trees)
+    return R.paired_bootstrap(found["full"], found["base"], rounds)
+
+
+def rounds_used(model) -> int:
+    """How many trees the early stop left."""
+    return model.getNumTrees
+
+
+def serving_request(model, users: DataFrame, train: DataFrame, articles: DataFrame, vectors: DataFrame, columns: list[str], at: str, k: int = S.POOL_SIZE // 2, top: int = 10) -> DataFrame:
+    """(user_id, candidate_id, place): requests from start to end at the time ``at``: each user's fused pool of k + k, features, the model's score, the best ``top``."""
+    pool = fused_pool(users, R.click_history(train), articles, vectors, k)
+    rows = pool.select(F.col("query").alias("impression_id"), F.col("query").alias("user_id"), F.to_timestamp_ntz(F.lit(at)).alias("ts"), F.col("item").alias("candidate_id"), "pos", F.lit(0).alias("label"))
+    ranked = scored(model, feature_table(rows, train, articles, "serving", vectors), columns).withColumn("place", F.row_number().over(W.partitionBy("impression_id").orderBy(F.desc("score"), "pos")))
+    return ranked.filter(F.col("place") <= top).select(F.col("impression_id").alias("user_id"), "candidate_id", "place")
 
 
 def rerank_report(lists: dict[str, DataFrame]) -> DataFrame:

@@ -13,6 +13,55 @@ from pyspark.sql import functions as F
 from rankloom import settings as S
 
 
+def md5_share(*parts: Column) -> Column:
+    """A number from 0 to 1 (excluded) that the parts name: the first 32 bits of the MD5 of their strings joined by colons.
+
+    Any engine has it, so what is drawn by it is the same everywhere and however the input is split.
+    """
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def order_statistics(df: DataFrame, column: str, ranks: DataFrame, names: list[str], accuracy: int = 10_000) -> DataFrame:
+    """One row: for each name the value of the 0-based rank that the one-row ``ranks`` (n, names...) gives among the non-null values of ``column``.
+
+    Approximate percentiles bracket each rank within 2 / accuracy of all rows; values are counted, and only distinct values inside the brackets
+    are put in order. So the sort that one task does has as many rows as the brackets have distinct values, whatever else there is.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    number = (lambda c: micros(c)) if dict(df.dtypes)[column].startswith("timestamp") else (lambda c: c.cast("double"))
+    out = None
+    bracketed = counts.withColumn("_x", number(F.col("_v")))
+    shares = ranks.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(names)], F.greatest(F.col("n"), F.lit(1)).alias("_total"))
+    grid = total.agg(F.percentile_approx(number(F.col("_v")), [i / 1000 for i in range(1001)], accuracy).alias("_grid"))
+    base = bracketed.crossJoin(F.broadcast(shares.crossJoin(grid)))
+    for i, name in enumerate(names):
+        at = F.col(f"_k{i}") / F.col("_total").cast("double") * 1000
+        low = F.element_at("_grid", F.greatest(F.floor(at).cast("int") - 1, F.lit(0)) + 1)
+        high = F.element_at("_grid", F.least(F.ceil(at).cast("int") + 1, F.lit(1000)) + 1)
+        # below the first and beyond the last mark nothing is left out
+        first, last = F.floor(at) - 1 <= 0, F.ceil(at) + 1 >= 1000
+        below = F.sum(F.when(~first & (F.col("_x") < low), F.col("_n")).otherwise(0))
+        inside = (first | (F.col("_x") >= low)) & (last | (F.col("_x") <= high))
+        under = base.agg(below.alias("_below"))
+        upto = F.sum("_n").over(W.orderBy("_v"))
+        ordered = base.filter(inside).select("_v", "_n", F.col(f"_k{i}").alias("_k")).crossJoin(F.broadcast(under)).withColumn("_upto", upto + F.col("_below"))
+        one = ordered.filter((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k"))).agg(F.max("_v").alias(name))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for each name the quantile of its share, interpolated between neighbours, null without values; by ``order_statistics``."""
+    n = df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    at = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
+    ranks = n.select("n", *[F.greatest(F.floor(x), F.lit(0)).alias(f"{k}_a") for k, x in at.items()], *[F.greatest(F.ceil(x), F.lit(0)).alias(f"{k}_b") for k, x in at.items()])
+    found = order_statistics(df, column, ranks, [f"{k}_{e}" for k in shares for e in "ab"]).crossJoin(F.broadcast(n))
+    mix = lambda k: F.col(f"{k}_a") + (F.col(f"{k}_b") - F.col(f"{k}_a")) * (at[k] - F.floor(at[k]))
+    return found.select(*[mix(k).alias(k) for k in shares])
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
@@ -22,16 +71,10 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 
 def cutoff(impressions: DataFrame, holdout: float = S.HOLDOUT) -> DataFrame:
-    """One row (cutoff): the k-th smallest ts, k = clamp(half-even round(n (1 - holdout)), 0, n - 1).
-
-    Counts by day find the day it is in; only that day's distinct times are ordered.
-    """
-    days = impressions.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    w = W.orderBy("day")  # one row a day
-    total = days.agg(F.sum("n").alias("total")).select(F.least(F.greatest(F.bround(F.col("total") * F.lit(1 - holdout), 0), F.lit(0)), F.col("total") - 1).cast("long").alias("k"))
-    at = days.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(total)).filter("upto > k and upto - n <= k").select("day", (F.col("k") - F.col("upto") + F.col("n")).alias("rest"))
-    inside = impressions.withColumn("day", F.to_date("ts")).join(F.broadcast(at), "day").groupBy("ts", "rest").agg(F.count(F.lit(1)).alias("n"))
-    return inside.withColumn("upto", F.sum("n").over(W.orderBy("ts"))).filter("upto > rest and upto - n <= rest").select(F.col("ts").alias("cutoff"))
+    """One row (cutoff): the k-th smallest ts, k = clamp(half-even round(n (1 - holdout)), 0, n - 1)."""
+    rank = F.least(F.greatest(F.bround(F.col("n") * F.lit(1 - holdout), 0), F.lit(0)), F.col("n") - 1).cast("long")
+    ranks = impressions.filter(F.col("ts").isNotNull()).agg(F.count(F.lit(1)).alias("n")).select("n", rank.alias("cutoff"))
+    return order_statistics(impressions, "ts", ranks, ["cutoff"])
 
 
 def split(df: DataFrame, at: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,10 +168,10 @@ def pool_concat(lists: DataFrame) -> DataFrame:
 
 
 def pool_with_positives(pool: DataFrame, positives: DataFrame, seed: int = S.SEED) -> DataFrame:
-    """(query, item, pos): positives that are missing come in at places that a hash of (query, item, seed) names."""
+    """(query, item, pos): positives that are missing come in at places that ``md5_share`` of (query, item, seed) names."""
     size = pool.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     missing = positives.join(pool, ["query", "item"], "left_anti").join(size, "query")
-    placed = missing.select("query", "item", (F.pmod(F.xxhash64("query", "item", F.lit(seed)), F.col("n") + 1) - 0.5).alias("at"))
+    placed = missing.select("query", "item", (F.floor(md5_share(F.col("query"), F.col("item"), F.lit(seed)) * (F.col("n") + 1)) - 0.5).alias("at"))
     both = pool.select("query", "item", F.col("pos").cast("double").alias("at")).unionByName(placed)
     return both.select("query", "item", (F.row_number().over(W.partitionBy("query").orderBy("at", "item")) - 1).alias("pos"))
 
@@ -192,40 +235,55 @@ def diversity(items: DataFrame) -> DataFrame:
     return per.filter("n >= 2").select("impression_id", (1 - (F.col("s2") - F.col("q")) / (F.col("n") * (F.col("n") - 1)).cast("double")).alias("diversity"))
 
 
-def bootstrap_ci(values: DataFrame, column: str, rounds: int = 1000, seed: int = S.SEED, level: float = 0.95, cells: int = 256) -> DataFrame:
-    """(mean, ci_low, ci_high, n) by a Poisson bootstrap over ``cells`` hashed cells of rows.
-
-    Rows are first summed into cells, so the replicates cost cells x rounds rows however many there are; each cell's
-    weight in a replicate is a Poisson(1) count from a hash. Needs an ``impression_id``.
-    """
-    some = values.filter(F.col(column).isNotNull())
-    summed = some.groupBy(F.pmod(F.xxhash64("impression_id", F.lit(seed)), F.lit(cells)).alias("cell")).agg(F.sum(column).alias("s"), F.count(F.lit(1)).alias("c"))
-    u = F.pmod(F.xxhash64("cell", "b", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cdf, p, weight = 0.0, 2.718281828459045**-1, F.lit(8)
-    steps = []
-    for k in range(8):
+def poisson_weight(share: Column, most: int = 8) -> Column:
+    """The Poisson(1) count that a number from 0 to 1 names."""
+    cdf, p, steps = 0.0, 2.718281828459045**-1, []
+    for k in range(most):
         cdf += p
         steps.append((cdf, k))
         p /= k + 1
+    weight = F.lit(most)
     for edge, k in reversed(steps):
-        weight = F.when(u < edge, F.lit(k)).otherwise(weight)
-    drawn = summed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+        weight = F.when(share < edge, F.lit(k)).otherwise(weight)
+    return weight
+
+
+def bootstrap(values: DataFrame, by: list[str], column: str, rounds: int = S.ROUNDS, seed: int = S.SEED, level: float = 0.95) -> DataFrame:
+    """(by..., n, mean, ci_low, ci_high): a Poisson bootstrap of the mean over rows (by..., impression_id, column), nulls left out.
+
+    In each round an impression counts a Poisson(1) number of times, the same for all its rows (so differences are paired), that
+    ``md5_share`` of (impression, round, seed) names. Sums are taken before the shuffle: a task sends one row for each round and group.
+    """
+    some = values.filter(F.col(column).isNotNull()).select(*by, "impression_id", F.col(column).cast("double").alias("_x"))
+    drawn = some.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_w", poisson_weight(md5_share(F.col("impression_id"), F.col("_b"), F.lit(seed))))
+    means = drawn.filter("_w > 0").groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
     tail = (1 - level) / 2
-    ends = means.agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
-    return some.agg(F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n")).crossJoin(ends).select("mean", "ci_low", "ci_high", "n")
+    ends = means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("ci_low"), F.percentile("_m", F.lit(1 - tail)).alias("ci_high"))
+    whole = some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
+    return (whole.join(ends, by, "left") if by else whole.crossJoin(ends)).select(*by, "n", "mean", "ci_low", "ci_high")
+
+
+def paired_bootstrap(one: DataFrame, other: DataFrame, rounds: int = S.ROUNDS, seed: int = S.SEED) -> DataFrame:
+    """(metric, n, delta, ci_low, ci_high, excludes_zero) of two systems' ``impression_metrics``, paired by impression."""
+    both = one.alias("a").join(other.alias("b"), "impression_id")
+    names = ("auc", "mrr", "ndcg5", "ndcg10")
+    long = both.select("impression_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"a.{m}") - F.col(f"b.{m}")).alias("d")) for m in names])).alias("x")).select("impression_id", "x.*")
+    found = bootstrap(long, ["metric"], "d", rounds, seed).withColumnRenamed("mean", "delta")
+    return found.withColumn("excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
-def bootstrap_coverage(lists: DataFrame, catalog: int, rounds: int = 200, seed: int = S.SEED) -> DataFrame:
-    """(mean, ci_low, ci_high): share of the catalog recommended; replicates leave out about 37 % of impressions, so the interval lies low.
+def bootstrap_coverage(lists: DataFrame, catalog: DataFrame, rounds: int = 200, seed: int = S.SEED) -> DataFrame:
+    """(mean, ci_low, ci_high): share of the one-row ``catalog`` (catalog) recommended; replicates leave out about 37 % of impressions, so the interval lies low.
 
     An item is in a replicate if any of its impressions has a Poisson weight above 0: an or over bits of the replicates,
-    64 to a long, aggregated before the shuffle.
+    62 to a long, aggregated before the shuffle.
     """
-    words = -(-rounds // 64)
-    drawn = lists.select("candidate_id", *[F.xxhash64("impression_id", F.lit(seed + 2 * i)).bitwiseOR(F.xxhash64("impression_id", F.lit(seed + 2 * i + 1)).bitwiseAND(F.xxhash64("impression_id", F.lit(-seed - i)))).alias(f"w{i}") for i in range(words)])
+    bits, drawn_in = 62, 1 - 2.718281828459045**-1
+    words = -(-rounds // bits)
+    word = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(min(bits, rounds - i * bits) - 1)), F.lit(0).cast("long"), lambda s, b: s + F.when(md5_share(F.col("impression_id"), b + i * bits, F.lit(seed)) < drawn_in, F.pow(F.lit(2.0), b).cast("long")).otherwise(F.lit(0).cast("long")))
+    drawn = lists.select("candidate_id", *[word(i).alias(f"w{i}") for i in range(words)])
     kept = drawn.groupBy("candidate_id").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(words)])
-    flags = [F.sum(F.shiftrightunsigned(f"w{r // 64}", r % 64).bitwiseAND(F.lit(1))) for r in range(rounds)]
-    row = kept.agg(F.count(F.lit(1)).alias("items"), F.array(*flags).alias("found"))
-    share = row.select((F.col("items") / F.lit(float(catalog))).alias("mean"), F.explode("found").alias("f"))
-    return share.groupBy("mean").agg((F.percentile("f", F.lit(0.025)) / F.lit(float(catalog))).alias("ci_low"), (F.percentile("f", F.lit(0.975)) / F.lit(float(catalog))).alias("ci_high"))
+    flags = [F.sum(F.shiftrightunsigned(f"w{r // bits}", r % bits).bitwiseAND(F.lit(1))) for r in range(rounds)]
+    row = kept.agg(F.count(F.lit(1)).alias("items"), F.array(*flags).alias("found")).crossJoin(F.broadcast(catalog.withColumn("catalog", F.col("catalog").cast("double"))))
+    share = row.select((F.col("items") / F.col("catalog")).alias("mean"), "catalog", F.explode("found").alias("f"))
+    return share.groupBy("mean", "catalog").agg(F.percentile("f", F.lit(0.025)).alias("a"), F.percentile("f", F.lit(0.975)).alias("b")).select("mean", (F.col("a") / F.col("catalog")).alias("ci_low"), (F.col("b") / F.col("catalog")).alias("ci_high"))

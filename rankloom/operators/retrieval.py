@@ -7,12 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom import settings as S
-from rankloom.functions.text import tokens
+from rankloom.functions.text import is_term, normalised, raw_tokens, tokens
 from rankloom.functions.vectors import dot
+from rankloom.sources.store import written
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Written table (id, term, tf): texts are normalised and cut into terms once, whatever is worked out from the counts."""
+    rows = normalised(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    terms = rows.select("id", F.explode(raw_tokens(F.col("text"))).alias("term")).filter(is_term(F.col("term")))
+    return written(terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
 
 
 def bm25_idf(counts: DataFrame, docs: DataFrame, min_df: int = S.MIN_DF) -> DataFrame:
@@ -23,13 +27,13 @@ def bm25_idf(counts: DataFrame, docs: DataFrame, min_df: int = S.MIN_DF) -> Data
 
 
 def bm25_postings(counts: DataFrame, idf: DataFrame, k1: float = S.BM25_K1, b: float = S.BM25_B) -> DataFrame:
-    """(term, id, w): lengths and their mean count terms of the vocabulary only."""
-    known = counts.join(idf.select("term", "idf", "n_docs"), "term")
-    lengths = known.groupBy("id").agg(F.sum("tf").alias("dl"), F.first("n_docs").alias("n_docs"))
-    mean = lengths.agg((F.sum("dl") / F.first("n_docs").cast("double")).alias("avgdl"))
-    rows = known.join(lengths.select("id", "dl"), "id").crossJoin(F.broadcast(mean))
+    """Written table (term, id, w): lengths and their mean count terms of the vocabulary only."""
+    known = written(counts.join(idf.select("term", "idf", "n_docs"), "term"), "known-terms")
+    lengths = known.groupBy("id").agg(F.sum("tf").alias("dl"))
+    mean = known.agg((F.sum("tf") / F.first("n_docs").cast("double")).alias("avgdl"))
+    rows = known.join(lengths, "id").crossJoin(F.broadcast(mean))
     tf = F.col("tf").cast("double")
-    return rows.select("term", "id", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
+    return written(rows.select("term", "id", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w")), "postings")
 
 
 def bm25_scores(query_counts: DataFrame, postings: DataFrame) -> DataFrame:
@@ -38,6 +42,13 @@ def bm25_scores(query_counts: DataFrame, postings: DataFrame) -> DataFrame:
     return q.join(postings, "term").groupBy("query", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
 
 
+def bm25_candidate_scores(candidates: DataFrame, query_counts: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, id, score) of given ``candidates`` (query, id) alone, 0 without a common term: their terms are looked up, nothing else is scored."""
+    q = query_counts.select(F.col("id").alias("query"), "term", F.col("tf").alias("qtf"))
+    found = candidates.join(q, "query").join(postings, ["term", "id"]).groupBy("query", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    return candidates.join(found, ["query", "id"], "left").select("query", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Best k of each query, ties in the ``digits``-th decimal by id; the planner limits each group before the shuffle."""
     w = W.partitionBy("query").orderBy(F.desc(F.round("score", digits)), "id")
@@ -50,11 +61,24 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.transform("vec", lambda x: x.cast("double") / size).alias("vec"))
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, block: int = S.QUERY_BLOCK) -> DataFrame:
     """(query, id, score, place): all queries against all vectors in blocks of one Arrow batch a side, best k kept as blocks go by.
 
-    ``queries`` (query, vec) is a stated set that must fit a broadcast (the caller checks), ``vectors`` (id, vec) is not.
+    ``queries`` (query, vec) is a stated set. At most about ``block`` of them are held at once: a larger set goes in blocks, by a hash of the query,
+    each a pass over ``vectors`` (id, vec) that writes its result.
     """
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return _knn_block(queries, vectors, k)
+    of = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        one = written(_knn_block(queries.filter(of == i), vectors, k), "knn-block")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _knn_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
@@ -65,7 +89,7 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     def run(batches):
         best_id = np.empty((len(names), 0), dtype=np.int64)
         best = np.empty((len(names), 0))
-        for pdf in batches:
+        for pdf in batches if len(names) else ():
             block = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             score = np.concatenate([best, np.round(table @ block.T, 9)], axis=1)
             ids = np.concatenate([best_id, np.broadcast_to(pdf["id"].to_numpy(), (len(names), len(pdf)))], axis=1)
@@ -112,13 +136,16 @@ def pooled(items: DataFrame, weight: str | None = None) -> DataFrame:
     return dims.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("vec"))
 
 
-def word2vec(docs: DataFrame, id_col: str, text_col: str, dim: int = S.W2V_DIM, window: int = S.W2V_WINDOW, min_count: int = S.W2V_MIN_COUNT, epochs: int = S.W2V_EPOCHS, seed: int = S.SEED) -> DataFrame:
-    """(id, vec): skip-gram vectors of known tokens, averaged; documents without any get the mean of all."""
+def word2vec(docs: DataFrame, id_col: str, text_col: str, dim: int = S.W2V_DIM, window: int = S.W2V_WINDOW, min_count: int = S.W2V_MIN_COUNT, epochs: int = S.W2V_EPOCHS, seed: int = S.SEED, part_rows: int = 100_000) -> DataFrame:
+    """(id, vec): skip-gram vectors of known tokens, averaged; documents without any get the mean of all.
+
+    Trained in one part for every ``part_rows`` documents, whose vectors are averaged after each epoch.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=1, inputCol="terms", outputCol="v").fit(rows)
+    rows = written(normalised(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", tokens(F.col("text")).alias("terms")), "terms")
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=max(1, rows.count() // part_rows), inputCol="terms", outputCol="v").fit(rows)
     words = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
     found = pooled(rows.select(F.col("id").alias("key"), F.explode("terms").alias("term")).join(words, "term").select("key", "vec")).withColumnRenamed("key", "id")
     mean = pooled(found.select(F.lit(0).alias("key"), "vec")).select(F.col("vec").alias("mean"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from rankloom.operators import ranking as R
 from rankloom.operators import retrieval as V
 from rankloom.plans.fixtures import IC, SCORED, articles, clicks, impressions, table, vectors
 from rankloom.sources import readers
+from rankloom.sources.store import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,14 +39,19 @@ def r6(c: str, to: str | None = None):
 
 def parted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows, those up to the cutoff, and the others."""
-    rows = impressions(spark, sf)
-    at = R.cutoff(rows.select("impression_id", "ts").distinct())
-    return rows, *R.split(rows, at)
+    rows = written(impressions(spark, sf), "impressions")  # every part and statistic below reads it
+    early, late = R.split(rows, written(R.cutoff(rows.select("impression_id", "ts").distinct()), "cutoff"))
+    return rows, early, late
 
 
-def tune_scored(spark: SparkSession, sf: str) -> DataFrame:
+def scored_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The early part, the later part, and the later part with the candidates' clicks in the early one as score."""
     _, fit, tune = parted(spark, sf)
-    return tune.join(R.popularity(fit), "candidate_id", "left").withColumn("score", F.coalesce("clicks", F.lit(0)).cast("double")).drop("clicks")
+    return fit, tune, tune.join(R.popularity(fit), "candidate_id", "left").withColumn("score", F.coalesce("clicks", F.lit(0)).cast("double")).drop("clicks")
+
+
+def tune_scored(spark: SparkSession, sf: str) -> DataFrame:
+    return scored_parts(spark, sf)[2]
 
 
 # Text and parsing
@@ -63,13 +68,19 @@ TOKENS_SQL = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{
 
 @query("tokenize_counts", f"SELECT doc_id, CAST(len(x) AS INTEGER) AS n_tokens, CAST(len(list_distinct(x)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {TOKENS_SQL} AS x FROM documents)")
 def _(spark, sf):
-    t = T.tokens(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    docs = T.normalised(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    # one array for both counts: the generator keeps its expression from being repeated
+    found = docs.select("doc_id", F.inline(F.array(F.struct(T.tokens(F.col("text")).alias("t")))))
+    return found.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query("nfkc_tokens")
+@query("nfkc_tokens", "SELECT * FROM (VALUES (0, 'ﬁne ① Ａlpha éa ℌx', 'fine,alpha,éa,hx'), (1, 'ordinary wørds', 'ordinary,wørds'), (2, NULL, '')) t(id, text, terms)")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.tokens(T.nfkc(F.col("text")))).alias("n_tokens"))
+    """Compatibility characters of a few fixed texts: ligature, circled digit, full width, a combining accent, a fraktur letter."""
+    rows = spark.createDataFrame([(0, "ﬁne ① Ａlpha éa ℌx"), (1, "ordinary wørds"), (2, None)], "id int, text string")
+    decomposed = rows.withColumn("plain", F.regexp_replace("text", "é", "e\u0301"))
+    found = T.normalised(decomposed, "plain")
+    return found.select("id", "text", F.array_join(T.tokens(F.col("plain")), ",").alias("terms"))
 
 
 @query("parse_impressions_roundtrip", f"WITH {IC} SELECT impression_id, 'P-' || candidate_id AS candidate_id, label, pos FROM ic")
@@ -96,14 +107,8 @@ def _(spark, sf):
 # Scans and sinks: written to a folder of the session's own and read back
 
 
-def folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-")
-
-
 def _tsv_roundtrip(spark, sf, name: str, columns: list) -> str:
-    import uuid
-
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     table(spark, sf, "part" if name == "articles" else "orders").select(*columns).write.option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
     return path
 
@@ -115,18 +120,69 @@ def _(spark, sf):
     return readers.tsv_articles(spark, path)
 
 
-@query("scan_tsv_behaviors", "SELECT o_orderkey AS impression_id, CAST(o_custkey AS VARCHAR) AS user_id, o_orderdate AS timestamp, 2 AS history_len, 2 AS n FROM orders")
+@query("scan_tsv_behaviors", f"WITH {IC} SELECT impression_id, CAST(user_id AS VARCHAR) AS user_id, ts AS timestamp, CAST(CASE WHEN impression_id % 3 = 0 THEN 0 ELSE impression_id % 3 END AS INTEGER) AS history_len, CAST(count(*) AS INTEGER) AS n, CAST(sum(label) AS BIGINT) AS clicked FROM ic GROUP BY 1, 2, 3")
+def _(spark, sf):
+    """Written as TSV and read: histories of 0 to 2 ids, an empty one as an empty field."""
+    rows = impressions(spark, sf).groupBy("impression_id", "user_id", "ts").agg(F.array_sort(F.collect_list(F.struct("pos", "candidate_id", "label"))).alias("x"))
+    history = F.array_join(F.slice(F.array(F.lit("N1"), F.lit("N-2")), 1, (F.col("impression_id") % 3).cast("int")), " ")
+    items = F.array_join(F.transform("x", lambda x: F.concat(F.lit("N"), x["candidate_id"].cast("string"), F.lit("-"), x["label"].cast("string"))), " ")
+    path = new_path(spark, "behaviors")
+    rows.select("impression_id", "user_id", F.date_format("ts", "M/d/yyyy h:mm:ss a"), history, items).write.option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
+    labels = F.aggregate("labels", F.lit(0).cast("long"), lambda s, v: s + v)
+    return readers.tsv_behaviors(spark, path).select("impression_id", "user_id", "timestamp", "history_len", F.size("candidates").alias("n"), labels.alias("clicked"))
+
+
+@query("parse_unlabeled", f"WITH {IC} SELECT impression_id, 'N' || candidate_id AS candidate_id, pos FROM ic")
+def _(spark, sf):
+    """Lists without labels, written as TSV and read."""
+    rows = impressions(spark, sf).groupBy("impression_id", "user_id", "ts").agg(F.array_sort(F.collect_list(F.struct("pos", "candidate_id"))).alias("x"))
+    items = F.array_join(F.transform("x", lambda x: F.concat(F.lit("N"), x["candidate_id"].cast("string"))), " ")
+    path = new_path(spark, "unlabelled")
+    rows.select("impression_id", "user_id", F.date_format("ts", "M/d/yyyy h:mm:ss a"), F.lit(""), items).write.option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
+    return readers.tsv_behaviors(spark, path, labelled=False).filter("labels is null").select("impression_id", F.posexplode("candidates").alias("pos", "candidate_id"))
+
+
+@query("scan_user_history", "SELECT CAST(o_custkey AS VARCHAR) AS user_id, 'N' || min(o_orderkey) AS first_id FROM orders GROUP BY 1")
+def _(spark, sf):
+    """Each user's history is that of the first row."""
+    path = _tsv_roundtrip(spark, sf, "user-history", ["o_orderkey", "o_custkey", F.lit("11/15/2019 8:55:22 AM"), F.concat(F.lit("N"), F.col("o_orderkey").cast("string"), F.lit(" N0")), F.lit("N1-0")])
+    return readers.tsv_user_history(spark, path).select("user_id", F.col("history")[0].alias("first_id"))
+
+
+@query("scan_session_ids", "SELECT o_orderkey AS impression_id, o_custkey AS user_id, o_orderdate AS timestamp, CAST(coalesce(n, 0) AS INTEGER) AS history_len, o_orderkey % 7 AS session_id, 1::BIGINT AS clicked FROM orders LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) h ON h.user_id = o_custkey")
+def _(spark, sf):
+    """Parquet logs: the session's id stays on the row, history lengths come by a left join on the user."""
+    behaviors, history = new_path(spark, "parquet-behaviors"), new_path(spark, "parquet-history")
+    orders = table(spark, sf, "orders")
+    orders.select(F.col("o_orderkey").alias("impression_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("impression_time"), F.array("o_orderkey", "o_custkey").alias("article_ids_inview"), F.array("o_orderkey").alias("article_ids_clicked"), (F.col("o_orderkey") % 7).alias("session_id")).write.parquet(behaviors)
+    clicks(spark, sf).groupBy("user_id").agg(F.collect_list("article_id").alias("article_id_fixed")).write.parquet(history)
+    rows = readers.parquet_behaviors(spark, behaviors, history)
+    first = F.element_at("labels", 1).cast("long")
+    return rows.select("impression_id", "user_id", "timestamp", "history_len", "session_id", first.alias("clicked"))
+
+
+@query("scan_tsv_chunked", "SELECT o_orderkey AS impression_id, CAST(o_custkey AS VARCHAR) AS user_id, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) // 1000 AS chunk FROM orders")
 def _(spark, sf):
-    time = F.date_format("o_orderdate", "M/d/yyyy h:mm:ss a")
-    path = _tsv_roundtrip(spark, sf, "behaviors", ["o_orderkey", "o_custkey", time, F.lit("N1 N2"), F.lit("N1-0 N-2-1")])
-    return readers.tsv_behaviors(spark, path).select("impression_id", "user_id", "timestamp", "history_len", F.size("candidates").alias("n"))
+    """A log in chunks of 1,000 rows by the row's number."""
+    path = _tsv_roundtrip(spark, sf, "chunked", ["o_orderkey", "o_custkey", F.lit(""), F.lit(""), F.lit("")])
+    raw = spark.read.schema(readers.BEHAVIORS_TSV).option("sep", "\t").csv(path)
+    return readers.in_chunks(raw.select("impression_id", "user_id"), ["impression_id"], 1000).select("impression_id", "user_id", "chunk")
 
 
-@query("scan_tsv_chunked", "SELECT event_id, user_id FROM events WHERE event_id >= 100 AND event_id < 600")
+@query("scan_row_range", "SELECT event_id, user_id FROM events WHERE event_id >= 100 AND event_id < 600")
 def _(spark, sf):
     return readers.row_range(table(spark, sf, "events").select("event_id", "user_id"), "event_id", 100, 500)
 
 
+@query("scan_parquet_rowgroups", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type = 'click' GROUP BY 1")
+def _(spark, sf):
+    """Splits of the file's row groups as micro-batches of a stream; each split's sums are appended, then added up."""
+    from rankloom.streaming.chunks import in_batches
+
+    sums = in_batches(spark, table(spark, sf, "events"), lambda df: df.filter("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), files=4)
+    return sums.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
 @query("scan_parquet_pruned", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000")
 def _(spark, sf):
     return table(spark, sf, "orders").filter("o_totalprice > 1000").select("o_orderkey", "o_custkey")
@@ -134,12 +190,10 @@ def _(spark, sf):
 
 @query("scan_engagement_history", "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx, CAST(json_extract_string(props, '$.k') AS BIGINT) AS article_id, value AS read_time FROM events WHERE event_type = 'click'")
 def _(spark, sf):
-    import uuid
-
     c = clicks(spark, sf)
     lists = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "article_id", "read_time"))).alias("x"))
     pick = lambda name: F.transform("x", lambda s: s[name])
-    path = f"{folder(spark)}/history-{uuid.uuid4().hex}"
+    path = new_path(spark, "history")
     lists.select("user_id", pick("article_id").alias("article_id_fixed"), pick("ts").alias("impression_time_fixed"), pick("read_time").alias("read_time_fixed"), pick("read_time").alias("scroll_percentage_fixed")).write.parquet(path)
     return readers.parquet_engagement(spark, path).select("user_id", "idx", "article_id", "read_time")
 
@@ -181,7 +235,8 @@ HOURS_SQL = "(epoch_us({0}) - epoch_us({1})) / 3.6e9::DOUBLE"
 def _(spark, sf):
     fit = parted(spark, sf)[1]
     hours = R.hours_between(F.col("ts"), F.col("first_ts"))
-    return fit.join(R.first_seen(fit), "candidate_id").agg(F.round(F.percentile(hours, F.lit(0.5)), 6).alias("median_freshness"))
+    found = R.quantiles(fit.join(R.first_seen(fit), "candidate_id").select(hours.alias("hours")), "hours", {"median_freshness": 0.5})
+    return found.select(r6("median_freshness"))
 
 
 @query("split_summary", f"WITH {IC} SELECT count(*) AS n_rows, count(DISTINCT impression_id) AS n_impressions, count(DISTINCT user_id) AS n_users, min(ts) AS min_ts, max(ts) AS max_ts FROM fit")
@@ -263,9 +318,8 @@ def _(spark, sf):
     return rows.select("impression_id", "user_id").distinct().join(lengths, "user_id", "left").select("impression_id", F.coalesce("n", F.lit(0)).alias("history_len"))
 
 
-def two_lists(spark, sf) -> DataFrame:
+def two_lists(s: DataFrame) -> DataFrame:
     """Channel 0: an impression's candidates by popularity; channel 1: by position; the best three of each."""
-    s = tune_scored(spark, sf)
     w = W.partitionBy("impression_id")
     a = s.select(F.col("impression_id").alias("query"), F.lit(0).alias("channel"), F.row_number().over(w.orderBy(F.desc("score"), "pos")).alias("rank"), F.col("candidate_id").alias("item"))
     b = s.select(F.col("impression_id").alias("query"), F.lit(1).alias("channel"), F.row_number().over(w.orderBy("pos")).alias("rank"), F.col("candidate_id").alias("item"))
@@ -281,19 +335,29 @@ pool AS (SELECT query, item, CAST(row_number() OVER (PARTITION BY query ORDER BY
 
 @query("union_ordered_pool", f"WITH {POOL_SQL} SELECT * FROM pool")
 def _(spark, sf):
-    return R.pool_concat(two_lists(spark, sf))
+    return R.pool_concat(two_lists(tune_scored(spark, sf)))
 
 
 @query("positives_antijoin", f"WITH {POOL_SQL} SELECT t.impression_id AS query, t.candidate_id AS item FROM tune t WHERE t.label = 1 AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.query = t.impression_id AND p.item = t.candidate_id)")
 def _(spark, sf):
-    positives = parted(spark, sf)[2].filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item"))
-    return positives.join(R.pool_concat(two_lists(spark, sf)), ["query", "item"], "left_anti")
+    lists = tune_scored(spark, sf)
+    positives = lists.filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item"))
+    return positives.join(R.pool_concat(two_lists(lists)), ["query", "item"], "left_anti")
+
+
+def md5_sql(*parts: str) -> str:
+    """``R.md5_share`` in DuckDB."""
+    return "(('0x' || substr(md5(concat_ws(':', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@query("pool_with_positives", f"WITH {POOL_SQL} SELECT query, item FROM pool UNION SELECT impression_id, candidate_id FROM tune WHERE label = 1")
+@query("pool_with_positives", f"""WITH {POOL_SQL}, sz AS (SELECT query, count(*) AS n FROM pool GROUP BY 1),
+ms AS (SELECT t.impression_id AS query, t.candidate_id AS item FROM tune t WHERE t.label = 1 AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.query = t.impression_id AND p.item = t.candidate_id)),
+al AS (SELECT query, item, pos::DOUBLE AS spot FROM pool UNION ALL SELECT query, item, floor({md5_sql('query', 'item', S.SEED)} * (n + 1)) - 0.5 FROM ms JOIN sz USING (query))
+SELECT query, item, CAST(row_number() OVER (PARTITION BY query ORDER BY spot, item) - 1 AS INTEGER) AS pos FROM al""")
 def _(spark, sf):
-    positives = parted(spark, sf)[2].filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item"))
-    return R.pool_with_positives(R.pool_concat(two_lists(spark, sf)), positives).select("query", "item")
+    lists = tune_scored(spark, sf)
+    positives = lists.filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item"))
+    return R.pool_with_positives(R.pool_concat(two_lists(lists)), positives)
 
 
 @query("union_dedup_first", "SELECT c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
@@ -349,7 +413,7 @@ HEAD_SQL = "lim AS (SELECT quantile_cont(clicks, 0.8) AS h FROM pop), head AS (S
 
 def head_flags(fit: DataFrame, tune: DataFrame) -> DataFrame:
     pop = R.popularity(fit)
-    limit = pop.agg(F.percentile("clicks", F.lit(1 - S.HEAD_SHARE)).alias("h"))
+    limit = R.quantiles(pop, "clicks", {"h": 1 - S.HEAD_SHARE})
     rows = tune.filter("label = 1").join(pop, "candidate_id", "left").crossJoin(F.broadcast(limit))
     return rows.groupBy("impression_id").agg(F.max((F.coalesce("clicks", F.lit(0)) >= F.col("h")).cast("int")).alias("is_head"))
 
@@ -379,8 +443,8 @@ sl AS (SELECT m.*, unnest(['overall', CASE WHEN is_warm = 1 THEN 'warm' ELSE 'co
 lg AS (SELECT slice, 'auc' AS metric, auc AS v FROM sl UNION ALL SELECT slice, 'mrr', mrr FROM sl UNION ALL SELECT slice, 'ndcg5', ndcg5 FROM sl UNION ALL SELECT slice, 'ndcg10', ndcg10 FROM sl)
 SELECT slice, metric, round(avg(v), 6) AS mean, count(v) AS n FROM lg GROUP BY 1, 2""")
 def _(spark, sf):
-    _, fit, tune = parted(spark, sf)
-    m = R.impression_metrics(tune_scored(spark, sf)).join(head_flags(fit, tune), "impression_id").join(warm_flags(fit, tune), "impression_id")
+    fit, tune, lists = scored_parts(spark, sf)
+    m = R.impression_metrics(lists).join(head_flags(fit, tune), "impression_id").join(warm_flags(fit, tune), "impression_id")
     slices = F.array(F.lit("overall"), F.when(F.col("is_warm") == 1, "warm").otherwise("cold"), F.when(F.col("is_head") == 1, "head").otherwise("tail"))
     return R.summary(m.withColumn("slice", F.explode(slices)), "slice").withColumn("mean", F.round("mean", 6))
 
@@ -391,15 +455,19 @@ def _(spark, sf):
     return R.hit_rate(ranked, (1, 3, 5)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
+def best_three(lists: DataFrame) -> DataFrame:
+    return lists.withColumn("place", R.score_rank("score")).filter("place <= 3")
+
+
 def top_three(spark, sf):
-    return tune_scored(spark, sf).withColumn("place", R.score_rank("score")).filter("place <= 3")
+    return best_three(tune_scored(spark, sf))
 
 
 @query("novelty", f"WITH {SCORED}, tt AS (SELECT (SELECT sum(clicks) FROM pop) + (SELECT count(*) FROM part) AS total) SELECT impression_id, round(avg(-log2((coalesce(clicks, 0) + 1) / total::DOUBLE)), 6) AS novelty FROM rk LEFT JOIN pop USING (candidate_id), tt WHERE place <= 3 GROUP BY 1")
 def _(spark, sf):
-    _, fit, _t = parted(spark, sf)
+    fit, _, lists = scored_parts(spark, sf)
     catalog = table(spark, sf, "part").agg(F.count(F.lit(1)).alias("catalog"))
-    return R.novelty(top_three(spark, sf).select("impression_id", "candidate_id"), R.popularity(fit), catalog).withColumn("novelty", F.round("novelty", 6))
+    return R.novelty(best_three(lists).select("impression_id", "candidate_id"), R.popularity(fit), catalog).withColumn("novelty", F.round("novelty", 6))
 
 
 @query("coverage", f"WITH {SCORED} SELECT count(DISTINCT candidate_id) AS items, round(count(DISTINCT candidate_id) / (SELECT count(*) FROM part)::DOUBLE, 6) AS coverage FROM rk WHERE place <= 3")
@@ -439,7 +507,8 @@ def _(spark, sf):
 def _(spark, sf):
     v = V.unit(vectors(spark, sf))
     q = v.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query"), "vec")
-    return V.knn_ivf(q, v, 10, clusters=16, probe=4)
+    clusters = max(1, min(S.CLUSTERS, v.count() // 40))
+    return V.knn_ivf(q, v, 10, clusters=clusters, probe=max(1, clusters * S.PROBES // S.CLUSTERS))
 
 
 @query("mean_pool", "SELECT label AS key, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY 1, 2")
@@ -467,8 +536,7 @@ def _(spark, sf):
 
 @query("word2vec_train")
 def _(spark, sf):
-    v = V.word2vec(articles(spark, sf), "article_id", "text_lexical")
-    return v.select("id", F.size("vec").alias("dim"))
+    return V.word2vec(articles(spark, sf), "article_id", "text_lexical").select("id", "vec")
 
 
 # BM25
@@ -490,30 +558,31 @@ def bm25(spark, sf):
     docs = table(spark, sf, "documents")
     counts = V.term_counts(docs, "doc_id", "text")
     idf = V.bm25_idf(counts, docs)
-    return counts, idf, V.bm25_postings(counts, idf), V.term_counts(table(spark, sf, "benchmark"), "item_id", "text")
+    return V.bm25_postings(counts, idf), V.term_counts(table(spark, sf, "benchmark"), "item_id", "text")
 
 
 @query("bm25_idf", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark, sf):
-    return bm25(spark, sf)[1].select("term", "df", r6("idf"))
+    docs = table(spark, sf, "documents")
+    return V.bm25_idf(V.term_counts(docs, "doc_id", "text"), docs).select("term", "df", r6("idf"))
 
 
 @query("bm25_doc_weight", f"WITH {BM25_SQL} SELECT id, round(sum(w), 4) AS weight FROM po GROUP BY 1")
 def _(spark, sf):
-    return bm25(spark, sf)[2].groupBy("id").agg(F.round(F.sum("w"), 4).alias("weight"))
+    return bm25(spark, sf)[0].groupBy("id").agg(F.round(F.sum("w"), 4).alias("weight"))
 
 
 @query("bm25_topk", f"WITH {BM25_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS place FROM bs) SELECT query, id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM p WHERE place <= 20")
 def _(spark, sf):
-    _, _, postings, q = bm25(spark, sf)
+    postings, q = bm25(spark, sf)
     return V.top_k(V.bm25_scores(q, postings), 20).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_candidates", f"WITH {BM25_SQL}, c AS (SELECT item_id AS query, d.doc_id AS id FROM benchmark JOIN documents d ON d.doc_id % 40 = item_id % 40) SELECT query, id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN bs USING (query, id)")
 def _(spark, sf):
-    _, _, postings, q = bm25(spark, sf)
+    postings, q = bm25(spark, sf)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") % 40).alias("k")).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("k")), "k").drop("k")
-    return asked.join(V.bm25_scores(q, postings), ["query", "id"], "left").select("query", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    return V.bm25_candidate_scores(asked, q, postings).withColumn("score", F.round("score", 6))
 
 
 # Features, models, reports
@@ -549,6 +618,47 @@ def _(spark, sf):
     return feature_rows(spark, sf, "val").withColumns({c: F.round(c, 6) for c in ROUNDED})
 
 
+FUSED_SQL = f"""{FEATURE_SQL.split(",\npos1 AS")[0]},
+us_ AS (SELECT DISTINCT user_id FROM tune), imps AS (SELECT DISTINCT impression_id, user_id, ts FROM tune),
+qt AS (SELECT t.user_id AS id, string_agg(coalesce(p_name, ''), ' ' ORDER BY idx) AS text FROM tail t JOIN us_ USING (user_id) LEFT JOIN part ON p_partkey = article_id GROUP BY 1),
+atk AS (SELECT p_partkey AS id, unnest({TOKENS_SQL.replace('(text', '(p_name')}) AS term FROM part), atc AS (SELECT id, term, count(*) AS tf FROM atk GROUP BY 1, 2),
+aidf AS (SELECT term, ln(1 + ((SELECT count(*) FROM part) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM atc GROUP BY 1 HAVING count(*) >= 2),
+akn AS (SELECT atc.*, idf FROM atc JOIN aidf USING (term)), adl AS (SELECT id, sum(tf) AS dl FROM akn GROUP BY 1), aav AS (SELECT sum(dl) / (SELECT count(*) FROM part)::DOUBLE AS avgdl FROM adl),
+apo AS (SELECT term, id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM akn JOIN adl USING (id), aav),
+aqc AS (SELECT id AS query, term, count(*) AS qtf FROM (SELECT id, unnest({TOKENS_SQL}) AS term FROM qt) GROUP BY 1, 2),
+abs_ AS (SELECT query, id, sum(qtf * w) AS score FROM aqc JOIN apo USING (term) GROUP BY 1, 2),
+lex AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS place FROM abs_),
+vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+hv AS (SELECT user_id, idx, n, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM tail JOIN vec ON vec.id = article_id),
+mv AS (SELECT user_id, list(m ORDER BY d) AS u FROM (SELECT user_id, d, avg(x) AS m FROM hv JOIN us_ USING (user_id) GROUP BY 1, 2) GROUP BY 1),
+wv AS (SELECT user_id, list(m ORDER BY d) AS u FROM (SELECT user_id, d, sum(power(0.9, n - 1 - idx) * x) / sum(power(0.9, n - 1 - idx)) AS m FROM hv GROUP BY 1, 2) GROUP BY 1),
+ner AS (SELECT user_id AS query, id, row_number() OVER (PARTITION BY user_id ORDER BY round(list_cosine_similarity(u, e), 9) DESC, id) AS place FROM mv, vec),
+fl AS (SELECT query, id AS item, min(CASE WHEN c = 0 THEN place ELSE 1000 + place END) AS f FROM (SELECT query, id, place, 0 AS c FROM lex WHERE place <= {S.POOL_SIZE} UNION ALL SELECT query, id, place, 1 FROM ner WHERE place <= {S.POOL_SIZE}) GROUP BY 1, 2),
+fp AS (SELECT query AS user_id, item, row_number() OVER (PARTITION BY query ORDER BY f, item) - 1 AS pos FROM fl),
+own AS (SELECT impression_id, item, pos FROM imps JOIN fp USING (user_id)), szz AS (SELECT impression_id, count(*) AS n FROM own GROUP BY 1),
+mis AS (SELECT t.impression_id, t.candidate_id AS item FROM tune t WHERE t.label = 1 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.impression_id = t.impression_id AND o.item = t.candidate_id)),
+alls AS (SELECT impression_id, item, pos::DOUBLE AS spot FROM own UNION ALL SELECT impression_id, item, floor({md5_sql('impression_id', 'item', S.SEED)} * (n + 1)) - 0.5 FROM mis JOIN szz USING (impression_id)),
+fin AS (SELECT impression_id, item AS candidate_id, CAST(row_number() OVER (PARTITION BY impression_id ORDER BY spot, item) - 1 AS INTEGER) AS pos FROM alls),
+fused AS (SELECT f.impression_id, i.user_id, i.ts, f.candidate_id, f.pos, CAST(coalesce(t.label, 0) AS INTEGER) AS label FROM fin f JOIN imps i USING (impression_id) LEFT JOIN tune t ON t.impression_id = f.impression_id AND t.candidate_id = f.candidate_id),
+eng AS (SELECT user_id, avg(value) AS rd, avg(CASE WHEN event_id % 7 <> 0 THEN value / 2 END) AS sc FROM events WHERE event_type = 'click' GROUP BY 1),
+pos1 AS{FEATURE_SQL.split(",\npos1 AS")[1].format("fused", "0").replace("{{", "{").replace("}}", "}")}"""
+
+
+@query("feature_table_fused", f"""WITH {FUSED_SQL} SELECT ft.impression_id, ft.user_id, ft.candidate_id, ft.label, hist_len, round(hist_category_match_frac, 6) AS hist_category_match_frac,
+round(hist_category_match_recency, 6) AS hist_category_match_recency, session_position, round(popularity_log, 6) AS popularity_log, round(greatest(freshness_hours_raw, 0), 6) AS freshness_hours,
+round(freshness_hours_raw, 6) AS freshness_hours_raw, category_match, candidate_position, round(candidate_position_norm, 6) AS candidate_position_norm,
+round(coalesce(list_cosine_similarity(u, e), 0), 6) AS hist_embed_sim, round(coalesce(rd, 0), 6) AS user_avg_read_time, round(coalesce(sc, 0), 6) AS user_avg_scroll_pct
+FROM ft LEFT JOIN wv ON wv.user_id = ft.user_id LEFT JOIN vec ON vec.id = ft.candidate_id LEFT JOIN eng ON eng.user_id = ft.user_id""")
+def _(spark, sf):
+    """The later part's impressions over the fused pool of 100 + 100 with positives put in; all features."""
+    _, fit, tune = parted(spark, sf)
+    vecs = vectors(spark, sf).select("id", "vec")
+    rows = FT.fused_rows(tune, fit, articles(spark, sf), vecs)
+    engagement = clicks(spark, sf).select("user_id", "read_time", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("read_time") / 2).alias("scroll"))
+    ft = FT.feature_table(rows, fit, articles(spark, sf), "val", vecs, engagement)
+    return ft.withColumns({c: F.round(c, 6) for c in (*ROUNDED, "hist_embed_sim", "user_avg_read_time", "user_avg_scroll_pct")})
+
+
 @query("popularity_log_loo", f"WITH {TRAIN_SQL} SELECT impression_id, candidate_id, round(popularity_log, 6) AS popularity_log FROM ft")
 def _(spark, sf):
     return feature_rows(spark, sf, "train").select("impression_id", "candidate_id", r6("popularity_log"))
@@ -559,17 +669,31 @@ def _(spark, sf):
     return feature_rows(spark, sf, "val").select("impression_id", "candidate_id", r6("freshness_hours"))
 
 
-@query("leak_checks", "SELECT * FROM (VALUES ('candidate_lists', 0::BIGINT), ('cutoff_order', 0), ('empty_history_neutral', 0), ('fit_tune_partition', 0), ('session_starts_at_zero', 0)) t(rule, violations)")
+@query("leak_checks", f"""WITH {VAL_SQL}
+SELECT 'candidate_lists' AS rule, count(*) AS violations FROM ic WHERE label NOT IN (0, 1) OR pos < 0
+UNION ALL SELECT 'cutoff_order', count(*) FROM (SELECT max(ts) AS a FROM fit) x, (SELECT min(ts) AS b FROM tune) y WHERE a > b
+UNION ALL SELECT 'empty_history_neutral', count(*) FROM ft WHERE hist_len = 0 AND (hist_category_match_frac <> 0 OR hist_category_match_recency <> 0)
+UNION ALL SELECT 'fit_tune_partition', count(*) FROM (SELECT DISTINCT impression_id FROM ic EXCEPT (SELECT impression_id FROM fit UNION SELECT impression_id FROM tune))
+UNION ALL SELECT 'fit_tune_overlap', count(*) FROM (SELECT impression_id FROM fit INTERSECT SELECT impression_id FROM tune)
+UNION ALL SELECT 'first_seen_after_impression', count(*) FROM fit JOIN seen USING (candidate_id) WHERE first_ts > ts
+UNION ALL SELECT 'negative_freshness_share', CAST(count(*) AS BIGINT) FROM ft WHERE freshness_hours_raw < 0
+UNION ALL SELECT 'session_starts_at_zero', count(*) FROM (SELECT user_id FROM ft GROUP BY 1 HAVING min(session_position) <> 0)""")
 def _(spark, sf):
     rows, fit, tune = parted(spark, sf)
-    ft = FT.feature_table(tune, fit, articles(spark, sf), "val")
+    ft = written(FT.feature_table(tune, fit, articles(spark, sf), "val"), "leak-features")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
     ends = fit.agg(F.max("ts").alias("a")).crossJoin(tune.agg(F.min("ts").alias("b"))).filter("a > b")
     whole = rows.select("impression_id").distinct().exceptAll(fit.select("impression_id").distinct().unionAll(tune.select("impression_id").distinct()))
     empty = ft.filter("hist_len = 0 and (hist_category_match_frac <> 0 or hist_category_match_recency <> 0)")
     starts = ft.groupBy("user_id").agg(F.min("session_position").alias("m")).filter("m <> 0")
     bad = rows.filter("label not in (0, 1) or pos < 0")
-    return n(bad, "candidate_lists").unionByName(n(ends, "cutoff_order")).unionByName(n(empty, "empty_history_neutral")).unionByName(n(whole, "fit_tune_partition")).unionByName(n(starts, "session_starts_at_zero"))
+    both = fit.select("impression_id").intersect(tune.select("impression_id"))
+    late = fit.join(R.first_seen(fit), "candidate_id").filter("first_ts > ts")
+    found = {"candidate_lists": bad, "cutoff_order": ends, "empty_history_neutral": empty, "fit_tune_partition": whole, "fit_tune_overlap": both, "first_seen_after_impression": late, "negative_freshness_share": ft.filter("freshness_hours_raw < 0"), "session_starts_at_zero": starts}
+    out = None
+    for name, df in found.items():
+        out = n(df, name) if out is None else out.unionByName(n(df, name))
+    return out
 
 
 @query("paired_delta", f"WITH {SCORED}, o AS (SELECT impression_id, sum(label / (pos + 1.0::DOUBLE)) / sum(label)::DOUBLE AS mrr FROM tune GROUP BY 1 HAVING sum(label) > 0) SELECT count(*) AS n, round(avg(met.mrr - o.mrr), 6) AS delta FROM met JOIN o USING (impression_id)")
@@ -580,14 +704,37 @@ def _(spark, sf):
     return a.join(b, "impression_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("a") - F.col("b")), 6).alias("delta"))
 
 
-@query("bootstrap_ci")
+POISSON_EDGES = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]
+
+
+def poisson_sql(share: str) -> str:
+    return "CASE " + " ".join(f"WHEN {share} < {edge!r} THEN {k}" for k, edge in enumerate(POISSON_EDGES)) + " ELSE 8 END"
+
+
+BOOT_SQL = f"bt AS (SELECT m.*, b, {poisson_sql(md5_sql('impression_id', 'b', S.SEED))} AS w FROM {{0}} m, generate_series(1, {S.ROUNDS}) r(b))"
+
+
+@query("bootstrap_ci", f"WITH {SCORED}, ml AS (SELECT impression_id, mrr AS x FROM met), {BOOT_SQL.format('ml')}, bm AS (SELECT b, sum(w * x) / sum(w) AS m FROM bt WHERE w > 0 GROUP BY 1) SELECT (SELECT count(*) FROM ml) AS n, round((SELECT avg(x) FROM ml), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM bm")
+def _(spark, sf):
+    return R.bootstrap(R.impression_metrics(tune_scored(spark, sf)), [], "mrr").select("n", r6("mean"), r6("ci_low"), r6("ci_high"))
+
+
+@query("paired_bootstrap", f"""WITH {SCORED}, om AS (SELECT impression_id, sum(label / (pos + 1.0::DOUBLE)) / sum(label)::DOUBLE AS mrr FROM tune GROUP BY 1 HAVING sum(label) > 0),
+ml AS (SELECT impression_id, met.mrr - om.mrr AS x FROM met JOIN om USING (impression_id)), {BOOT_SQL.format('ml')}, bm AS (SELECT b, sum(w * x) / sum(w) AS m FROM bt WHERE w > 0 GROUP BY 1),
+ci AS (SELECT quantile_cont(m, 0.025) AS a, quantile_cont(m, 0.975) AS z FROM bm)
+SELECT 'mrr' AS metric, (SELECT count(*) FROM ml) AS n, round((SELECT avg(x) FROM ml), 6) AS delta, round(a, 6) AS ci_low, round(z, 6) AS ci_high, a > 0 OR z < 0 AS excludes_zero FROM ci""")
 def _(spark, sf):
-    return R.bootstrap_ci(R.impression_metrics(tune_scored(spark, sf)), "mrr")
+    s = tune_scored(spark, sf).withColumn("other", -F.col("pos").cast("double"))
+    found = R.paired_bootstrap(R.impression_metrics(s), R.impression_metrics(s, "other")).filter("metric = 'mrr'")
+    return found.select("metric", "n", r6("delta"), r6("ci_low"), r6("ci_high"), "excludes_zero")
 
 
-@query("bootstrap_coverage")
+@query("bootstrap_coverage", f"""WITH {SCORED}, tp AS (SELECT impression_id, candidate_id FROM rk WHERE place <= 3), nc AS (SELECT count(*)::DOUBLE AS catalog FROM part),
+dr AS (SELECT r, count(DISTINCT candidate_id) AS f FROM tp, generate_series(0, 199) g(r) WHERE {md5_sql('impression_id', 'r', S.SEED)} < {1 - 2.718281828459045**-1!r} GROUP BY 1)
+SELECT round((SELECT count(DISTINCT candidate_id) FROM tp) / catalog, 6) AS mean, round(quantile_cont(f, 0.025) / catalog, 6) AS ci_low, round(quantile_cont(f, 0.975) / catalog, 6) AS ci_high FROM dr, nc GROUP BY catalog""")
 def _(spark, sf):
-    return R.bootstrap_coverage(top_three(spark, sf), table(spark, sf, "part").count())
+    found = R.bootstrap_coverage(top_three(spark, sf), table(spark, sf, "part").agg(F.count(F.lit(1)).alias("catalog")))
+    return found.select(r6("mean"), r6("ci_low"), r6("ci_high"))
 
 
 @query("gbt_train_score")
@@ -625,9 +772,7 @@ def _(spark, sf):
 
 
 def roundtrip(df: DataFrame, name: str) -> DataFrame:
-    import uuid
-
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -639,18 +784,14 @@ def _(spark, sf):
 
 @query("sink_rank_lines", f"WITH {SCORED} SELECT impression_id || ' [' || string_agg(CAST(place AS VARCHAR), ',' ORDER BY pos) || ']' AS value FROM rk GROUP BY impression_id")
 def _(spark, sf):
-    import uuid
-
-    path = f"{folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = new_path(spark, "lines")
     readers.write_rank_lines(R.rank_lines(tune_scored(spark, sf)), path)
     return spark.read.text(path)
 
 
 @query("sink_json_report", f"WITH {SCORED} SELECT count(*) AS n, round(avg(mrr), 6) AS mrr FROM met")
 def _(spark, sf):
-    import uuid
-
-    path = f"{folder(spark)}/report-{uuid.uuid4().hex}"
+    path = new_path(spark, "report")
     readers.write_report(R.impression_metrics(tune_scored(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mrr"), 6).alias("mrr")), path)
     return spark.read.schema("n long, mrr double").json(path)
 
@@ -662,8 +803,12 @@ def _(spark, sf):
 
 @query("scan_publish_times", "SELECT l_partkey AS article_id, min(l_shipdate) AS published_time FROM lineitem GROUP BY 1")
 def _(spark, sf):
+    """Of two files the first one's row counts."""
     times = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("article_id")).agg(F.min("l_shipdate").alias("published_time"))
-    return readers.union_first_wins("article_id", times, times.withColumn("published_time", F.lit(None).cast("timestamp_ntz")))
+    one, two = new_path(spark, "publish-times"), new_path(spark, "publish-times")
+    times.write.parquet(one)
+    times.withColumn("published_time", F.lit(None).cast("timestamp_ntz")).write.parquet(two)
+    return readers.parquet_publish_times(spark, one, two)
 
 
 @query("scan_vectors", "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
@@ -687,7 +832,7 @@ def _(spark, sf):
     return fit.select("impression_id").distinct().withColumn("part", F.lit("fit")).unionByName(tune.select("impression_id").distinct().withColumn("part", F.lit("tune")))
 
 
-@query("union_partition_check", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+@query("union_partition_check", f"WITH {IC}, both_ AS (SELECT impression_id, candidate_id FROM fit UNION ALL SELECT impression_id, candidate_id FROM tune) SELECT (SELECT count(*) FROM (SELECT impression_id, candidate_id FROM ic EXCEPT ALL SELECT * FROM both_)) AS missing, (SELECT count(*) FROM (SELECT * FROM both_ EXCEPT ALL SELECT impression_id, candidate_id FROM ic)) AS extra")
 def _(spark, sf):
     rows, fit, tune = parted(spark, sf)
     both, whole = fit.select("impression_id", "candidate_id").unionAll(tune.select("impression_id", "candidate_id")), rows.select("impression_id", "candidate_id")
@@ -712,22 +857,37 @@ def _(spark, sf):
     return tune_scored(spark, sf).withColumn("place", R.score_rank("score")).filter("place <= 10").select("impression_id", "candidate_id")
 
 
-@query("sample_rows")
+@query("sample_rows", f"SELECT o_orderkey FROM orders ORDER BY {md5_sql('o_orderkey', S.SEED)}, o_orderkey LIMIT 200")
 def _(spark, sf):
     return FT.sample_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 200)
 
 
-@query("stratified_holdout")
+@query("sample_users", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY {md5_sql('o_custkey', S.SEED)}, o_custkey LIMIT 50)")
+def _(spark, sf):
+    return FT.sample_users(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 50)
+
+
+@query("stratified_holdout", f"WITH {IC} SELECT label, {md5_sql('impression_id', 'label', S.SEED)} < 0.1 AS held, count(*) AS n FROM ic GROUP BY 1, 2")
 def _(spark, sf):
     rows = impressions(spark, sf)
     return FT.stratified_holdout(rows, "impression_id", "label").groupBy("label", "held").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("query_build", f"""WITH {IC}, txt AS (SELECT user_id, string_agg(coalesce(p_name, ''), ' ' ORDER BY idx) AS query_text FROM tail LEFT JOIN part ON p_partkey = article_id GROUP BY 1) SELECT * FROM txt""")
+@query("query_build", f"""WITH {IC}, txt AS (SELECT user_id, string_agg(coalesce(p_name, ''), ' ' ORDER BY idx) AS query_text FROM tail LEFT JOIN part ON p_partkey = article_id GROUP BY 1),
+hv AS (SELECT user_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM tail JOIN embeddings ON vec_id = article_id),
+mv AS (SELECT user_id, sum(m * d) AS vec_sum FROM (SELECT user_id, d, avg(x) AS m FROM hv GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, query_text, round(coalesce(vec_sum, 0), 5) AS vec_sum FROM txt LEFT JOIN mv USING (user_id)""")
 def _(spark, sf):
-    tail = R.history_tail(R.click_history(parted(spark, sf)[1])).join(articles(spark, sf), "article_id", "left")
-    lists = tail.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text_lexical", F.lit("")).alias("t")))).alias("x"))
-    return lists.select("user_id", F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("query_text"))
+    """Each user's query: the window's texts, and its mean vector (here its sum weighted by dimension), zero without vectors."""
+    texts, means = FT.user_queries(R.click_history(parted(spark, sf)[1]), articles(spark, sf), vectors(spark, sf))
+    total = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return texts.join(means, "user_id", "left").select("user_id", "query_text", F.round(F.coalesce(total, F.lit(0.0)), 5).alias("vec_sum"))
+
+
+@query("vectors_for", "SELECT p_partkey AS id, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dim FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+def _(spark, sf):
+    """The articles' vectors; without one, none."""
+    return articles(spark, sf).select(F.col("article_id").alias("id")).join(vectors(spark, sf).select("id", "vec"), "id", "left").select("id", F.coalesce(F.size("vec"), F.lit(0)).alias("dim")).withColumn("dim", F.greatest("dim", F.lit(0)))
 
 
 @query("embed_score_candidates", "SELECT a.vec_id AS query, a.vec_id * 2 AS id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS score FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id * 2")
@@ -745,6 +905,15 @@ def _(spark, sf):
     return report.filter("metric = 'mrr'").select("method", F.round("mean", 6).alias("mean"), "n")
 
 
+@query("rerank_model")
+def _(spark, sf):
+    """Metrics of the later part's lists by the model, by clicks and as given, in one report."""
+    fit, tune, lists = scored_parts(spark, sf)
+    model = FT.train_ranker(written(feature_rows(spark, sf, "train"), "train-features"), FT.FEATURES)
+    ranked = FT.scored(model, FT.feature_table(tune, fit, articles(spark, sf), "val"), FT.FEATURES)
+    return FT.rerank_report({"model": ranked, "clicks": lists, "given order": lists.withColumn("score", -F.col("pos").cast("double"))})
+
+
 @query("serving_score")
 def _(spark, sf):
     _, fit, tune = parted(spark, sf)
@@ -752,6 +921,47 @@ def _(spark, sf):
     return FT.serve(model, tune, fit, articles(spark, sf), FT.FEATURES)
 
 
+@query("serving_request")
+def _(spark, sf):
+    """Requests of the users of the later part: retrieval, features and the model's best ten."""
+    _, fit, tune = parted(spark, sf)
+    model = FT.train_ranker(written(feature_rows(spark, sf, "train"), "train-features"), FT.FEATURES)
+    return FT.serving_request(model, tune.select("user_id").distinct(), fit, articles(spark, sf), vectors(spark, sf).select("id", "vec"), FT.FEATURES, "2001-08-02 00:00:00")
+
+
+@query("gbdt_rounds")
+def _(spark, sf):
+    """How many of the trees asked for the early stop leaves."""
+    model = FT.train_ranker(written(feature_rows(spark, sf, "train"), "train-features"), FT.FEATURES)
+    return spark.createDataFrame([(S.TREES, FT.rounds_used(model))], "asked int, used int")
+
+
+@query("feature_columns", "SELECT unnest(['candidate_position', 'candidate_position_norm', 'category_match', 'freshness_hours', 'hist_category_match_frac', 'hist_category_match_recency', 'hist_len', 'popularity_log', 'session_position']) AS name")
+def _(spark, sf):
+    return spark.createDataFrame([(c,) for c in FT.feature_columns(feature_rows(spark, sf, "val"))], "name string")
+
+
+@query("sink_parquet_incremental", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, sf):
+    """Chunk after chunk appended to one table, each exactly once."""
+    from rankloom.streaming.chunks import append_chunks
+
+    path = new_path(spark, "incremental")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    append_chunks(rows, path, files=5)
+    append_chunks(rows, path, files=5)  # a second run after all chunks are in adds nothing
+    return spark.read.parquet(path)
+
+
+@query("sink_zip", f"WITH {SCORED} SELECT impression_id || ' [' || string_agg(CAST(place AS VARCHAR), ',' ORDER BY pos) || ']' AS line FROM rk GROUP BY impression_id")
+def _(spark, sf):
+    """One zip with one member on the shared store, read back from it."""
+    lines, path = new_path(spark, "lines"), new_path(spark, "submission") + ".zip"
+    readers.write_rank_lines(R.rank_lines(tune_scored(spark, sf)), lines)
+    readers.write_zip(spark, lines, path, "prediction.txt")
+    return readers.read_zip(spark, path, "prediction.txt")
+
+
 @query("ablation_pair")
 def _(spark, sf):
     return FT.ablation_pair(feature_rows(spark, sf, "train"), feature_rows(spark, sf, "val"))
@@ -759,18 +969,17 @@ def _(spark, sf):
 
 @query("sink_model")
 def _(spark, sf):
-    import uuid
-
     from pyspark.ml.classification import GBTClassificationModel
 
-    path = f"{folder(spark)}/model-{uuid.uuid4().hex}"
+    path = new_path(spark, "model")
     FT.train_ranker(feature_rows(spark, sf, "train"), FT.BASE).write().save(path)
     return FT.scored(GBTClassificationModel.load(path), feature_rows(spark, sf, "val"), FT.BASE)
 
 
-@query("memory_report")
+@query("memory_report", f"WITH {BM25_SQL} SELECT 'postings' AS part, count(*) AS rows, count(*) * 12 AS bytes FROM po UNION ALL SELECT 'vectors', count(*), CAST(sum(4 * len(embedding)) AS BIGINT) FROM embeddings UNION ALL SELECT 'articles', count(*), CAST(sum(8 + strlen(p_name) + strlen(p_brand)) AS BIGINT) FROM part")
 def _(spark, sf):
-    """Rows and values of what serving keeps: postings, vectors, articles."""
-    _, _, postings, _q = bm25(spark, sf)
-    n = lambda name, df, size: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows", (F.col("rows") * size).alias("bytes"))
-    return n("postings", postings, 12).unionByName(n("vectors", vectors(spark, sf), 4 * 64)).unionByName(n("articles", articles(spark, sf), 8))
+    """Rows and bytes of what serving keeps: postings (id and weight), vectors (floats), articles (id and UTF-8 texts)."""
+    postings, _q = bm25(spark, sf)
+    n = lambda name, df, size: df.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).select(F.lit(name).alias("part"), "rows", F.col("bytes").cast("long").alias("bytes"))
+    texts = F.lit(8) + F.octet_length("text_lexical") + F.octet_length("category")
+    return n("postings", postings, F.lit(12)).unionByName(n("vectors", vectors(spark, sf), F.size("vec") * 4)).unionByName(n("articles", articles(spark, sf), texts))

@@ -9,5 +9,8 @@ SESSION_GAP_MINUTES = 30
 POOL_SIZE = 100
 COLD_UP_TO, HEAD_SHARE = 5, 0.2
 TREES, RATE, DEPTH = 300, 0.08, 6
-#: Tables up to this many rows are broadcast; larger ones are joined by shuffling.
-MOST_BROADCAST_ROWS = 500_000
+#: Queries of an exact search that are held at once.
+QUERY_BLOCK = 4096
+#: Clusters of a clustered search and how many are searched first; fewer where the table has fewer than 40 rows a cluster.
+CLUSTERS, PROBES = 256, 16
+PATIENCE, ROUNDS = 10, 1000

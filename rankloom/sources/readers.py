@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -105,13 +104,62 @@ def write_rank_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def write_zip(text_folder: str, zip_path: str, member: str) -> None:
-    """One zip with a single member at its root from local text files, streamed part by part."""
-    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(member, "w", force_zip64=True) as out:
-        for part in sorted(Path(text_folder).glob("part-*")):
-            with part.open("rb") as source:
-                while chunk := source.read(1 << 20):
-                    out.write(chunk)
+class _StoreFile:
+    """A file of any store that Spark reaches, as a Python stream."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        return len(data)
+
+    def flush(self) -> None:
+        self.stream.flush()
+
+
+def write_zip(spark: SparkSession, text_folder: str, zip_path: str, member: str) -> None:
+    """One zip with a single member at its root from the text files of a folder, both on any store that Spark reaches; streamed, part by part."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(text_folder), jvm.org.apache.hadoop.fs.Path(zip_path)
+    parts = sorted(str(x.getPath()) for x in folder.getFileSystem(conf).listStatus(folder) if x.getPath().getName().startswith("part-"))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        with zipfile.ZipFile(_StoreFile(out), "w", zipfile.ZIP_DEFLATED) as archive, archive.open(member, "w", force_zip64=True) as sink:
+            for part in parts:
+                source = folder.getFileSystem(conf).open(jvm.org.apache.hadoop.fs.Path(part))
+                while chunk := bytes(source.readNBytes(1 << 20)):
+                    sink.write(chunk)
+                source.close()
+    finally:
+        out.close()
+
+
+def read_zip(spark: SparkSession, zip_path: str, member: str) -> DataFrame:
+    """(line) of a zip's member."""
+    import io
+
+    def lines(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for raw in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(raw)) as archive, archive.open(member) as source:
+                    while some := source.readlines(1 << 20):
+                        yield pd.DataFrame({"line": [x.decode().rstrip("\n") for x in some]})
+
+    return spark.read.format("binaryFile").load(zip_path).select("content").mapInPandas(lines, "line string")
+
+
+def in_chunks(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """Adds ``chunk``, the row's number by ``order`` // rows: numbers within ranges of the order, plus the ranges before. No task sorts more than a range."""
+    from rankloom.sources.store import written
+
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn("chunk", F.floor((F.col("_before") + F.col("_place")) / rows)).drop("_range", "_place", "_before")
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -31,18 +31,44 @@ def test_same_rows_as_sql(spark, name):
     assert canonical([r[c] for c in columns] for r in got.collect()) == canonical([r[i] for i in pick] for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci", "bootstrap_coverage", "knn_ivf", "nfkc_tokens", "word2vec_train"])
-def test_queries_without_sql_give_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
-
-
-def test_clustered_search_finds_most_neighbours(spark):
-    exact = {(r.query, r.id) for r in QUERIES["knn_exact_topk"](spark, SF).collect()}
-    near = {(r.query, r.id) for r in QUERIES["knn_ivf"](spark, SF).collect()}
-    assert len(exact & near) >= 0.5 * len(exact)
+def test_word_vectors_are_whole_and_the_same_twice(spark):
+    rows = QUERIES["word2vec_train"](spark, SF).collect()
+    assert {len(r.vec) for r in rows} == {128} and len(rows) == len({r.id for r in rows})
 
 
 def test_clustered_search_has_the_required_recall(spark):
     exact = {(r.query, r.id) for r in QUERIES["knn_exact_topk"](spark, SF).collect()}
     near = {(r.query, r.id) for r in QUERIES["knn_ivf"](spark, SF).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_blocks_of_queries_find_the_same_neighbours(spark):
+    from rankloom.operators import retrieval as V
+    from rankloom.plans.fixtures import vectors
+
+    v = V.unit(vectors(spark, SF))
+    q = v.filter("id % 50 = 0").selectExpr("id as query", "vec")
+    found = [sorted((r.query, r.place, r.id) for r in V.knn_exact(q, v, 5, block=b).collect()) for b in (4096, 3)]
+    assert found[0] == found[1] and V.knn_exact(q.limit(0), v, 5).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from rankloom.__main__ import STAGES, main
+
+    assert {q for names in STAGES.values() for q in names} <= QUERIES.keys()
+    assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
+    assert main(["run", "popularity_train", "--data", SF, "--out", str(tmp_path)]) == 0
+    assert spark.read.parquet(f"{tmp_path}/popularity_train").count() == QUERIES["popularity_train"](spark, SF).count()
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "--data", SF])
+
+
+def test_a_stream_counts_each_batch_once(spark, tmp_path):
+    from rankloom.streaming.chunks import append_chunks, in_batches
+
+    df = spark.range(1000).selectExpr("id", "id % 7 as k")
+    sums = in_batches(spark, df, lambda b: b.groupBy("k").count(), files=3)
+    assert {r.k: r["sum(count)"] for r in sums.groupBy("k").sum("count").collect()} == {k: len(range(k, 1000, 7)) for k in range(7)}
+    for _ in range(2):
+        append_chunks(df, f"{tmp_path}/t", files=3)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1000

@@ -100,3 +100,30 @@ def test_pairwise_diversity_identity(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [2.0, 2.0]), (3, [1.0, 0.0])], "impression_id long, vec array<double>")
     got = {r.impression_id: r.diversity for r in R.diversity(df).collect()}
     assert got[1] == pytest.approx(1) and got[2] == pytest.approx(0) and 3 not in got and math.isfinite(got[1])
+
+
+def test_order_statistics_and_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from rankloom.operators import ranking as R
+
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=5000), rng.integers(0, 3, 3000).astype(float), np.array([4.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        got = R.quantiles(df, "x", {"a": 0.0, "b": 0.137, "c": 0.5, "d": 0.99, "e": 1.0}).first()
+        assert np.allclose(got, np.quantile(values, [0, 0.137, 0.5, 0.99, 1]))
+    assert R.quantiles(spark.createDataFrame([], "x double"), "x", {"a": 0.5}).first().a is None
+
+
+def test_poisson_bootstrap_has_the_spread_of_a_row_bootstrap(spark):
+    import numpy as np
+
+    from rankloom.operators import ranking as R
+
+    rng = np.random.default_rng(2)
+    x = rng.exponential(size=400)
+    got = R.bootstrap(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "impression_id long, x double"), [], "x").first()
+    means = [rng.choice(x, 400).mean() for _ in range(2000)]
+    want = np.quantile(means, [0.025, 0.975])
+    assert got.n == 400 and abs(got.mean - x.mean()) < 1e-9
+    assert abs((got.ci_high - got.ci_low) / (want[1] - want[0]) - 1) < 0.15

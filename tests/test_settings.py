@@ -30,7 +30,7 @@ def asked(of, *names):
     return call
 
 
-@pytest.mark.parametrize("name", ["gbt_train_score", "ablation_incremental", "position_removal", "ablation_pair", "serving_score", "sink_model"])
+@pytest.mark.parametrize("name", ["gbt_train_score", "ablation_incremental", "position_removal", "ablation_pair", "serving_score", "sink_model", "gbdt_rounds", "serving_request", "rerank_model"])
 def test_rankers_have_all_trees(spark, monkeypatch, name):
     monkeypatch.setattr(FT, "train_ranker", asked(FT.train_ranker, "trees"))
     with pytest.raises(Asked) as found:
