@@ -1,16 +1,21 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-Texts are words in lower case (runs of letters and digits), and runs of five words hashed to 64 bits. A shared run of
-five words places an item on a document, and so an item-sized window of it: any window similar enough to an item shares such a
-run with it, at the same distance from the start unless words were put in or left out before it. Windows and items get
-SimHash fingerprints; those within ``radius`` bits agree in one of radius + 1 blocks of bits, which an equi-join of item and
-block finds. What it finds is verified by the exact similarity of their runs weighted by how often they occur: the sum of
+Texts are words in lower case (runs of letters and digits), and runs of five words hashed to 64 bits. A window that is similar enough
+to an item lacks few of the item's runs, so it has one at least of the item's rarest: of these alone, whose number the threshold gives, every
+document is searched, and runs that many items or documents share are none of them. A document and an item found so are placed on each other by
+all runs they share: windows begin where a shared run puts the item's start, and at all places between two such starts that are less than an
+item apart. Windows and items get SimHash fingerprints; those within ``radius`` bits agree in one of radius + 1 blocks of bits, which an equi-join of
+item and block finds. What it finds is verified by the exact similarity of their runs weighted by how often they occur: the sum of
 the lesser weights over the sum of the greater.
+
+A similarity of 0.8 is some ten bits of 64 and up to 23: blocks for that have two or three bits, by which nearly every window would meet every item. So blocks
+can't find documents here; they only sort out windows of documents and items that the rarest runs found.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import text_or_empty, written
@@ -51,6 +56,19 @@ def blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) * 64 + k for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
 
 
+def rarest(items: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, run): each item's runs in order of how many items have them, the rarest first, as many as can't all be missing from a similar window.
+
+    A window shares ``threshold`` of the item's weight at least: similarity s of weights a and b needs common >= s (a + b - common), and common <= b.
+    """
+    weights = items.groupBy("item_id", "run").agg(F.count(F.lit(1)).alias("weight"))
+    spread = weights.groupBy("run").agg(F.count(F.lit(1)).alias("in_items"))
+    order = W.partitionBy("item_id").orderBy("in_items", "run")
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = weights.join(spread, "run").withColumn("before", before).withColumn("whole", F.sum("weight").over(W.partitionBy("item_id")))
+    return placed.filter(F.col("before") <= F.col("whole") * F.lit(1 - threshold) + 1e-9).select("item_id", "run")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23, by_row: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and item, the best window of ``threshold`` or more.
 
@@ -63,20 +81,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     counted = lambda name: bound(word_hashes(text_or_empty()), lambda w: F.struct(F.size(w).alias(name), run_hashes(w).alias("runs")))
     items = benchmark.select("item_id", counted("n_item").alias("x")).select("item_id", "x.*")
     items = written(items.dropDuplicates(["item_id", "n_item", "runs"]).select("item_id", "n_item", F.posexplode("runs").alias("item_at", "run")), "items")
+    marks = written(rarest(items, threshold), "rare-runs")
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), counted("n_doc").alias("x"))
     # struct fields of x are read from one column: the generator keeps a later select from repeating its expression
     rows = rows.select("doc_id", "text_hash", F.inline(F.array("x")))
-    places = rows.select("doc_id", "text_hash", "n_doc", F.posexplode("runs").alias("at", "run"))
-    small = items.count() <= MOST_BROADCAST
-    hits = places.join(F.broadcast(items) if small else items, "run")
+    places = rows.select("doc_id", "text_hash", F.explode("runs").alias("run"))
+    small = marks.count() <= MOST_BROADCAST
+    pairs = written(places.join(F.broadcast(marks) if small else marks, "run").select("doc_id", "text_hash", "item_id").distinct(), "pairs")
+    # the documents that have any are read again
+    keys = written(pairs.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).distinct(), "pair-documents")
+    again = rows.join(keys, rows.doc_id.eqNullSafe(keys["of"]) & (rows.text_hash == keys.of_hash)).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "n_doc", "runs")
+    again = written(again, "pair-texts")
+    shared = again.select("doc_id", "text_hash", "n_doc", F.posexplode("runs").alias("at", "run")).join(F.broadcast(items) if small else items, "run")
+    asked = pairs.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), F.col("item_id").alias("of_item"))
+    shared = shared.join(asked, shared.doc_id.eqNullSafe(asked["of"]) & (shared.text_hash == asked.of_hash) & (shared.item_id == asked.of_item), "left_semi")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n_doc") - F.col("n_item"))).alias("start")
-    windows = written(hits.select("doc_id", "text_hash", "item_id", "n_item", start).distinct(), "windows")
-    # the windows' own runs: the documents that have any are read again
-    keys = windows.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).distinct()
-    keys = written(keys, "window-documents")
-    again = rows.join(keys, rows.doc_id.eqNullSafe(keys["of"]) & (rows.text_hash == keys.of_hash)).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "runs")
-    again = written(again, "window-texts").withColumnRenamed("doc_id", "of").withColumnRenamed("text_hash", "of_hash")
-    inside = windows.join(again, windows.doc_id.eqNullSafe(again["of"]) & (windows.text_hash == again.of_hash)).select(
+    aligned = written(shared.select("doc_id", "text_hash", "item_id", "n_item", start).distinct(), "aligned")
+    after = F.lead("start").over(W.partitionBy("doc_id", "text_hash", "item_id", "n_item").orderBy("start"))
+    until = F.when(after - F.col("start") <= F.col("n_item"), after - 1).otherwise(F.col("start"))
+    windows = written(aligned.withColumn("until", until).select("doc_id", "text_hash", "item_id", "n_item", F.explode(F.sequence("start", F.coalesce("until", "start"))).alias("start")), "windows")
+    texts = again.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "runs")
+    inside = windows.join(texts, windows.doc_id.eqNullSafe(texts["of"]) & (windows.text_hash == texts.of_hash)).select(
         "doc_id", "text_hash", "item_id", "n_item", "start", F.explode(F.slice("runs", F.col("start") + 1, F.greatest(F.lit(1), F.col("n_item") - (RUN - 1)))).alias("run")
     )
     key = ["doc_id", "text_hash", "item_id", "start"]

@@ -305,6 +305,35 @@ def test_decontamination_against_all_windows(spark):
     assert {r.doc_id for r in decontamination.clean(table(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_recall_against_every_window(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    line = fresh(9)  # a passage that all items and many documents share
+    items = [fresh(rng.randint(6, 30)) + (line if i % 2 else []) + fresh(rng.randint(6, 20)) for i in range(24)]
+    texts = []
+    for i in range(160):
+        item = list(items[i % 24])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(item))
+            edit = rng.randrange(3)
+            item[at : at + (edit != 1)] = [] if edit == 0 else [rng.choice(WORDS)]
+        texts.append(fresh(rng.randint(0, 60)) + item + fresh(rng.randint(0, 60)) if i < 120 else fresh(30) + line + fresh(30))
+    runs = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, w in enumerate(texts):
+        for i, item in enumerate(items):
+            b = runs(item)
+            for at in range(max(1, len(w) - len(item) + 1)):
+                a = runs(w[at : at + len(item)])
+                s = sum((a & b).values()) / sum((a | b).values())
+                if s >= 0.8:
+                    want[d, i] = max(s, want.get((d, i), 0))
+    docs = table(spark, [" ".join(w) for w in texts])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in decontamination.contaminated(docs, bench).collect()}
+    assert len(want) > 30 and got == want
+
+
 def test_field_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     field = toxicity.Field(np.zeros(toxicity.SLOTS), 0.0, rng.normal(size=(2, 2)), rng.normal(size=2))
