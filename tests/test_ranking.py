@@ -85,14 +85,14 @@ def test_zip_has_one_member(spark, tmp_path):
 
     lines = R.rank_lines(scored(spark, [([0, 1], [1, 2]), ([1], [5])]))
     readers.write_rank_lines(lines.orderBy("impression_id"), str(tmp_path / "lines"))
-    readers.write_zip(str(tmp_path / "lines"), str(tmp_path / "out.zip"), "prediction.txt")
+    readers.write_zip(spark, str(tmp_path / "lines"), str(tmp_path / "out.zip"), "prediction.txt")
     with zipfile.ZipFile(tmp_path / "out.zip") as z:
         assert z.namelist() == ["prediction.txt"] and sorted(z.read("prediction.txt").decode().split("\n"))[1:] == ["0 [2,1]", "1 [1]"]
 
 
 def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.range(2000).select(F.col("id").alias("impression_id"), (F.col("id") % 10 / 10).alias("v"))
-    r = R.bootstrap_ci(df, "v", rounds=200).collect()[0]
+    r = R.bootstrap(df, [], "v", rounds=200).collect()[0]
     assert r.ci_low < r.mean < r.ci_high and r.n == 2000 and r.ci_high - r.ci_low < 0.1
 
 
