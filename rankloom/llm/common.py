@@ -1,43 +1,25 @@
-"""Helpers shared by the training-data operators: shared folders, written tables, null-safe columns."""
+"""Helpers shared by the training-data operators: written tables, null-safe columns, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.sources.store import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a local temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
+__all__ = ["documents", "mixed", "names", "parts", "shared_dir", "text_or_empty", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
 
-    Cuts lineage: what was computed outlives any executor, and later passes read columns instead of recomputing.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rankloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64 bits over each other, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def text_or_empty(name: str = "text") -> Column:

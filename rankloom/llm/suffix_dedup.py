@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import parts, text_or_empty, written
+from rankloom.llm.common import mixed, names, parts, text_or_empty, written
 from rankloom.llm.tokens import binary_rows, ids_of
 from rankloom.llm.wordids import ranges, small_batches
 
@@ -36,13 +36,6 @@ MOST_STARTS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64 bits over each other, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     """Hash of data[i : i + size] for each i, ``size`` a power of two."""
     h = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)[data]
@@ -205,10 +198,6 @@ ROWS = "doc_id long, text_hash long"
 SEGMENTS = f"{ROWS}, hash long, own long, first long, last long, size long, again boolean"
 
 
-def names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
-
-
 def _find_segments(least: int, most: int):
     """For each text the segments: anchor hash, hash of their bytes, first and last window, bytes, whether it holds its anchor's hash twice."""
     from xxhash import xxh3_64_intdigest

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import parts, text_or_empty, written
-from rankloom.llm.wordids import WordEncoder, small_batches
+from rankloom.llm.wordids import small_batches, worker_encoder
 
 SCHEMA = "part int, doc_id long, at long, n long, ids binary"
 
@@ -35,7 +35,7 @@ def _tokeniser(path: str, end_id: int, dtype: str, special: bool) -> Callable[[I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, before = WordEncoder(path, encode_special_tokens=special), 0
+        encoder, before = worker_encoder(path, special), 0
         part = TaskContext.get().partitionId()
         for batch in small_batches(batches, "text"):
             ids, at = encoder.encode(batch.column("text"))
@@ -52,31 +52,26 @@ def _tokeniser(path: str, end_id: int, dtype: str, special: bool) -> Callable[[I
     return run
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", encode_special_tokens: bool = False, name: str = "ids", ordered: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", encode_special_tokens: bool = False, name: str = "ids") -> DataFrame:
     """Written table (part, doc_id, at, n, ids): ids of the whole text and ``end_id``, as packed integers.
 
     Parts hold ranges of (doc_id, hash of text) in ascending order; ``at`` counts the ids before the
     document within its part. A null text counts as empty; a row with a null doc_id keeps it and comes first;
-    repeated rows stay. Without ``ordered`` nothing is shuffled: parts are those of the input. ``dtype`` must hold every id of the vocabulary.
+    repeated rows stay. ``dtype`` must hold every id of the vocabulary.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    if not ordered:
-        return written(rows.mapInArrow(_tokeniser(path, end_id, dtype, encode_special_tokens), SCHEMA), name)
     dealt = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     return written(dealt.mapInArrow(_tokeniser(path, end_id, dtype, encode_special_tokens), SCHEMA), name)
 
 
-def id_counts(tokens: DataFrame, dtype: str, per_document: bool = False) -> DataFrame:
-    """(id, n): how often each id occurs, or in how many documents; as many rows as the vocabulary at most."""
+def id_counts(tokens: DataFrame, dtype: str) -> DataFrame:
+    """(id, n): how often each id occurs; as many rows as the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << (8 * np.dtype(dtype).itemsize) if np.dtype(dtype).itemsize == 2 else 1 << 20, np.int64)
         for batch in batches:
-            ids, bounds = ids_of(batch.column("ids"), dtype)
-            if per_document and len(ids):
-                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                ids = (np.unique(row.astype(np.int64) << 20 | ids.astype(np.int64)) & ((1 << 20) - 1)).astype(np.int64)
+            ids = ids_of(batch.column("ids"), dtype)[0]
             if len(ids):
                 total += np.bincount(ids, minlength=len(total))
         some = np.flatnonzero(total)

@@ -101,9 +101,9 @@ def one_token(path: str) -> Callable[[str], str] | None:
 
 
 class WordEncoder:
-    """Ids of batches of texts. Holds at most ``most_words`` words' ids between batches."""
+    """Ids of batches of texts. Beyond twice ``most_words`` words after a batch, only the first ``most_words`` that came are kept, so the frequent ones."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000, encode_special_tokens: bool = False):
+    def __init__(self, path: str, most_words: int = 300_000, encode_special_tokens: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -168,8 +168,6 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids before each text (with the total at the end)."""
-        if len(self.number) > self.most:
-            self.forget()
         pieces, text_at = cut_words(texts)
         coded = pieces.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -179,8 +177,29 @@ class WordEncoder:
         which = known[np.asarray(coded.indices)] if len(words) else np.empty(0, np.int64)
         length = self.length[which]
         ids = self.flat[ranges(self.start[which], length)]
+        if len(self.number) > 2 * self.most:
+            self.keep_first()
         return ids, np.append(0, np.cumsum(length))[text_at]
 
+    def keep_first(self) -> None:
+        """Keeps ``most`` words, those that came first; numbers of words rise in the order in which they came."""
+        least = int(np.partition(np.fromiter(self.number.values(), np.int64, len(self.number)), self.most)[self.most])
+        self.number = {w: k for w, k in self.number.items() if k < least}
+        self.number_of = {w: k for w, k in self.number_of.items() if k < least}
+        self.flat = self.flat[: self.start[least]].copy()
+        self.start, self.length = self.start[:least].copy(), self.length[:least].copy()
+
+
+ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def worker_encoder(path: str, encode_special_tokens: bool = False) -> WordEncoder:
+    """This Python process's encoder of a file: what one task has learnt serves those that come after it in the same worker."""
+    key = (path, encode_special_tokens)
+    if key not in ENCODERS:
+        ENCODERS[key] = WordEncoder(path, encode_special_tokens=encode_special_tokens)
+    return ENCODERS[key]
+
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of the column, at least one row each."""
