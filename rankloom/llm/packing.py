@@ -113,15 +113,16 @@ def _terms_of(idf: np.ndarray, df: np.ndarray):
 
 def shard_ranges(owned: dict[int, int], shard_pieces: int) -> tuple[np.ndarray, np.ndarray]:
     """First shard and number of shards of each term: a term of more pieces than a shard has shards of its own; others share, in order of ids."""
-    first, number, shard, room = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), -1, 0
+    first, number = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+    fresh, open_, room = 0, 0, 0
     for term, n in sorted(owned.items()):
         if n > shard_pieces:
-            first[term], number[term] = shard + 1, -(-n // shard_pieces)
-            shard, room = shard + int(number[term]), 0
-        else:
-            if n > room:
-                shard, room = shard + 1, shard_pieces
-            first[term], room = shard, room - n
+            first[term], number[term] = fresh, -(-n // shard_pieces)
+            fresh += int(number[term])
+            continue
+        if n > room:
+            open_, fresh, room = fresh, fresh + 1, shard_pieces
+        first[term], room = open_, room - n
     return first, number
 
 
