@@ -1,12 +1,16 @@
 """Document fingerprints with DataFrame functions alone: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its pieces up to each sentence mark, comma, colon, semicolon or line end; their 64-bit digests,
-each once, go into three cells of a sketch, one a subtable: a cell has a signed count, the xor of its digests and the xor of
-their checks. Sketches of two versions subtract cell by cell, so what they share cancels out. Peeling then takes, subtable after
+A text's paragraphs are its pieces up to each sentence's mark or line end (many texts are one line, which would be one paragraph however long); their 64-bit
+digests, each once, go into three cells of a sketch, one a subtable: a cell has a signed count, the xor of its digests and the xor of
+their checks. A subtable has 2^k cells, at least ``CELLS`` for each of the text's digests, so sketches of two texts are of one width or the wider folds onto the
+other's. The fingerprint is the sketch as text: of each cell that isn't empty its number, count and xor of digests; checks follow from a digest alone.
+
+Versions are compared at the width of the wider fingerprint: sketches subtract cell by cell, so what they share cancels out. Peeling then takes, subtable after
 subtable, the cells that hold one digest, and takes that digest out of its other cells, until nothing is left: the digests in
-which the versions differ. Pairs that don't come apart in ``ROUNDS`` steps are tried again with ``GROWTH`` times the cells.
+which the versions differ. Pairs that don't come apart in ``ROUNDS`` steps are tried again ``GROWTH`` times as wide; what fails ``TRIES`` times
+more is compared digest by digest, so the likeness is exact for all.
 
-All steps of a pair group by its bucket first, by which its rows are partitioned, so nothing but texts is shuffled, once.
+All steps of a pair group by its bucket first, by which its rows are partitioned, so nothing but texts is shuffled.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import parts, text_or_empty, written
-from rankloom.llm.decontamination import bound
 
-ROUNDS, CELLS, GROWTH, TRIES = 12, 4, 4, 3
-PIECE_END = r"(?<=[.!?,;:\n])"
+ROUNDS, CELLS, GROWTH, TRIES = 12, 2, 4, 3
+PIECE_END = r"(?<=[.!?\n])"
 CHECK = 97
+#: Pairs: a text and its edited version, a text and the next one; sketches alone: of the text, of the edited version.
+EDITED, NEXT, OWN_PRINT, EDITED_PRINT = range(4)
 
 
 def digests(text: Column) -> Column:
@@ -28,123 +33,139 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, PIECE_END), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def fingerprint(keys: Column, width: int = 4) -> Column:
-    """A sketch of 3 x ``width`` cells as text: of each cell the count (hex) and the xor of its digests (16 hex digits)."""
-    within = lambda table, cell: lambda k: F.pmod(F.xxhash64(k, F.lit(table)), F.lit(width)) == cell
-    cells = []
-    for table in range(3):
-        for cell in range(width):
-            inside = F.filter(keys, within(table, cell))
-            cells.append(bound(inside, lambda i: F.concat(F.hex(F.size(i)), F.lit("."), F.lpad(F.hex(F.aggregate(i, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(k))), 16, "0"))))
-    return F.lower(F.concat_ws("-", *cells))
+def width_of(size: Column) -> Column:
+    """Cells of a subtable for so many digests: the power of two that is CELLS times as many or more, 4 at least."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size * CELLS, F.lit(4)).cast("double")))).cast("long")
 
 
-def place(key: Column, table: int, size: Column, cells: int) -> Column:
-    """The digest's cell in a subtable of ceil(size x cells / 3) + 1 cells, numbered through all subtables."""
-    width = (size * cells / 3).cast("long") + 1
+def place(key: Column, table: int, width: Column) -> Column:
+    """The digest's cell in a subtable, numbered through all subtables."""
     return F.pmod(F.xxhash64(key, F.lit(table)), width) + width * table
 
 
-def peeled(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(bucket, row, pair, size, payload, cell, sign, key) of ``pairs`` (bucket, row, pair, payload, a, b: arrays of digests).
+def peeled(pairs: DataFrame, wider: int = 1, rounds: int = ROUNDS) -> DataFrame:
+    """(bucket, row, pair, size, width, payload, cell, sign, key, check, found) of ``pairs`` (bucket, row, pair, payload, a, b: arrays of digests).
 
     Rows with cell -1 are recovered digests (sign 1: only in a, -1: only in b), those with cell -2 one for each pair, with its
-    payload; any other is a cell that was left.
+    payload; any other is a cell that was left. Pairs OWN_PRINT and EDITED_PRINT aren't peeled: their payload is the fingerprint.
     """
-    group = ["bucket", "row", "pair", "size"]
-    base = pairs.select("bucket", "row", "pair", (F.size("a") + F.size("b")).cast("long").alias("size"), "payload", "a", "b")
+    group = ["bucket", "row", "pair", "size", "width"]
+    width = width_of(F.greatest(F.size("a"), F.size("b"))) * F.lit(wider)
+    base = pairs.select("bucket", "row", "pair", (F.size("a") + F.size("b")).cast("long").alias("size"), width.alias("width"), "payload", "a", "b")
     none = F.lit(None).cast("string")
     head = F.struct(F.lit(0).alias("sign"), F.lit(0).cast("long").alias("key"), F.col("payload").alias("payload"), F.lit(True).alias("head"))
     one = lambda sign: lambda k: F.struct(F.lit(sign).alias("sign"), k.alias("key"), none.alias("payload"), F.lit(False).alias("head"))
     entries = base.select(*group, F.inline(F.concat(F.array(head), F.transform("a", one(1)), F.transform("b", one(-1)))))
-    key, size = F.col("key"), F.col("size")
-    spots = F.when(F.col("head"), F.array(F.lit(-2).cast("long"))).otherwise(F.array(*[place(key, t, size, cells) for t in range(3)]))
+    key, width = F.col("key"), F.col("width")
+    spots = F.when(F.col("head"), F.array(F.lit(-2).cast("long"))).otherwise(F.array(*[place(key, t, width) for t in range(3)]))
     table = entries.select(*group, "payload", F.explode(spots).alias("cell"), "sign", "key", F.when(F.col("head"), F.lit(0).cast("long")).otherwise(F.xxhash64("key", F.lit(CHECK))).alias("check"), F.lit(0).cast("long").alias("found"))
+    sums = [F.sum("sign").alias("sign"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check")]
 
     def summed(rows: DataFrame) -> DataFrame:
-        out = rows.groupBy(*group, "payload", "cell", "found").agg(F.sum("sign").alias("sign"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+        out = rows.groupBy(*group, "payload", "cell", "found").agg(*sums)
         return out.filter((F.col("cell") < 0) | (F.col("sign") != 0) | (F.col("key") != 0))
 
     table = summed(table)
-    for step in range(ROUNDS):
+    # a fingerprint's cells become one row
+    alone = F.col("pair") >= OWN_PRINT
+    shown = F.when(alone & (F.col("cell") >= 0), F.struct("cell", F.concat_ws(".", F.lower(F.hex("cell")), F.col("sign").cast("string"), F.lower(F.lpad(F.hex("key"), 16, "0"))).alias("text")))
+    to = F.when(alone, F.lit(-2).cast("long")).otherwise(F.col("cell"))
+    table = table.withColumn("shown", shown).withColumn("cell", to).groupBy(*group, "payload", "cell", "found").agg(*sums, F.array_sort(F.collect_list("shown")).alias("shown"))
+    text = F.concat_ws("/", F.lower(F.hex("width")), F.array_join(F.transform("shown", lambda x: x["text"]), "-"))
+    table = table.select(*group, F.when(alone & (F.col("payload").isNull() | (F.size("shown") > 0)), text).otherwise(F.col("payload")).alias("payload"), "cell", "found", "sign", "key", "check")
+    for step in range(rounds):
         t = step % 3
-        pure = (F.col("cell") >= 0) & (F.abs("sign") == 1) & (F.xxhash64("key", F.lit(CHECK)) == F.col("check")) & (F.col("cell") == place(key, t, size, cells))
+        pure = (F.col("cell") >= 0) & (F.abs("sign") == 1) & (F.xxhash64("key", F.lit(CHECK)) == F.col("check")) & (F.col("cell") == place(key, t, width))
         same = F.struct("cell", "sign", "key", "check", "found")
         got = F.struct(F.lit(-1).cast("long").alias("cell"), "sign", "key", F.lit(0).cast("long").alias("check"), F.col("key").alias("found"))
-        less = [F.struct(place(key, o, size, cells).alias("cell"), (-F.col("sign")).alias("sign"), "key", "check", F.lit(0).cast("long").alias("found")) for o in range(3) if o != t]
+        less = [F.struct(place(key, o, width).alias("cell"), (-F.col("sign")).alias("sign"), "key", "check", F.lit(0).cast("long").alias("found")) for o in range(3) if o != t]
         table = summed(table.select(*group, "payload", F.inline(F.when(pure, F.array(got, *less)).otherwise(F.array(same)))))
     return table
 
 
+def jaccard(size: Column, differ: Column) -> Column:
+    """Of two sets with ``size`` members together (shared ones twice), ``differ`` of them in one only; 1 for two empty ones."""
+    return F.when(size == 0, F.lit(1.0)).otherwise((size - differ) / (size + differ).cast("double"))
+
+
 def likeness(table: DataFrame) -> DataFrame:
-    """(bucket, row, payload, whole, near0, near1) of ``peeled``: Jaccard likeness of each pair's digests; ``whole`` if nothing was left of any."""
+    """(bucket, row, payload, own, edited, whole, near0, near1) of ``peeled``: the fingerprints, and the likeness of each pair; ``whole`` if nothing was left of any."""
     per = table.groupBy("bucket", "row", "pair", "size", "payload").agg(F.sum((F.col("cell") == -1).cast("long")).alias("differ"), F.sum((F.col("cell") >= 0).cast("long")).alias("left"))
     both = per.groupBy("bucket", "row", "pair").agg(F.max("size").alias("size"), F.max("payload").alias("payload"), F.sum("differ").alias("differ"), F.sum("left").alias("left"))
-    near = F.when(F.col("size") == 0, F.lit(1.0)).otherwise((F.col("size") - F.col("differ")) / (F.col("size") + F.col("differ")).cast("double"))
-    pick = lambda p: F.max(F.when(F.col("pair") == p, near))
-    return both.groupBy("bucket", "row").agg(F.max("payload").alias("payload"), (F.sum("left") == 0).alias("whole"), pick(0).alias("near0"), pick(1).alias("near1"))
+    near = jaccard(F.col("size"), F.col("differ"))
+    pick = lambda c, p: F.max(F.when(F.col("pair") == p, c))
+    payload = F.col("payload")
+    return both.groupBy("bucket", "row").agg(
+        pick(payload, EDITED).alias("payload"), pick(payload, OWN_PRINT).alias("own"), pick(payload, EDITED_PRINT).alias("edited"), (F.sum("left") == 0).alias("whole"), pick(near, EDITED).alias("near0"), pick(near, NEXT).alias("near1")
+    )
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 512, most_parts: int = 100_000) -> DataFrame:
-    """(bucket, row, doc_id, text, hash, next_text, next_id, next_hash) by descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, bucket_rows: int = 512, most_parts: int = 20_000) -> DataFrame:
+    """(bucket, row, doc_id, text, next_text) by descending doc_id; after the last comes the first.
 
-    Equal doc_ids follow by a hash of their texts, null ids come last. Buckets are even stretches of ids, so ids
-    far from evenly spread cost balance, not results. Only texts at a bucket's end are sent twice. About one bucket goes
-    to a task, so that its cells stay in memory; beyond ``most_parts`` tasks, more do.
+    Equal doc_ids follow by a hash of their texts, null ids come last. Buckets are ranges of that order, found by sampling, so they are even whatever the
+    ids are. The first text of each bucket is sent to the one before it too. About ``bucket_rows`` rows are a bucket, so that a task's cells stay in memory;
+    more beyond ``most_parts`` buckets, of which each sends one row of three numbers to the task that chains them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
-    span = docs.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high")).first()
-    low, high = span.low or 0, span.high or 0
-    width = max(1, (high - low + 1) * bucket_rows // max(span.n, 1))
-    at = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("bucket", at)
-    tops = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("hash").alias("h"))).alias("top"))
-    order = W.orderBy("bucket")  # one row a bucket
-    ghosts = tops.select(F.col("bucket").alias("of"), "top.*", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"))
-    ghosts = written(ghosts, "bucket-ends")
-    own = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    sent = own.join(ghosts, (own.bucket == ghosts["of"]) & (own["id"] == ghosts["id"]) & (own["hash"] == ghosts["h"])).dropDuplicates(["of"]).select("doc_id", "text", own["hash"], F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
-    every = rows.select("doc_id", "text", "hash", "bucket", F.lit(0).alias("ghost")).unionByName(sent)
-    w = W.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("hash"))
-    dealt = every.repartition(max(parts(docs.sparkSession), min(most_parts, span.n // bucket_rows + 1)), "bucket")
-    after = [F.lead(c).over(w).alias(n) for c, n in (("text", "next_text"), ("doc_id", "next_id"), ("hash", "next_hash"))]
-    return dealt.select("bucket", "doc_id", "text", "hash", "ghost", *after, F.row_number().over(w).alias("row")).filter("ghost = 0").drop("ghost")
-
-
-def versions(docs: DataFrame) -> DataFrame:
+    buckets = min(most_parts, max(parts(docs.sparkSession), docs.count() // bucket_rows + 1))
+    order = [F.desc_nulls_last("doc_id"), F.desc("hash")]
+    dealt = written(rows.repartitionByRange(buckets, *order).withColumn("bucket", F.spark_partition_id()), "ordered")
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")).alias("top")
+    tops = dealt.groupBy("bucket").agg(first).select("bucket", "top.*")
+    chain = W.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(chain), F.last("bucket").over(chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    tops = written(tops.select(F.col("bucket").alias("of"), "known", "id", F.col("hash").alias("h"), before.alias("to")), "bucket-tops")
+    key = (dealt.bucket == tops["of"]) & (dealt.doc_id.isNotNull() == tops.known) & (F.coalesce("doc_id", F.lit(0)) == tops["id"]) & (dealt["hash"] == tops.h)
+    sent = dealt.join(F.broadcast(tops), key).select("of", "to", "doc_id", dealt["hash"], "text").groupBy("of").agg(*[F.first(c).alias(c) for c in ("to", "doc_id", "hash", "text")])
+    every = dealt.withColumn("ghost", F.lit(0)).unionByName(sent.select("doc_id", "text", "hash", F.col("to").alias("bucket"), F.lit(1).alias("ghost")))
+    w = W.partitionBy("bucket").orderBy("ghost", *order)
+    placed = every.repartition(buckets, "bucket").select("bucket", "doc_id", "text", "ghost", F.lead("text").over(w).alias("next_text"), F.row_number().over(w).alias("row"))
+    return placed.filter("ghost = 0").drop("ghost")
+
+
+def versions(docs: DataFrame, rounds: int = ROUNDS, tries: int = TRIES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of ``docs`` (doc_id, text).
 
     The edited text's last third is the beginning of the next document's (as much as there is). Null text: empty, whose
-    fingerprint has empty cells; two empty texts have likeness 1. Repeated rows are next to each other. An empty table
+    fingerprint has no cells; two empty texts have likeness 1. Repeated rows are next to each other. An empty table
     gives no rows.
     """
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
+    def with_digests(rows: DataFrame, *known: str) -> DataFrame:
         cut = F.floor(F.length("text") / 3).cast("int")
         edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("next_text", F.lit(1), cut))
-        known = ["bucket", "row", "doc_id", "hash", "next_id", "next_hash"]
         rows = rows.select(*known, F.length("text").cast("long").alias("n_chars"), F.inline(F.array(F.struct("text", "next_text", edited.alias("edited")))))
-        rows = rows.select(*known, "n_chars", F.inline(F.array(F.struct(F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("n")))))
-        told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-        payload = F.concat_ws("|", told("doc_id"), told("n_chars"), "sha", fingerprint(F.col("a")), fingerprint(F.col("e")), told("hash"), told("next_id"), told("next_hash"))
-        pair = lambda p, b, pay: F.struct(F.lit(p).alias("pair"), pay.alias("payload"), F.col("a").alias("a"), F.col(b).alias("b"))
-        return rows.select("bucket", "row", F.inline(F.array(pair(0, "e", payload), pair(1, "n", F.lit(None).cast("string")))))
-
-    x = F.split("payload", r"\|")
-    done = written(likeness(peeled(pairs_of(with_next(docs)))), "likeness")
-    cells = CELLS
-    whole = done.filter("whole")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
-    for last in range(TRIES):
-        ids = [x[i].try_cast("long").alias(n) for i, n in ((0, "doc_id"), (5, "hash"), (6, "next_id"), (7, "next_hash"))]
-        failed = written(done.filter("not whole").select("bucket", "row", *ids), "unpeeled")
-        if failed.isEmpty():
+        found = F.struct(F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("n"))
+        return rows.select(*known, "n_chars", F.inline(F.array(found)))
+
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<bigint>")
+
+    def pair(p: int, a: str, b: Column, payload: Column = none) -> Column:
+        return F.struct(F.lit(p).alias("pair"), payload.alias("payload"), F.col(a).alias("a"), b.alias("b"))
+
+    two = [pair(NEXT, "a", F.col("n"))]
+    ordered = with_next(docs)
+    first = with_digests(ordered, "bucket", "row", "doc_id")
+    payload = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_chars").cast("string"), "sha")
+    pairs = first.select("bucket", "row", F.inline(F.array(pair(EDITED, "a", F.col("e"), payload), *two, pair(OWN_PRINT, "a", empty), pair(EDITED_PRINT, "e", empty))))
+    done = written(likeness(peeled(pairs, 1, rounds)), "likeness")
+    told = done.select("bucket", "row", "payload", "own", "edited")
+    near = done.filter("whole").select("bucket", "row", "near0", "near1")
+    failed = written(done.filter("not whole").select("bucket", "row"), "unpeeled")
+    wider, left = 1, tries
+    while not failed.isEmpty():
+        # the few pairs that failed: their texts again
+        again = with_digests(ordered.join(failed, ["bucket", "row"], "left_semi"), "bucket", "row")
+        if not left:
+            differ = lambda b: (F.size(F.array_except("a", b)) + F.size(F.array_except(b, "a"))).cast("long")
+            exact = lambda b: jaccard((F.size("a") + F.size(b)).cast("long"), differ(b))
+            near = near.unionByName(again.select("bucket", "row", exact("e").alias("near0"), exact("n").alias("near1")))
             break
-        cells *= GROWTH
-        # the few pairs that failed: their texts by id and hash
-        own = texts.alias("t").join(failed.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.hash") == F.col("f.hash"))).select("f.*", "t.text")
-        again = texts.alias("t").join(own.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.next_id")) & (F.col("t.hash") == F.col("f.next_hash"))).select("f.*", F.col("t.text").alias("next_text")).dropDuplicates(["bucket", "row"])
-        done = written(likeness(peeled(pairs_of(again), cells)), "likeness")
-        # after the last try what could be peeled counts
-        whole = whole.unionByName(done.filter("whole") if last < TRIES - 1 else done)
-    return whole.select(x[0].try_cast("long").alias("doc_id"), x[1].cast("long").alias("n_chars"), x[2].alias("edited_sha256"), x[3].alias("fingerprint"), x[4].alias("edited_fingerprint"), F.col("near0").alias("near_edited"), F.col("near1").alias("near_next"))
+        wider, left = wider * GROWTH, left - 1
+        done = written(likeness(peeled(again.select("bucket", "row", F.inline(F.array(pair(EDITED, "a", F.col("e")), *two))), wider, rounds)), "likeness")
+        near = near.unionByName(done.filter("whole").select("bucket", "row", "near0", "near1"))
+        failed = written(done.filter("not whole").select("bucket", "row"), "unpeeled")
+    x = F.split("payload", r"\|")
+    both = told.join(near, ["bucket", "row"])
+    return both.select(x[0].try_cast("long").alias("doc_id"), x[1].cast("long").alias("n_chars"), x[2].alias("edited_sha256"), F.col("own").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"), F.col("near0").alias("near_edited"), F.col("near1").alias("near_next"))

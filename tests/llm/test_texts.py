@@ -197,21 +197,62 @@ def test_shared_runs_longer_than_the_sorted_depth(shared):
     assert len({(group[i], w) for i, w in windows}) == len({w for _, w in windows}) == len({group[i] for i, _ in windows})
 
 
-def test_fingerprints_of_versions(spark):
-    texts = TEXTS
-    got = {r.doc_id: r for r in fingerprints.versions(table(spark, texts)).collect()}
-    assert len(got) == len(texts)
-    full = [t or "" for t in texts]
-    pieces = lambda t: {p for p in re.split(r"(?<=[.!?,;:\n])", t) if p}
+def brute_versions(rows):
+    """(doc_id, n_chars, edited_sha256, near_edited, near_next) of (doc_id, text), nulls last."""
+    pieces = lambda t: {p for p in re.split(r"(?<=[.!?\n])", t) if p}
     like = lambda a, b: len(pieces(a) & pieces(b)) / len(pieces(a) | pieces(b)) if pieces(a) | pieces(b) else 1.0
-    for i, t in enumerate(full):
-        after = full[i - 1]  # descending ids; after the last comes the first
-        n = len(t) // 3
-        edited = t[: len(t) - n] + after[:n]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(like(t, edited)) and r.near_next == pytest.approx(like(t, after))
-    assert got[0].fingerprint == got[1].fingerprint and got[4].fingerprint == got[5].fingerprint
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        yield i, len(t), hashlib.sha256(edited.encode()).hexdigest(), pytest.approx(like(t, edited)), pytest.approx(like(t, after))
+
+
+SENTENCES = [". ".join(prose(RNG.randint(2, 5)).capitalize() for _ in range(n)) + "." for n in (30, 3, 60, 400, 25)]
+
+
+@pytest.mark.parametrize(("rounds", "tries"), [(12, 3), (2, 1), (1, 0)])
+def test_fingerprints_of_versions(spark, rounds, tries):
+    texts = [*TEXTS, *SENTENCES, SENTENCES[2][:900] + SENTENCES[0]]
+    ids = [-(1 << 62) - 5, (1 << 63) - 1, -(1 << 63), *range(7, 7 + len(texts) - 4), None]
+    docs = spark.createDataFrame([(i, t, "clash", 3) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, hash string, row int")
+    got = {r.doc_id: r for r in fingerprints.versions(docs, rounds, tries).collect()}
+    want = {r[0]: r for r in brute_versions(list(zip(ids, texts, strict=True)))}
+    assert len(got) == len(texts) and {i: (i, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for i, r in got.items()} == want
+    assert got[ids[0]].fingerprint == got[ids[1]].fingerprint and got[ids[4]].fingerprint == got[ids[5]].fingerprint
+    assert len({r.fingerprint for r in got.values()}) == len({t or "" for t in texts})
+
+
+def test_fingerprints_can_be_read_back(spark):
+    docs = table(spark, SENTENCES)
+    rows = {r.doc_id: r for r in fingerprints.versions(docs).collect()}
+    digests = {r.doc_id: set(r.d) for r in docs.select("doc_id", fingerprints.digests(docs.text).alias("d")).collect()}
+    for i, t in enumerate(SENTENCES):
+        width, cells = rows[i].fingerprint.split("/")
+        width, found = int(width, 16), {}
+        for cell in cells.split("-"):
+            at, count, key = cell.split(".")
+            found[int(at, 16)] = (int(count), int(key, 16))
+        assert width >= 2 * len(digests[i]) and sum(c for c, _ in found.values()) == 3 * len(digests[i])
+        for table_ in range(3):
+            total = 0
+            for at, (_, key) in found.items():
+                total ^= key if at // width == table_ else 0
+            want = 0
+            for d in digests[i]:
+                want ^= d & ((1 << 64) - 1)
+            assert total == want
+        if i == 1:  # all digests of a sketch whose cells are alone
+            alone = {key for count, key in found.values() if count == 1}
+            assert alone >= {d & ((1 << 64) - 1) for d in digests[i]}
+
+
+def test_fingerprints_of_few_rows(spark):
+    assert fingerprints.versions(table(spark, TEXTS).limit(0)).count() == 0
+    only = fingerprints.versions(table(spark, [BASE])).collect()
+    assert [(r.doc_id, r.near_edited < 1, r.near_next) for r in only] == [(0, True, 1.0)]
+    same = spark.createDataFrame([(5, BASE)] * 3 + [(None, BASE)] * 3, "doc_id long, text string")
+    assert [(r.near_next, r.n_chars) for r in fingerprints.versions(same).collect()] == [(1.0, len(BASE))] * 6
 
 
 def brute_simhash(text, words):
