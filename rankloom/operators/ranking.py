@@ -6,6 +6,8 @@ is an aggregate.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -235,28 +237,36 @@ def diversity(items: DataFrame) -> DataFrame:
     return per.filter("n >= 2").select("impression_id", (1 - (F.col("s2") - F.col("q")) / (F.col("n") * (F.col("n") - 1)).cast("double")).alias("diversity"))
 
 
-def poisson_weight(share: Column, most: int = 8) -> Column:
-    """The Poisson(1) count that a number from 0 to 1 names."""
-    cdf, p, steps = 0.0, 2.718281828459045**-1, []
+def poisson_edges(most: int = 8) -> list[str]:
+    """For 0, 1, ... of a Poisson(1) count: the eight hex digits below which 32 random bits stand for so many or fewer."""
+    total, p, out = 0.0, 2.718281828459045**-1, []
     for k in range(most):
-        cdf += p
-        steps.append((cdf, k))
+        total += p
+        out.append(f"{math.ceil(total * (1 << 32)):08x}")
         p /= k + 1
-    weight = F.lit(most)
-    for edge, k in reversed(steps):
-        weight = F.when(share < edge, F.lit(k)).otherwise(weight)
+    return out
+
+
+def poisson_weight(digits: Column) -> Column:
+    """The Poisson(1) count that eight hex digits name: digits compare as strings, no number is made of them."""
+    weight = F.lit(8)
+    for k, edge in reversed(list(enumerate(poisson_edges()))):
+        weight = F.when(digits < edge, F.lit(k)).otherwise(weight)
     return weight
 
 
 def bootstrap(values: DataFrame, by: list[str], column: str, rounds: int = S.ROUNDS, seed: int = S.SEED, level: float = 0.95) -> DataFrame:
     """(by..., n, mean, ci_low, ci_high): a Poisson bootstrap of the mean over rows (by..., impression_id, column), nulls left out.
 
-    In each round an impression counts a Poisson(1) number of times, the same for all its rows (so differences are paired), that
-    ``md5_share`` of (impression, round, seed) names. Sums are taken before the shuffle: a task sends one row for each round and group.
+    In each round an impression counts a Poisson(1) number of times, the same for all its rows (so differences are paired): a quarter of the MD5 of
+    "impression:round // 4:seed" names it. Sums are taken before the shuffle: a task sends one row for each round and group.
     """
     some = values.filter(F.col(column).isNotNull()).select(*by, "impression_id", F.col(column).cast("double").alias("_x"))
-    drawn = some.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_w", poisson_weight(md5_share(F.col("impression_id"), F.col("_b"), F.lit(seed))))
-    means = drawn.filter("_w > 0").groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    four = some.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 4))))
+    four = four.withColumn("_h", F.md5(F.concat_ws(":", F.col("impression_id").cast("string"), F.col("_q").cast("string"), F.lit(str(seed)))))
+    draws = F.inline(F.array(*[F.struct((F.col("_q") * 4 + i).alias("_b"), F.substring("_h", 8 * i + 1, 8).alias("_d")) for i in range(4)]))
+    drawn = four.select(*by, "_x", draws).filter((F.col("_b") < rounds) & (F.col("_d") >= poisson_edges()[0])).withColumn("_w", poisson_weight(F.col("_d")))
+    means = drawn.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
     tail = (1 - level) / 2
     ends = means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("ci_low"), F.percentile("_m", F.lit(1 - tail)).alias("ci_high"))
     whole = some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))

@@ -711,7 +711,8 @@ def poisson_sql(share: str) -> str:
     return "CASE " + " ".join(f"WHEN {share} < {edge!r} THEN {k}" for k, edge in enumerate(POISSON_EDGES)) + " ELSE 8 END"
 
 
-BOOT_SQL = f"bt AS (SELECT m.*, b, {poisson_sql(md5_sql('impression_id', 'b', S.SEED))} AS w FROM {{0}} m, generate_series(1, {S.ROUNDS}) r(b))"
+ROUND_SHARE = f"(('0x' || substr(md5(concat_ws(':', CAST(impression_id AS VARCHAR), CAST(b // 4 AS VARCHAR), '{S.SEED}')), CAST(1 + 8 * (b % 4) AS BIGINT), 8))::BIGINT / 4294967296.0::DOUBLE)"
+BOOT_SQL = f"bt AS (SELECT m.*, b, {poisson_sql(ROUND_SHARE)} AS w FROM {{0}} m, generate_series(0, {S.ROUNDS - 1}) r(b))"
 
 
 @query("bootstrap_ci", f"WITH {SCORED}, ml AS (SELECT impression_id, mrr AS x FROM met), {BOOT_SQL.format('ml')}, bm AS (SELECT b, sum(w * x) / sum(w) AS m FROM bt WHERE w > 0 GROUP BY 1) SELECT (SELECT count(*) FROM ml) AS n, round((SELECT avg(x) FROM ml), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM bm")
