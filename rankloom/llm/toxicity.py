@@ -153,14 +153,14 @@ def standing_out(texts: Iterable[set[bytes]], toxic: np.ndarray, fewest: int = 3
 
 
 def train_field(words: list[bytes], which: np.ndarray, heads: np.ndarray, label: np.ndarray, lexicon: frozenset[bytes], span: int = 24, most: int = 12_000, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-5) -> Field:
-    """Weights by gradient ascent (Adagrad) on the likelihood of the labels of windows of ``span`` words: those with toxic words first, ``most`` at most."""
+    """Weights by gradient ascent (Adagrad) on the likelihood of the labels of windows of ``span`` words: of those with toxic words and of others ``most`` / 2 at most, evenly spread."""
     field = Field(np.zeros(SLOTS), -2.0, np.zeros((2, 2)), np.zeros(2), lexicon)
     size = np.diff(np.append(heads, len(which)))
     starts = np.concatenate([np.arange(h, h + n - span + 1, span) for h, n in zip(heads, size, strict=True) if n >= span] or [np.empty(0, np.int64)])
     if not len(starts) or not lexicon:
         return field
     hit = np.add.reduceat(label, starts) > 0 if len(starts) else starts
-    some = np.concatenate([starts[hit][: most // 2], starts[~hit][:: max(1, int((~hit).sum()) // (most // 2) + 1)]])
+    some = np.concatenate([starts[hit][:: int(hit.sum()) // (most // 2) + 1], starts[~hit][:: max(1, int((~hit).sum()) // (most // 2) + 1)]])
     at = some[:, None] + np.arange(span)
     own = np.array([slots(w) for w in words])
     beside = np.array([neighbour_slots(w) for w in words])
