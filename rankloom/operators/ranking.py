@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom import settings as S
+from rankloom.sources.store import written
 
 
 def md5_share(*parts: Column) -> Column:
@@ -24,42 +25,29 @@ def md5_share(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def order_statistics(df: DataFrame, column: str, ranks: DataFrame, names: list[str], accuracy: int = 10_000) -> DataFrame:
-    """One row: for each name the value of the 0-based rank that the one-row ``ranks`` (n, names...) gives among the non-null values of ``column``.
+def order_statistics(df: DataFrame, column: str, ranks: dict[str, Column], keep_n: bool = False) -> DataFrame:
+    """One row: for each name the value of its 0-based rank, an expression of ``n``, the number of non-null values of ``column``; null without values. ``keep_n`` adds n.
 
-    Approximate percentiles bracket each rank within 2 / accuracy of all rows; values are counted, and only distinct values inside the brackets
-    are put in order. So the sort that one task does has as many rows as the brackets have distinct values, whatever else there is.
+    Values are counted and dealt out in ranges, whose sums tell which range holds a rank; only that range's distinct values are put in order.
+    So no task orders more than a range, and the input is gone through once.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
-    number = (lambda c: micros(c)) if dict(df.dtypes)[column].startswith("timestamp") else (lambda c: c.cast("double"))
-    out = None
-    bracketed = counts.withColumn("_x", number(F.col("_v")))
-    shares = ranks.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(names)], F.greatest(F.col("n"), F.lit(1)).alias("_total"))
-    grid = total.agg(F.percentile_approx(number(F.col("_v")), [i / 1000 for i in range(1001)], accuracy).alias("_grid"))
-    base = bracketed.crossJoin(F.broadcast(shares.crossJoin(grid)))
-    for i, name in enumerate(names):
-        at = F.col(f"_k{i}") / F.col("_total").cast("double") * 1000
-        low = F.element_at("_grid", F.greatest(F.floor(at).cast("int") - 1, F.lit(0)) + 1)
-        high = F.element_at("_grid", F.least(F.ceil(at).cast("int") + 1, F.lit(1000)) + 1)
-        # below the first and beyond the last mark nothing is left out
-        first, last = F.floor(at) - 1 <= 0, F.ceil(at) + 1 >= 1000
-        below = F.sum(F.when(~first & (F.col("_x") < low), F.col("_n")).otherwise(0))
-        inside = (first | (F.col("_x") >= low)) & (last | (F.col("_x") <= high))
-        under = base.agg(below.alias("_below"))
-        upto = F.sum("_n").over(W.orderBy("_v"))
-        ordered = base.filter(inside).select("_v", "_n", F.col(f"_k{i}").alias("_k")).crossJoin(F.broadcast(under)).withColumn("_upto", upto + F.col("_below"))
-        one = ordered.filter((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k"))).agg(F.max("_v").alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    ranged = written(counts.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()), "value-counts")
+    sizes = ranged.groupBy("_range").agg(F.sum("_n").alias("_size"))
+    upto = sizes.withColumn("_before", F.sum("_size").over(W.orderBy("_range")) - F.col("_size"))  # one row a range
+    n = sizes.agg(F.sum("_size").alias("n"))
+    asked = n.select(F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_k")) for name, rank in ranks.items()])).alias("x")).select("x.*")
+    held = asked.join(upto, (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_size"))).select("_name", "_k", "_range", "_before")
+    inside = ranged.join(F.broadcast(held), "_range").withColumn("_upto", F.sum("_n").over(W.partitionBy("_name").orderBy("_v")) + F.col("_before"))
+    found = inside.filter((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k")))
+    row = found.agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return row.crossJoin(F.broadcast(n)) if keep_n else row
 
 
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row: for each name the quantile of its share, interpolated between neighbours, null without values; by ``order_statistics``."""
-    n = df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
     at = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
-    ranks = n.select("n", *[F.greatest(F.floor(x), F.lit(0)).alias(f"{k}_a") for k, x in at.items()], *[F.greatest(F.ceil(x), F.lit(0)).alias(f"{k}_b") for k, x in at.items()])
-    found = order_statistics(df, column, ranks, [f"{k}_{e}" for k in shares for e in "ab"]).crossJoin(F.broadcast(n))
+    found = order_statistics(df, column, {f"{k}_a": F.floor(x) for k, x in at.items()} | {f"{k}_b": F.ceil(x) for k, x in at.items()}, keep_n=True)
     mix = lambda k: F.col(f"{k}_a") + (F.col(f"{k}_b") - F.col(f"{k}_a")) * (at[k] - F.floor(at[k]))
     return found.select(*[mix(k).alias(k) for k in shares])
 
@@ -74,9 +62,8 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 def cutoff(impressions: DataFrame, holdout: float = S.HOLDOUT) -> DataFrame:
     """One row (cutoff): the k-th smallest ts, k = clamp(half-even round(n (1 - holdout)), 0, n - 1)."""
-    rank = F.least(F.greatest(F.bround(F.col("n") * F.lit(1 - holdout), 0), F.lit(0)), F.col("n") - 1).cast("long")
-    ranks = impressions.filter(F.col("ts").isNotNull()).agg(F.count(F.lit(1)).alias("n")).select("n", rank.alias("cutoff"))
-    return order_statistics(impressions, "ts", ranks, ["cutoff"])
+    rank = F.least(F.greatest(F.bround(F.col("n") * F.lit(1 - holdout), 0), F.lit(0)), F.col("n") - 1)
+    return order_statistics(impressions, "ts", {"cutoff": rank})
 
 
 def split(df: DataFrame, at: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -117,10 +117,10 @@ def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, clusters: int, probe
     centres = unit(spark.createDataFrame(found, "id int, vec array<double>")).withColumnRenamed("id", "cluster").withColumnRenamed("vec", "centre")
     near = lambda df, key: df.crossJoin(F.broadcast(centres)).withColumn("_c", dot(F.col("vec"), F.col("centre"))).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_c"), "cluster"))).select(key, "vec", "cluster", "_c", "_n")
     angle = lambda c: F.acos(F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)))
-    asked = near(queries, "query").withColumnRenamed("vec", "qvec")
-    members = near(vectors, "id").filter("_n = 1").select("id", "vec", "cluster", F.col("_c").alias("_m"))
+    asked = written(near(queries, "query").withColumnRenamed("vec", "qvec"), "asked")
+    members = written(near(vectors, "id").filter("_n = 1").select("id", "vec", "cluster", F.col("_c").alias("_m")), "members")
     scores = lambda q: q.select("query", "qvec", "cluster").join(members, "cluster").select("query", "id", dot(F.col("qvec"), F.col("vec")).alias("score"))
-    first = top_k(scores(asked.filter(F.col("_n") <= probe)), k).select("query", "id", "score")
+    first = written(top_k(scores(asked.filter(F.col("_n") <= probe)), k).select("query", "id", "score"), "nearest")
     worst = first.groupBy("query").agg(F.min("score").alias("_worst"), F.count(F.lit(1)).alias("_found"))
     reach = members.groupBy("cluster").agg(F.min("_m").alias("_m"))
     best = F.cos(F.greatest(angle("_c") - angle("_m"), F.lit(0.0)))
