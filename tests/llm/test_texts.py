@@ -211,12 +211,12 @@ def brute_versions(rows):
 SENTENCES = [". ".join(prose(RNG.randint(2, 5)).capitalize() for _ in range(n)) + "." for n in (30, 3, 60, 400, 25)]
 
 
-@pytest.mark.parametrize(("rounds", "tries"), [(12, 3), (2, 1), (1, 0)])
-def test_fingerprints_of_versions(spark, rounds, tries):
+@pytest.mark.parametrize(("rounds", "tries", "bucket"), [(12, 3, 512), (2, 1, 2), (1, 0, 3)])
+def test_fingerprints_of_versions(spark, rounds, tries, bucket):
     texts = [*TEXTS, *SENTENCES, SENTENCES[2][:900] + SENTENCES[0]]
     ids = [-(1 << 62) - 5, (1 << 63) - 1, -(1 << 63), *range(7, 7 + len(texts) - 4), None]
     docs = spark.createDataFrame([(i, t, "clash", 3) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, hash string, row int")
-    got = {r.doc_id: r for r in fingerprints.versions(docs, rounds, tries).collect()}
+    got = {r.doc_id: r for r in fingerprints.versions(docs, rounds, tries, bucket).collect()}
     want = {r[0]: r for r in brute_versions(list(zip(ids, texts, strict=True)))}
     assert len(got) == len(texts) and {i: (i, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for i, r in got.items()} == want
     assert got[ids[0]].fingerprint == got[ids[1]].fingerprint and got[ids[4]].fingerprint == got[ids[5]].fingerprint
@@ -247,6 +247,22 @@ def test_fingerprints_can_be_read_back(spark):
             assert alone >= {d & ((1 << 64) - 1) for d in digests[i]}
 
 
+def test_next_of_crowded_ids(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(3, rng)) for i in [5] * 40 + [None] * 30 + list(range(100, 110)) + [1 << 62] + [-3] * 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, _ = fingerprints.with_next(docs, bucket_rows=4)
+    got = found.collect()
+    after = {(r.doc_id, r.text): r.next_text for r in got}
+    assert len(got) == len(rows) and len({r.bucket for r in got}) > 10 and max(r.row for r in got) < 25
+    at, seen = (1 << 62, next(t for i, t in rows if i == 1 << 62)), []
+    text_of = {t: i for i, t in rows}
+    for _ in rows:
+        seen.append(at[0])
+        at = (text_of[after[at]], after[at])
+    assert at[0] == 1 << 62 and seen == sorted([i for i, _ in rows if i is not None], reverse=True) + [None] * 30
+
+
 def test_fingerprints_of_few_rows(spark):
     assert fingerprints.versions(table(spark, TEXTS).limit(0)).count() == 0
     only = fingerprints.versions(table(spark, [BASE])).collect()
