@@ -283,7 +283,7 @@ def _dropped(left: DataFrame, runs: DataFrame, similarity: float, most_pairs: in
     return dropped
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, band_rows: int = 4, most_pairs: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, band_rows: int = 4, most_pairs: int = 32) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others) without near copies: by growing doc_id, a row goes if the Jaccard similarity
     of its runs of ``words`` words with those of a smaller doc_id that stays is ``similarity`` or more, else it stays.
 
