@@ -48,12 +48,11 @@ def place(key: Column, table: int, width: Column) -> Column:
 def fingerprint(rows: DataFrame, *names: str) -> DataFrame:
     """``rows`` with each array of digests of ``names`` as its sketch in text: cells per subtable (hex), then of each cell that isn't empty "cell.count.digests' xor"."""
     for name in names:
-        keys = F.col(name)
-        width = width_of(F.size(keys))
-        spots = F.array_sort(F.flatten(F.transform(keys, lambda k: F.array(*[F.struct(place(k, t, width).alias("cell"), k.alias("key")) for t in range(3)]))))  # noqa: B023
         others = [c for c in rows.columns if c != name]
         # generators keep what stands in a lambda from being worked out for each element
-        rows = rows.select(*others, F.inline(F.array(F.struct(F.lower(F.hex(width)).alias("_w"), spots.alias("_x")))))
+        rows = rows.select(*others, name, F.inline(F.array(F.struct(width_of(F.size(name)).alias("_width")))))
+        spots = F.flatten(F.transform(name, lambda k: F.array(*[F.struct(place(k, t, F.col("_width")).alias("cell"), k.alias("key")) for t in range(3)])))
+        rows = rows.select(*others, F.inline(F.array(F.struct(F.lower(F.hex("_width")).alias("_w"), F.sort_array(spots).alias("_x")))))
         heads = F.filter(F.transform("_x", lambda x, i: F.when((i == 0) | (x["cell"] != F.col("_x")[i - 1]["cell"]), i)), lambda i: i.isNotNull())
         rows = rows.select(*others, "_w", F.inline(F.array(F.struct(F.col("_x"), F.concat(heads, F.array(F.size("_x"))).alias("_h")))))
         ends = F.slice("_h", 1, F.size("_h") - 1)
