@@ -48,8 +48,10 @@ def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode:
     own = F.when(F.col("label") == 1, 1).otherwise(0) if mode == "train" else F.lit(0)
     more = []
     if vectors is not None:
-        out = out.join(user_vectors(history, vectors), "user_id", "left").join(vectors.select(F.col("id").alias("candidate_id"), "vec"), "candidate_id", "left")
-        more.append(cosine(F.col("vec"), F.col("user_vec")).alias("hist_embed_sim"))
+        # vectors meet in the pairs that have both, once each, so that no row carries them
+        pairs = rows.select("user_id", "candidate_id").distinct().join(vectors.select(F.col("id").alias("candidate_id"), "vec"), "candidate_id").join(user_vectors(history, vectors), "user_id")
+        out = out.join(pairs.select("user_id", "candidate_id", cosine(F.col("vec"), F.col("user_vec")).alias("_sim")), ["user_id", "candidate_id"], "left")
+        more.append(F.coalesce("_sim", F.lit(0.0)).alias("hist_embed_sim"))
     if engagement is not None:
         real = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
         out = out.join(engagement.groupBy("user_id").agg(real("read_time").alias("_read"), real("scroll").alias("_scroll")), "user_id", "left")
@@ -89,10 +91,7 @@ def fused_pool(users: DataFrame, history: DataFrame, articles: DataFrame, vector
     its mean vector, each article at its first place. A user without history has no list of either kind.
     """
     texts, means = user_queries(history.join(users, "user_id", "left_semi"), articles, vectors)
-    docs = articles.select("article_id", "text_lexical")
-    counts = V.term_counts(docs, "article_id", "text_lexical")
-    postings = V.bm25_postings(counts, V.bm25_idf(counts, docs))
-    lexical = V.top_k(V.bm25_scores(V.term_counts(texts, "user_id", "query_text"), postings), k)
+    lexical = V.text_top_k(V.term_counts(texts, "user_id", "query_text"), articles.select("article_id", "text_lexical"), "article_id", "text_lexical", k)
     near = V.knn_exact(V.unit(means.select(F.col("user_id").alias("id"), "vec")).withColumnRenamed("id", "query"), V.unit(vectors), k)
     lists = lexical.select("query", F.lit(0).alias("channel"), F.col("place").alias("rank"), F.col("id").alias("item"))
     lists = lists.unionByName(near.select("query", F.lit(1).alias("channel"), F.col("place").alias("rank"), F.col("id").alias("item")))
@@ -100,13 +99,14 @@ def fused_pool(users: DataFrame, history: DataFrame, articles: DataFrame, vector
 
 
 def fused_rows(rows: DataFrame, train: DataFrame, articles: DataFrame, vectors: DataFrame, k: int = S.POOL_SIZE) -> DataFrame:
-    """Rows like ``rows`` with each impression's candidates from its user's ``fused_pool``, its positives put in where they are missing."""
+    """Written rows like ``rows`` with each impression's candidates from its user's ``fused_pool``, its positives put in where they are missing."""
     impressions = rows.select("impression_id", "user_id", "ts").distinct()
     pool = fused_pool(impressions.select("user_id").distinct(), R.click_history(train), articles, vectors, k)
     own = impressions.select(F.col("impression_id").alias("q"), F.col("user_id").alias("query")).join(pool, "query").select(F.col("q").alias("query"), "item", "pos")
     positives = rows.filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item")).distinct()
     both = R.pool_with_positives(own, positives).join(positives.withColumn("label", F.lit(1)), ["query", "item"], "left")
-    return both.select(F.col("query").alias("impression_id"), F.col("item").alias("candidate_id"), "pos", F.coalesce("label", F.lit(0)).alias("label")).join(impressions, "impression_id")
+    fused = both.select(F.col("query").alias("impression_id"), F.col("item").alias("candidate_id"), "pos", F.coalesce("label", F.lit(0)).alias("label")).join(impressions, "impression_id")
+    return written(fused, "fused-rows")  # a feature table goes through them several times
 
 
 def matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -19,18 +19,20 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
 
 
-def bm25_idf(counts: DataFrame, docs: DataFrame, min_df: int = S.MIN_DF) -> DataFrame:
-    """(term, df, idf) of terms in ``min_df`` documents or more; all documents count, empty ones too."""
+def bm25_idf(counts: DataFrame, docs: DataFrame, min_df: int = S.MIN_DF, copies: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) of terms in ``min_df`` documents or more; all documents count, empty ones too. An id of ``copies`` (id, copies) stands for so many."""
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    rows, times = (counts, F.count(F.lit(1))) if copies is None else (counts.join(copies, "id"), F.sum("copies"))
+    df = rows.groupBy("term").agg(times.alias("df")).filter(F.col("df") >= min_df)
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "n_docs")
 
 
-def bm25_postings(counts: DataFrame, idf: DataFrame, k1: float = S.BM25_K1, b: float = S.BM25_B) -> DataFrame:
-    """Written table (term, id, w): lengths and their mean count terms of the vocabulary only."""
+def bm25_postings(counts: DataFrame, idf: DataFrame, k1: float = S.BM25_K1, b: float = S.BM25_B, copies: DataFrame | None = None) -> DataFrame:
+    """Written table (term, id, w): lengths and their mean count terms of the vocabulary only. An id of ``copies`` (id, copies) stands for so many."""
     known = written(counts.join(idf.select("term", "idf", "n_docs"), "term"), "known-terms")
     lengths = known.groupBy("id").agg(F.sum("tf").alias("dl"))
-    mean = known.agg((F.sum("tf") / F.first("n_docs").cast("double")).alias("avgdl"))
+    whole, times = (known, F.col("tf")) if copies is None else (known.join(copies, "id"), F.col("tf") * F.col("copies"))
+    mean = whole.agg((F.sum(times) / F.first("n_docs").cast("double")).alias("avgdl"))
     rows = known.join(lengths, "id").crossJoin(F.broadcast(mean))
     tf = F.col("tf").cast("double")
     return written(rows.select("term", "id", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w")), "postings")
@@ -61,45 +63,65 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.transform("vec", lambda x: x.cast("double") / size).alias("vec"))
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, block: int = S.QUERY_BLOCK) -> DataFrame:
-    """(query, id, score, place): all queries against all vectors in blocks of one Arrow batch a side, best k kept as blocks go by.
+def text_top_k(query_counts: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(query, id, place): the best ``k`` of all ``docs`` by BM25, as ``top_k`` of ``bm25_scores`` has them; each distinct text is scored once.
 
-    ``queries`` (query, vec) is a stated set. At most about ``block`` of them are held at once: a larger set goes in blocks, by a hash of the query,
-    each a pass over ``vectors`` (id, vec) that writes its result.
+    Of equal texts the ``k`` least ids can be among the best, and a text can where fewer than ``k`` such ids have better ones.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = written(rows.groupBy("text").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct-texts")
+    copies = texts.select(F.col("rep").alias("id"), "copies")
+    counts = term_counts(texts, "rep", "text")
+    scores = bm25_scores(query_counts, bm25_postings(counts, bm25_idf(counts, docs, copies=copies), copies=copies))
+    kept = F.least(F.col("copies"), F.lit(k))
+    better = F.sum("_m").over(W.partitionBy("query").orderBy(F.desc("_s"))) - F.sum("_m").over(W.partitionBy("query", "_s"))
+    near = scores.join(copies, "id").select("query", F.col("id").alias("rep"), "score", F.round("score", 9).alias("_s"), kept.alias("_m"))
+    near = near.withColumn("_better", better).filter(F.col("_better") < k).select("query", "rep", "score")
+    members = rows.join(texts.select("text", "rep"), "text").select("rep", "id")
+    members = members.withColumn("_n", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("_n") <= k).select("rep", "id")
+    return top_k(near.join(members, "rep").select("query", "id", "score"), k).select("query", "id", "place")
+
+
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, block: int = S.QUERY_BLOCK, rows: int = 16384) -> DataFrame:
+    """(query, id, score, place): all of ``queries`` (query, vec), a stated set, against all ``vectors`` (id, vec), ties in the ninth decimal by id.
+
+    Both are dealt out in blocks by a hash, of about ``block`` queries and ``rows`` vectors at most; each pair of blocks is a group of one job, which keeps the best k
+    of its own.
     """
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        return _knn_block(queries, vectors, k)
-    of = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    out = None
-    for i in range(blocks):
-        one = written(_knn_block(queries.filter(of == i), vectors, k), "knn-block")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _knn_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     import numpy as np
-    import pandas as pd
-
-    rows = queries.collect()
-    names = np.array([r[0] for r in rows])
-    table = np.array([r[1] for r in rows], dtype=np.float64)
-
-    def run(batches):
-        best_id = np.empty((len(names), 0), dtype=np.int64)
-        best = np.empty((len(names), 0))
-        for pdf in batches if len(names) else ():
-            block = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            score = np.concatenate([best, np.round(table @ block.T, 9)], axis=1)
-            ids = np.concatenate([best_id, np.broadcast_to(pdf["id"].to_numpy(), (len(names), len(pdf)))], axis=1)
-            order = np.lexsort((ids, -score), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        if best.size:
-            yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
-
-    found = vectors.mapInPandas(run, "query long, id long, score double")
-    return top_k(found, k)
+    import pyarrow as pa
+
+    n, m = queries.count(), vectors.count()
+    of_queries = max(1, -(-n // block), min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), n // 512))
+    of_vectors = max(1, -(-m // rows))
+
+    def dealt(df: DataFrame, key: str, own: str, number: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(number)).alias(own)
+        return df.select(F.col(key).cast("long").alias(key), F.transform("vec", lambda x: x.cast("double")).alias("vec"), mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        matrix = lambda t: np.asarray(t.column("vec").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if left.num_rows and right.num_rows:
+            names, ids = np.asarray(left.column("query")), np.asarray(right.column("id"))
+            asked, given = matrix(left), matrix(right).T
+            for at in range(0, len(names), 512):
+                score = np.round(asked[at : at + 512] @ given, 9)
+                if len(ids) > k:
+                    query, place = np.nonzero(score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None])  # with all ties of the k-th
+                else:
+                    query, place = (x.ravel() for x in np.indices(score.shape))
+                found = score[query, place]
+                order = np.lexsort((ids[place], -found, query))
+                query, place, found = query[order], place[order], found[order]
+                heads = np.searchsorted(query, np.arange(len(score)))
+                best = np.arange(len(query)) - heads[query] < k
+                out.append((names[at : at + 512][query[best]], ids[place[best]], found[best]))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], names=["query", "id", "score"])
+
+    one = dealt(queries, "query", "_q", of_queries, "_v", of_vectors).groupBy("_q", "_v")
+    two = dealt(vectors, "id", "_v", of_vectors, "_q", of_queries).groupBy("_q", "_v")
+    return top_k(one.cogroup(two).applyInArrow(run, "query long, id long, score double"), k)
 
 
 def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, clusters: int, probe: int, seed: int = S.SEED) -> DataFrame:

@@ -72,3 +72,34 @@ def test_a_stream_counts_each_batch_once(spark, tmp_path):
     for _ in range(2):
         append_chunks(df, f"{tmp_path}/t", files=3)
     assert spark.read.parquet(f"{tmp_path}/t").count() == 1000
+
+
+def test_equal_texts_are_scored_once_and_ranked_as_all(spark, monkeypatch):
+    from rankloom.operators import retrieval as V
+
+    texts = ["red bolt", "red ring", "old bolt", "red red ring", None, "", "tin", "tin cup cup"]
+    docs = spark.createDataFrame([((i * 37) % 160, texts[i % 8]) for i in range(160)], "id long, text string")
+    asked = spark.createDataFrame([(1, "red bolt ring"), (2, "cup"), (3, "bolt"), (4, "none"), (5, "red bolt old ring tin cup")], "id long, text string")
+    counts, wanted = V.term_counts(docs, "id", "text"), V.term_counts(asked, "id", "text")
+    every = V.bm25_scores(wanted, V.bm25_postings(counts, V.bm25_idf(counts, docs)))
+    scored, scores = [], V.bm25_scores
+    monkeypatch.setattr(V, "bm25_scores", lambda q, p: scored.append(p.select("id").distinct().count()) or scores(q, p))
+    for k in (1, 7, 25, 200):
+        want = sorted((r.query, r.place, r.id) for r in V.top_k(every, k).collect())
+        assert sorted((r.query, r.place, r.id) for r in V.text_top_k(wanted, docs, "id", "text", k).collect()) == want
+    assert max(scored) <= 6
+
+
+def test_exact_search_is_one_job_however_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from rankloom.operators import retrieval as V
+
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(90, 4)), 1)
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(vectors.tolist())], "id long, vec array<double>")
+    q = v.filter("id % 2 = 0").withColumnRenamed("id", "query")
+    monkeypatch.setattr(V, "written", lambda *a: pytest.fail("a pass for each block"))
+    want = sorted((i, p + 1, int(j)) for i in range(0, 90, 2) for p, j in enumerate(np.lexsort((np.arange(90), -np.round(vectors[i] @ vectors.T, 9)))[:6]))
+    for block, rows in ((4096, 16384), (7, 16384), (7, 11)):
+        assert sorted((r.query, r.place, r.id) for r in V.knn_exact(q, v, 6, block=block, rows=rows).collect()) == want
