@@ -926,7 +926,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Requests of the users of the later part: retrieval, features and the model's best ten."""
     _, fit, tune = parted(spark, sf)
-    model = FT.train_ranker(written(feature_rows(spark, sf, "train"), "train-features"), FT.FEATURES)
+    model = FT.train_ranker(written(FT.feature_table(fit, fit, articles(spark, sf), "train"), "train-features"), FT.FEATURES)
     return FT.serving_request(model, tune.select("user_id").distinct(), fit, articles(spark, sf), vectors(spark, sf).select("id", "vec"), FT.FEATURES, "2001-08-02 00:00:00")
 
 

@@ -103,3 +103,18 @@ def test_exact_search_is_one_job_however_many_blocks(spark, monkeypatch):
     want = sorted((i, p + 1, int(j)) for i in range(0, 90, 2) for p, j in enumerate(np.lexsort((np.arange(90), -np.round(vectors[i] @ vectors.T, 9)))[:6]))
     for block, rows in ((4096, 16384), (7, 16384), (7, 11)):
         assert sorted((r.query, r.place, r.id) for r in V.knn_exact(q, v, 6, block=block, rows=rows).collect()) == want
+
+
+def test_a_request_scores_each_text_once_and_splits_once(spark, monkeypatch):
+    from rankloom import settings
+    from rankloom.operators import retrieval as V
+    from rankloom.plans import catalog
+
+    parted, scores, calls, scored = catalog.parted, V.bm25_scores, [], []
+    monkeypatch.setattr(settings, "TREES", 2)
+    monkeypatch.setattr(catalog, "parted", lambda *a: calls.append(a) or parted(*a))
+    monkeypatch.setattr(V, "bm25_scores", lambda q, p: scored.append(p.select("id").distinct().count()) or scores(q, p))
+    found = QUERIES["serving_request"](spark, SF)
+    assert found.count() > 0 and len(calls) == 1
+    texts = spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct().count()
+    assert 0 < scored[0] <= texts < spark.read.parquet(f"{SF}/part.parquet").count()
