@@ -99,6 +99,9 @@ class Automaton:
     moves: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])
     lengths: dict[int, int] = field(default_factory=dict)
     classes: list[dict[str, tuple[int, int]]] = field(default_factory=list)
+    #: What ``bits`` has worked out: for each weight and state {symbol: (bits, next state)}, and by length.
+    steps: dict[float, list[dict[str, tuple[float, int]]]] = field(default_factory=dict)
+    by_length: dict[int, float] = field(default_factory=dict)
 
     def add(self, text: str) -> None:
         state = 0
@@ -167,7 +170,7 @@ class Automaton:
 
     def finish(self) -> None:
         """Counts each state's moves by class: {class: (times, most frequent next state)}."""
-        self.classes = []
+        self.classes, self.steps, self.by_length = [], {}, {}
         for moves in self.moves:
             found: dict[str, tuple[int, int]] = {}
             top: dict[str, int] = {}
@@ -197,20 +200,34 @@ class Automaton:
         the state never had goes where most of its class go. Lengths have half an unseen time.
         States of random symbols are visited too seldom to tell how far along they are, so lengths are counted beside them.
         """
-        seen = sum(self.lengths.values())
-        state, total = 0, math.log2((self.lengths.get(len(text), 0) + 0.5) / (seen + 0.5 * (len(self.lengths) + 1)))
+        if weight not in self.steps:
+            self.steps[weight] = [{} for _ in self.visits]
+        steps, state, total = self.steps[weight], 0, self.length_bits(len(text))
         for c in text:
-            visits = self.visits[state]
-            name, size = class_of(c)
-            known = self.classes[state].get(name)
-            prior = ((known[0] if known else 0) + 0.1) / (visits + 0.5) / size
-            move = self.moves[state].get(c)
-            total += math.log2(((move[1] if move else 0) + weight * prior) / (visits + weight))
-            if not move and not known:
+            step = steps[state].get(c)
+            if step is None:
+                step = steps[state][c] = self.step(state, c, weight)
+            total += step[0]
+            if step[1] < 0:
                 return total - 8.0 * len(text)  # a class that this state never had: no such format
-            state = move[0] if move else known[1]
+            state = step[1]
         return total + math.log2((self.ends[state] + 0.5) / (self.visits[state] + 1.0))
 
+    def length_bits(self, n: int) -> float:
+        if n not in self.by_length:
+            seen = sum(self.lengths.values())
+            self.by_length[n] = math.log2((self.lengths.get(n, 0) + 0.5) / (seen + 0.5 * (len(self.lengths) + 1)))
+        return self.by_length[n]
+
+    def step(self, state: int, c: str, weight: float) -> tuple[float, int]:
+        """log2 of the symbol's share at the state, and the next state; -1 where the state never had its class."""
+        visits = self.visits[state]
+        name, size = class_of(c)
+        known = self.classes[state].get(name)
+        prior = ((known[0] if known else 0) + 0.1) / (visits + 0.5) / size
+        move = self.moves[state].get(c)
+        return math.log2(((move[1] if move else 0) + weight * prior) / (visits + weight)), move[0] if move else known[1] if known else -1
+
 
 def infer(texts: list[str], alpha: float = 0.05, enough: int = 16, far: float = 0.5) -> Automaton:
     """The automaton of the texts by merging compatible states of their prefix tree.
@@ -265,8 +282,8 @@ class Formats:
     def is_secret(self, value: str) -> bool:
         if not self.kinds or self.ordinary is None:
             return False
-        usual = self.ordinary.bits(value) / len(value)
-        return any((own := a.bits(value) / len(value)) >= least and own - usual >= self.margin for a, least in self.kinds.values())
+        likely = [own for a, least in self.kinds.values() if (own := a.bits(value) / len(value)) >= least]
+        return bool(likely) and max(likely) - self.ordinary.bits(value) / len(value) >= self.margin
 
 
 def fit_formats(labelled: dict[str, list[str]], ordinary: list[str], margin: float = 1.0, folds: int = 4) -> Formats:
