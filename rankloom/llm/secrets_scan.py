@@ -309,7 +309,7 @@ def extracted(docs: DataFrame) -> DataFrame:
     """Written table (kind, value): the values of fixed matches, and the candidates apart from them as ``format``; those of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 8_000_000):
             seen: dict[tuple[str, str], None] = {}
             for text in batch.column("text").to_pylist():
                 found, runs = base_matches(text)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import text_or_empty
-from rankloom.llm.wordids import ranges, small_batches
+from rankloom.llm.wordids import give_back, small_batches
 
 SLOTS = 1 << 16
 CHUNK = 64
@@ -37,8 +37,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts (dictionary-encoded), the number of words before each text, first and end byte of each word, and code points before each byte."""
+def words_of(texts: pa.Array, places: bool = True) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Words of all texts (dictionary-encoded), the number of words before each text, first and end byte of each word, and, for ``places``, code points before each byte."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first, last = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
@@ -52,8 +52,10 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarra
     after = np.append(inside[1:], False) if len(data) else inside
     end = np.flatnonzero(inside & (~after | fresh[1:])) + 1
     size = end - begin
-    flat = data[ranges(begin, size)]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+    flat = data[inside]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(flat)])
+    if not places:
+        return words.dictionary_encode(), np.searchsorted(begin, offsets), begin, end, None
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
     points = points - np.repeat(points[offsets[:-1]], np.diff(np.append(offsets[:-1], len(points)))) if len(offsets) > 1 else points
     return words.dictionary_encode(), np.searchsorted(begin, offsets), begin, end, points
@@ -237,15 +239,17 @@ class Model:
     field: Field
     weights: np.ndarray
 
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """Score of each text, and first and end code point of its words whose marginal is 0.5 or more."""
-        coded, before, begin, end, points = words_of(texts)
+    def scores(self, texts: pa.Array, places: bool = True) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """Score of each text, and, for ``places``, first and end code point of its words whose marginal is 0.5 or more."""
+        coded, before, begin, end, points = words_of(texts, places)
         which = np.asarray(coded.indices, np.int64)
         heads = before[:-1][np.diff(before) > 0]
         p = self.field.marginals(self.field.emissions(coded.dictionary.to_pylist(), which, heads), heads)
         x = summaries(p, heads, len(texts), before)
         score = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -30, 30)))
         spans: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
+        if points is None:
+            return score, spans
         bad = np.flatnonzero(p >= 0.5)
         length = points[np.maximum(end[bad] - 1, 0)] + 1
         for row, a, b in zip((np.searchsorted(before, bad, "right") - 1).tolist(), points[begin[bad]].tolist(), length.tolist(), strict=True):
@@ -270,6 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         model = fitted(pa.Table.from_batches(held).sort_by("doc_id"), counts) if held else None
+        held.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # the bounded sample is fitted in one task, so the driver gets the model only
@@ -286,7 +292,7 @@ def fitted(rows: pa.Table, counts: dict[int, int]) -> Model | None:
     texts = rows.column("text").to_pylist()
 
     def taken(pick: np.ndarray):
-        coded, before, _, _, _ = words_of(pa.array([t for t, k in zip(texts, pick, strict=True) if k], pa.large_string()))
+        coded, before, _, _, _ = words_of(pa.array([t for t, k in zip(texts, pick, strict=True) if k], pa.large_string()), places=False)
         return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64), before
 
     words, which, before = taken(fold)
@@ -319,7 +325,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        for batch in small_batches(batches, "text", 4_000_000):
+        for batch in small_batches(batches, "text", 2_000_000):
             s, spans = model.scores(batch.column("text")) if model else (np.zeros(batch.num_rows), [[]] * batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], kind)], ["doc_id", "score", "predicted", "spans"])
 
@@ -330,7 +336,7 @@ def kept(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4_000_000):
-            yield batch.filter(pa.array(model.scores(batch.column("text").fill_null(""))[0] < 0.5)) if model else batch
+        for batch in small_batches(batches, "text", 2_000_000):
+            yield batch.filter(pa.array(model.scores(batch.column("text").fill_null(""), places=False)[0] < 0.5)) if model else batch
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,8 +15,10 @@ All others go through the whole library.
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +105,7 @@ def one_token(path: str) -> Callable[[str], str] | None:
 class WordEncoder:
     """Ids of batches of texts. Beyond twice ``most_words`` words after a batch, only the first ``most_words`` that came are kept, so the frequent ones."""
 
-    def __init__(self, path: str, most_words: int = 300_000, encode_special_tokens: bool = False):
+    def __init__(self, path: str, most_words: int = 150_000, encode_special_tokens: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,6 +117,8 @@ class WordEncoder:
         self.stop = special[0] if special else None
         self.most = most_words
         self.plain, self.tokenize = one_token(path), self.tokenizer.model.tokenize
+        # whether words that are written alike share their ids; else a second table of them would be of no use
+        self.shared = bool(self.plain) and len({self.plain(w) for w in ("a", "A", " a", " A")}) < 4
         self.forget()
 
     def forget(self) -> None:
@@ -148,12 +152,15 @@ class WordEncoder:
 
     def learn_plain(self, words: list[str]) -> None:
         written = [self.plain(w) for w in words]
-        fresh = [k for k in dict.fromkeys(written) if k not in self.number_of]
+        fresh = [k for k in dict.fromkeys(written) if k not in self.number_of] if self.shared else written
         lists = [[t.id for t in self.tokenize(k)] for k in fresh]
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter((x for e in lists for x in e), np.uint32, int(length.sum()))
-        self.number_of.update(zip(fresh, self.add(ids, length), strict=True))
-        self.number.update(zip(words, map(self.number_of.__getitem__, written), strict=True))
+        numbers = self.add(ids, length)
+        if self.shared:
+            self.number_of.update(zip(fresh, numbers, strict=True))
+            numbers = map(self.number_of.__getitem__, written)
+        self.number.update(zip(words, numbers, strict=True))
 
     def learn(self, words: list[str]) -> None:
         if self.plain:
@@ -171,9 +178,11 @@ class WordEncoder:
         pieces, text_at = cut_words(texts)
         coded = pieces.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [w for w in words if w not in self.number]:
+        known = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        if len(at := np.flatnonzero(known < 0)):
+            new = [words[i] for i in at.tolist()]
             self.learn(new)
-        known = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            known[at] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
         which = known[np.asarray(coded.indices)] if len(words) else np.empty(0, np.int64)
         length = self.length[which]
         ids = self.flat[ranges(self.start[which], length)]
@@ -201,9 +210,17 @@ def worker_encoder(path: str, encode_special_tokens: bool = False) -> WordEncode
     return ENCODERS[key]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most_bytes`` of the column, at least one row each."""
+def give_back() -> None:
+    """Returns freed memory to the system: Spark's Python processes live on through all stages, and allocators would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most_bytes`` of the column, at least one row each. Memory is given back before each batch that comes in, and at the end."""
     for batch in batches:
+        give_back()
         if not batch.num_rows:
             continue
         size = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
@@ -213,3 +230,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             end = max(at + 1, int(np.searchsorted(size, done + most_bytes, "right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()

@@ -1,5 +1,6 @@
 """WARC archives, token files, packing and chat formatting: exact round trips and hand-made cases."""
 
+import os
 import base64
 import hashlib
 import zlib
@@ -200,3 +201,38 @@ def test_words_are_forgotten_but_the_first(monkeypatch):
         for i, t in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
         assert len(encoder.number) <= 40
+
+
+def test_a_worker_gives_back_what_a_task_has_used():
+    """In a process of its own, as a Python worker is: after a task little is left of what its batches took, and less than the words' two tables of what was learnt."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from rankloom.llm import toxicity as T
+from rankloom.llm.queries import BYTE_TOKENIZER, tokenizer_file
+from rankloom.llm.wordids import WordEncoder, small_batches
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+random = np.random.default_rng(1)
+words = np.array(["".join(map(chr, w)) for w in random.integers(97, 123, (50_000, 6))])
+batch = pa.record_batch({"text": pa.array([" ".join(words[random.integers(0, len(words), 300)]) for _ in range(6000)])})
+model = T.Model(T.Field(np.zeros(T.SLOTS), -2.0, np.zeros((2, 2)), np.zeros(2)), np.zeros(5))
+encoder = WordEncoder(tokenizer_file(BYTE_TOKENIZER))
+def task():
+    for part in small_batches(iter([batch]), "text"):
+        model.scores(part.column("text"))
+        encoder.encode(part.column("text"))
+before = held()
+task()
+print(held() - before, len(encoder.number), len(encoder.number_of))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, timeout=120)
+    assert done.returncode == 0, done.stderr
+    kept, words, twice = (float(x) for x in done.stdout.split())
+    assert words > 50_000 and twice == 0 and kept < 60, done.stdout
