@@ -40,7 +40,7 @@ def _splitter(path: str, end_id: int, window: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, before = worker_encoder(path, special), 0
+        encoder, before = worker_encoder(path, special, most_words=150_000), 0
         part = TaskContext.get().partitionId()
         total, pieces, tokens = np.zeros(1 << 16, np.int64), 0, 0
         for batch in small_batches(batches, "text"):

@@ -105,7 +105,7 @@ def one_token(path: str) -> Callable[[str], str] | None:
 class WordEncoder:
     """Ids of batches of texts. Beyond twice ``most_words`` words after a batch, only the first ``most_words`` that came are kept, so the frequent ones."""
 
-    def __init__(self, path: str, most_words: int = 150_000, encode_special_tokens: bool = False):
+    def __init__(self, path: str, most_words: int = 300_000, encode_special_tokens: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -199,14 +199,14 @@ class WordEncoder:
         self.start, self.length = self.start[:least].copy(), self.length[:least].copy()
 
 
-ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+ENCODERS: dict[tuple[str, bool, int], WordEncoder] = {}
 
 
-def worker_encoder(path: str, encode_special_tokens: bool = False) -> WordEncoder:
+def worker_encoder(path: str, encode_special_tokens: bool = False, most_words: int = 300_000) -> WordEncoder:
     """This Python process's encoder of a file: what one task has learnt serves those that come after it in the same worker."""
-    key = (path, encode_special_tokens)
+    key = (path, encode_special_tokens, most_words)
     if key not in ENCODERS:
-        ENCODERS[key] = WordEncoder(path, encode_special_tokens=encode_special_tokens)
+        ENCODERS[key] = WordEncoder(path, most_words, encode_special_tokens)
     return ENCODERS[key]
 
 
