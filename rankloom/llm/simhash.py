@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import names, parts, text_or_empty, written
 from rankloom.llm.components import components
-from rankloom.llm.wordids import ranges, small_batches
+from rankloom.llm.wordids import give_back, ranges, small_batches
 
 SEED = 42
 
@@ -286,35 +286,52 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MEMBERS = "bucket long, doc_id long, one long, two long, stays boolean"
 
 
-def near_members(bucket: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int, both: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (later, first) of whole buckets that are near, and each row's place in its bucket. Rows come sorted by bucket and doc_id.
+def near_chunks(bucket: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray, radius: int, both: int, hot: int, most_work: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``near_members`` by and by: rows (later, first), sorted, from about ``most_work`` pairs of members at a time (``hot`` squared at least).
 
-    Near are fingerprints ``one`` within ``radius`` bits, found by self-joining tries, that differ in ``both`` bits or fewer with ``two`` added.
-    Of a bucket of over ``hot`` members the first ``hot`` are compared with all, the others with these alone.
+    All firsts of a later row come together, so however large a bucket is, what is not wanted of them need not be held.
     """
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    size = np.diff(np.append(heads, len(bucket)))
+    size = np.bincount(np.cumsum(place == 0) - 1) if len(bucket) else np.empty(0, np.int64)
     of = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(bucket)) - heads[of]
     row = np.flatnonzero(size[of] > 1)
     row = row[np.lexsort((one[row], place[row] // hot, of[row]))]
     if not len(row):
-        return np.empty(0, np.int64), np.empty(0, np.int64), place
+        return
     chunk, of, values = place[row] // hot, of[row], one[row]
     lo = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (chunk[1:] != chunk[:-1])))
     hi = np.append(lo[1:], len(row))
     root = np.maximum.accumulate(np.where(chunk[lo] == 0, np.arange(len(lo)), 0))  # the bucket's first chunk
-    work = np.cumsum((hi[root] - lo[root]) * (hi - lo)) >> 20
+    work = np.cumsum((hi[root] - lo[root]) * (hi - lo)) // most_work
     edges = np.append(np.flatnonzero(np.append(True, work[1:] != work[:-1])), len(lo))
-    left, right = [], []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        at, end = int(lo[root[a]]), int(hi[b - 1])
-        i, j = trie_pairs(values[at:end], lo[root[a:b]] - at, hi[root[a:b]] - at, lo[a:b] - at, hi[a:b] - at, radius)
-        i, j = row[i + at], row[j + at]
+        used = np.unique(np.append(root[a:b], np.arange(a, b)))  # of a large bucket its first chunk alone, not all between
+        rows = row[ranges(lo[used], hi[used] - lo[used])]
+        ends = np.cumsum(hi[used] - lo[used])
+        begins = ends - (hi[used] - lo[used])
+        first, last = np.searchsorted(used, root[a:b]), np.searchsorted(used, np.arange(a, b))
+        i, j = trie_pairs(one[rows], begins[first], ends[first], begins[last], ends[last], radius)
+        i, j = rows[i], rows[j]
         near = (np.bitwise_count(one[i] ^ one[j]).astype(np.int64) + np.bitwise_count(two[i] ^ two[j]) <= both) & (doc[i] != doc[j])
-        left.append(np.maximum(i[near], j[near]))
-        right.append(np.minimum(i[near], j[near]))
-    later, first = np.concatenate(left), np.concatenate(right)
+        later, earlier = np.maximum(i[near], j[near]), np.minimum(i[near], j[near])
+        order = np.lexsort((earlier, later))
+        yield later[order], earlier[order]
+
+
+def places(bucket: np.ndarray) -> np.ndarray:
+    """Each row's place in its bucket; rows come sorted by bucket."""
+    heads = np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]
+    return np.arange(len(bucket)) - np.maximum.accumulate(np.where(heads, np.arange(len(bucket)), 0))
+
+
+def near_members(bucket: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int, both: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (later, first) of whole buckets that are near, and each row's place in its bucket. Rows come sorted by bucket and doc_id.
+
+    Near are fingerprints ``one`` within ``radius`` bits, found by self-joining tries, that differ in ``both`` bits or fewer with ``two`` added.
+    Of a bucket of over ``hot`` members the first ``hot`` are compared with all, the others with these alone.
+    """
+    place = places(bucket)
+    found = list(near_chunks(bucket, doc, one, two, place, radius, both, hot))
+    later, first = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
     order = np.lexsort((first, later))
     return later[order], first[order], place
 
@@ -325,33 +342,38 @@ def _near(radius: int, both: int, most: int, hot: int, most_rows: int = 1 << 15)
     Where some members stay, all pairs of others with these instead.
     """
 
-    def found(bucket: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, stays: np.ndarray) -> pa.RecordBatch:
-        later, first, place = near_members(bucket, doc, one.view(np.uint64), two.view(np.uint64), radius, both, hot)
+    def found(bucket: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, stays: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = places(bucket)
         if most:
-            new = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else later
-            nth = np.arange(len(later)) - np.repeat(new, np.diff(np.append(new, len(later))))
             beyond = place >= hot
-            missing = np.unique(np.append(doc[later[nth >= most]], doc[beyond][doc[beyond] != doc[(np.arange(len(doc)) - place)[beyond]]]))
-            later, first = later[nth < most], first[nth < most]
-        else:
-            some = stays[first] & ~stays[later]
-            later, first, missing = later[some], first[some], np.empty(0, np.int64)
-        firsts = pa.concat_arrays([pa.array(doc[first]), pa.nulls(len(missing), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.append(doc[later], missing)), firsts], ["doc_id", "first"])
+            yield rows(np.empty(0, np.int64), np.empty(0, np.int64), np.unique(doc[beyond][doc[beyond] != doc[(np.arange(len(doc)) - place)[beyond]]]))
+        for later, first in near_chunks(bucket, doc, one.view(np.uint64), two.view(np.uint64), place, radius, both, hot):
+            if most:
+                new = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else later
+                nth = np.arange(len(later)) - np.repeat(new, np.diff(np.append(new, len(later))))
+                yield rows(doc[later[nth < most]], doc[first[nth < most]], np.unique(doc[later[nth >= most]]))
+            else:
+                some = stays[first] & ~stays[later]
+                yield rows(doc[later[some]], doc[first[some]], np.empty(0, np.int64))
+        give_back()
+
+    def rows(later: np.ndarray, first: np.ndarray, missing: np.ndarray) -> pa.RecordBatch:
+        firsts = pa.concat_arrays([pa.array(first), pa.nulls(len(missing), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.append(later, missing)), firsts], ["doc_id", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-            if sum(len(x[0]) for x in held) < most_rows:
-                continue
+            if sum(len(x[0]) for x in held) < most_rows or batch.column(0)[-1].as_py() == held[0][0][0]:
+                continue  # one bucket alone so far goes on
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last bucket may go on
-            if cut:
-                yield found(*(x[:cut] for x in columns))
-            held = [[x[cut:] for x in columns]]
+            held = [[x[cut:].copy() for x in columns]]
+            columns = [x[:cut] for x in columns]
+            yield from found(*columns)
         if held and sum(len(x[0]) for x in held):
-            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 

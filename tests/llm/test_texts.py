@@ -363,6 +363,23 @@ def test_tries_find_the_near_members_of_buckets(hot):
     assert set(zip(later.tolist(), first.tolist(), strict=True)) == want and len(want) == len(later) > 100
 
 
+def test_near_pairs_of_a_large_bucket_come_by_and_by():
+    import pyarrow as pa
+
+    n, hot = 3000, 512
+    stays = np.arange(n) < hot
+    columns = [np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), stays]
+    rows = pa.table(columns, names=["bucket", "doc_id", "one", "two", "stays"]).to_batches(max_chunksize=700)
+    found = list(simhash._near(20, 34, 0, hot, most_rows=1000)(iter(rows)))
+    assert sum(x.num_rows for x in found) == (n - hot) * hot and max(x.num_rows for x in found) <= 1 << 19
+    later, first = (np.concatenate([np.asarray(x.column(k)) for x in found]) for k in (0, 1))
+    assert len(np.unique(later * n + first)) == (n - hot) * hot and first.max() < hot <= later.min()
+    few = pa.Table.from_batches(list(simhash._near(20, 34, 4, hot, most_rows=1000)(iter(rows)))).to_pydict()
+    pairs = [(a, b) for a, b in zip(few["doc_id"], few["first"], strict=True) if b is not None]
+    assert sorted(pairs) == [(a, b) for a in range(n) for b in range(min(a, 4))]
+    assert {a for a, b in zip(few["doc_id"], few["first"], strict=True) if b is None} == set(range(5, n))
+
+
 def test_unlike_texts_are_no_candidates(spark, monkeypatch):
     rng = random.Random(13)
     shared = [rng.choice(WORDS) for _ in range(60)]
