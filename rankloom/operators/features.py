@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,9 +53,13 @@ def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode:
         out = out.join(pairs.select("user_id", "candidate_id", cosine(F.col("vec"), F.col("user_vec")).alias("_sim")), ["user_id", "candidate_id"], "left")
         more.append(F.coalesce("_sim", F.lit(0.0)).alias("hist_embed_sim"))
     if engagement is not None:
-        real = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
-        out = out.join(engagement.groupBy("user_id").agg(real("read_time").alias("_read"), real("scroll").alias("_scroll")), "user_id", "left")
+        out = out.join(engagement_means(engagement), "user_id", "left")
         more += [F.coalesce("_read", F.lit(0.0)).alias("user_avg_read_time"), F.coalesce("_scroll", F.lit(0.0)).alias("user_avg_scroll_pct")]
+    return _features(out, raw, own, R.position_norm(), more)
+
+
+def _features(out: DataFrame, raw: Column, own: Column, norm: Column, more: list[Column]) -> DataFrame:
+    """The columns of a feature table from what was looked up for its rows."""
     fresh = F.coalesce(raw, F.col("median_freshness"), F.lit(0.0))
     return out.select(
         "impression_id", "user_id", "candidate_id", "label",
@@ -66,10 +70,16 @@ def feature_table(rows: DataFrame, train: DataFrame, articles: DataFrame, mode:
         F.log1p(F.greatest(F.coalesce("clicks", F.lit(0)) - own, F.lit(0)).cast("double")).alias("popularity_log"),
         F.greatest(fresh, F.lit(0.0)).alias("freshness_hours"), fresh.alias("freshness_hours_raw"),
         F.coalesce((F.col("category") == F.col("top_category")).cast("int"), F.lit(0)).alias("category_match"),
-        F.col("pos").alias("candidate_position"), R.position_norm().alias("candidate_position_norm"), *more,
+        F.col("pos").alias("candidate_position"), norm.alias("candidate_position_norm"), *more,
     )
 
 
+def engagement_means(engagement: DataFrame) -> DataFrame:
+    """(user_id, _read, _scroll): means without nulls and NaN."""
+    real = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    return engagement.groupBy("user_id").agg(real("read_time").alias("_read"), real("scroll").alias("_scroll"))
+
+
 def user_vectors(history: DataFrame, vectors: DataFrame) -> DataFrame:
     """(user_id, user_vec): mean of the vectors of a user's window, weighted by rank; users without any are left out."""
     tail = R.history_tail(history).select("user_id", F.col("article_id").alias("id"), R.rank_weight(F.col("idx"), F.col("n")).alias("weight"))
@@ -98,15 +108,67 @@ def fused_pool(users: DataFrame, history: DataFrame, articles: DataFrame, vector
     return written(R.pool_concat(lists), "fused-pool")
 
 
-def fused_rows(rows: DataFrame, train: DataFrame, articles: DataFrame, vectors: DataFrame, k: int = S.POOL_SIZE) -> DataFrame:
-    """Written rows like ``rows`` with each impression's candidates from its user's ``fused_pool``, its positives put in where they are missing."""
+def fused_features(rows: DataFrame, train: DataFrame, articles: DataFrame, vectors: DataFrame, engagement: DataFrame, k: int = S.POOL_SIZE) -> DataFrame:
+    """``feature_table`` in mode "val", with vectors and engagement, of the impressions of ``rows`` over their users' ``fused_pool``, each impression's positives put in
+    where they are missing, at the places of ``pool_with_positives``.
+
+    There are up to 2 ``k`` rows an impression, so none is shuffled or written before the result: what belongs to an item comes with the texts that hold it, what belongs to a
+    user comes once, pools are arrays of a user, and they become rows last of all. Only impressions, queries and distinct texts are dealt out.
+    """
+    history = written(R.click_history(train), "history")
+    stats = train.groupBy("candidate_id").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("clicks"), F.min("ts").alias("first_ts"))
+    items = written(articles.select(F.col("article_id").alias("id"), "category").join(stats.withColumnRenamed("candidate_id", "id"), "id", "full"), "items")
+    item = F.struct("id", "category", "clicks", "first_ts").alias("item")
+    raw = R.hours_between(F.col("ts"), F.col("first_ts"))
+    times = train.select("candidate_id", "ts").join(items.select(F.col("id").alias("candidate_id"), "first_ts"), "candidate_id")
+    median = written(R.quantiles(times.select(raw.alias("hours")), "hours", {"median_freshness": 0.5}), "median")
+
     impressions = rows.select("impression_id", "user_id", "ts").distinct()
-    pool = fused_pool(impressions.select("user_id").distinct(), R.click_history(train), articles, vectors, k)
-    own = impressions.select(F.col("impression_id").alias("q"), F.col("user_id").alias("query")).join(pool, "query").select(F.col("q").alias("query"), "item", "pos")
-    positives = rows.filter("label = 1").select(F.col("impression_id").alias("query"), F.col("candidate_id").alias("item")).distinct()
-    both = R.pool_with_positives(own, positives).join(positives.withColumn("label", F.lit(1)), ["query", "item"], "left")
-    fused = both.select(F.col("query").alias("impression_id"), F.col("item").alias("candidate_id"), "pos", F.coalesce("label", F.lit(0)).alias("label")).join(impressions, "impression_id")
-    return written(fused, "fused-rows")  # a feature table goes through them several times
+    positives = rows.filter("label = 1").select("impression_id", "user_id", F.col("candidate_id").alias("id")).distinct()
+    given = positives.join(items, "id", "left").groupBy("impression_id").agg(F.collect_list(item).alias("positives"))
+    asked = R.sessions(impressions, "user_id", "ts", "impression_id").join(given, "impression_id", "left")
+    asked = written(asked.select("impression_id", "user_id", "ts", "session_position", F.coalesce("positives", F.array().cast(given.schema["positives"].dataType)).alias("positives")), "asked")
+
+    own = written(history.join(asked.select("user_id").distinct(), "user_id", "left_semi"), "own-history")
+    texts, means = user_queries(own, articles, vectors)
+    lexical, members = V.text_groups(V.term_counts(texts, "user_id", "query_text"), articles.select("article_id", "text_lexical"), "article_id", "text_lexical", k)
+    near = V.knn_exact(V.unit(means.select(F.col("user_id").alias("id"), "vec")).withColumnRenamed("id", "query"), V.unit(vectors), k)
+    near = written(near.select(F.col("query").alias("user_id"), "id", "place"), "near")
+
+    # a cosine for each user and item that both have a vector
+    seen = members.join(vectors.select("id"), "id", "left_semi")
+    mine = written(user_vectors(own, vectors), "user-vectors")
+    pairs = lexical.select(F.col("query").alias("user_id"), "rep").join(mine.select("user_id"), "user_id", "left_semi").join(seen, "rep").select("user_id", "id")
+    pairs = pairs.unionByName(near.select("user_id", "id")).unionByName(positives.select("user_id", "id")).distinct()
+    pairs = pairs.join(vectors.select("id", "vec"), "id").join(mine, "user_id").select("user_id", F.struct("id", cosine(F.col("vec"), F.col("user_vec"))).alias("x"))
+    sims = pairs.groupBy("user_id").agg(F.map_from_entries(F.collect_list("x")).alias("sims"))
+
+    profile = written(R.category_profile(R.history_tail(own), articles), "profile")
+    known = profile.groupBy("user_id").agg(F.max("n_known").alias("n_known"), F.max("total_weight").alias("total_weight"), F.map_from_entries(F.collect_list(F.struct("category", F.struct("cnt", "weight")))).alias("cats"))
+    about = own.groupBy("user_id").agg(F.max("n").alias("hist_len")).join(known, "user_id", "left").join(R.top_category(profile), "user_id", "left")
+    about = written(about.join(engagement_means(engagement), "user_id", "left").join(sims, "user_id", "left"), "about-users")
+
+    # all by user and so many parts that a part's pools fit in memory; joins of the user's rows then need no further exchange
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), asked.count() // 4096)
+    held = written(members.join(items, "id", "left").groupBy("rep").agg(F.collect_list(item).alias("held")), "text-items")
+    scored = F.transform("held", lambda x: F.struct((-F.round("score", 9)).alias("s"), x["id"].alias("id"), x.alias("item")))
+    first = lexical.repartition(parts, "query").join(held, "rep").select("query", scored.alias("x")).groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, k).alias("x"))
+    second = near.join(items, "id", "left").repartition(parts, "user_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", item))).alias("y"))
+    out = asked.repartition(parts, "user_id").join(first.select(F.col("query").alias("user_id"), "x"), "user_id", "left").join(second, "user_id", "left").join(about, "user_id", "left")
+    none = F.array().cast(given.schema["positives"].dataType)
+    more = F.when(F.col("y").isNull(), none).when(F.col("x").isNull(), F.col("y.item")).otherwise(F.filter("y.item", lambda e: ~F.array_contains(F.col("x.id"), e["id"])))
+    out = out.withColumn("list", F.concat(F.coalesce(F.col("x.item"), none), more)).drop("x", "y").filter(F.size("list") > 0)
+    out = out.withColumn("missing", F.filter("positives", lambda e: ~F.array_contains(F.col("list.id"), e["id"])))
+    spot = lambda at, e: F.struct(at.cast("double").alias("at"), e["id"].alias("id"), e.alias("item"))
+    placed = F.transform("missing", lambda e: spot(F.floor(R.md5_share(F.col("impression_id"), e["id"], F.lit(S.SEED)) * (F.size("list") + 1)) - 0.5, e))
+    whole = F.sort_array(F.concat(F.transform("list", lambda e, i: spot(i, e)), placed))["item"]
+    out = out.withColumn("list", F.when(F.size("missing") == 0, F.col("list")).otherwise(whole)).withColumn("_clicked", F.col("positives.id")).drop("missing", "positives")
+    out = out.withColumn("_n", F.size("list")).select("*", F.posexplode("list").alias("pos", "item")).drop("list").select("*", F.col("item.id").alias("candidate_id"), "item.category", "item.clicks", "item.first_ts")
+    out = out.withColumn("label", F.array_contains("_clicked", F.col("candidate_id")).cast("int")).crossJoin(F.broadcast(median))
+    mine_of = F.try_element_at("cats", F.col("category"))
+    out = out.withColumn("cnt", mine_of["cnt"]).withColumn("weight", mine_of["weight"])
+    norm = F.col("pos") / F.greatest(F.col("_n") - 1, F.lit(1)).cast("double")
+    return _features(out, raw, F.lit(0), norm, [F.coalesce(F.try_element_at("sims", F.col("candidate_id")), F.lit(0.0)).alias("hist_embed_sim"), F.coalesce("_read", F.lit(0.0)).alias("user_avg_read_time"), F.coalesce("_scroll", F.lit(0.0)).alias("user_avg_scroll_pct")])
 
 
 def matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -63,22 +63,29 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.transform("vec", lambda x: x.cast("double") / size).alias("vec"))
 
 
-def text_top_k(query_counts: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(query, id, place): the best ``k`` of all ``docs`` by BM25, as ``top_k`` of ``bm25_scores`` has them; each distinct text is scored once.
+def text_groups(query_counts: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Written (query, rep, score) of the distinct texts that hold any of the best ``k`` of all ``docs`` by BM25, and written (rep, id), the ids that can be among these.
 
-    Of equal texts the ``k`` least ids can be among the best, and a text can where fewer than ``k`` such ids have better ones.
+    Each distinct text is scored once. Of equal texts the ``k`` least ids can be among the best, and a text can where fewer than ``k`` such ids have better ones.
+    Queries are dealt out before they are scored, so where the postings are small enough to be broadcast no score is shuffled.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = written(rows.groupBy("text").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct-texts")
     copies = texts.select(F.col("rep").alias("id"), "copies")
     counts = term_counts(texts, "rep", "text")
-    scores = bm25_scores(query_counts, bm25_postings(counts, bm25_idf(counts, docs, copies=copies), copies=copies))
+    scores = bm25_scores(query_counts.repartition("id"), bm25_postings(counts, bm25_idf(counts, docs, copies=copies), copies=copies))
     kept = F.least(F.col("copies"), F.lit(k))
     better = F.sum("_m").over(W.partitionBy("query").orderBy(F.desc("_s"))) - F.sum("_m").over(W.partitionBy("query", "_s"))
     near = scores.join(copies, "id").select("query", F.col("id").alias("rep"), "score", F.round("score", 9).alias("_s"), kept.alias("_m"))
     near = near.withColumn("_better", better).filter(F.col("_better") < k).select("query", "rep", "score")
     members = rows.join(texts.select("text", "rep"), "text").select("rep", "id")
     members = members.withColumn("_n", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("_n") <= k).select("rep", "id")
+    return written(near, "near-texts"), written(members, "text-members")
+
+
+def text_top_k(query_counts: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(query, id, place): the best ``k`` of all ``docs`` by BM25, as ``top_k`` of ``bm25_scores`` has them, by ``text_groups``."""
+    near, members = text_groups(query_counts, docs, id_col, text_col, k)
     return top_k(near.join(members, "rep").select("query", "id", "score"), k).select("query", "id", "place")
 
 

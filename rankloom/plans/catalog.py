@@ -653,9 +653,8 @@ def _(spark, sf):
     """The later part's impressions over the fused pool of 100 + 100 with positives put in; all features."""
     _, fit, tune = parted(spark, sf)
     vecs = vectors(spark, sf).select("id", "vec")
-    rows = FT.fused_rows(tune, fit, articles(spark, sf), vecs)
     engagement = clicks(spark, sf).select("user_id", "read_time", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("read_time") / 2).alias("scroll"))
-    ft = FT.feature_table(rows, fit, articles(spark, sf), "val", vecs, engagement)
+    ft = FT.fused_features(tune, fit, articles(spark, sf), vecs, engagement)
     return ft.withColumns({c: F.round(c, 6) for c in (*ROUNDED, "hist_embed_sim", "user_avg_read_time", "user_avg_scroll_pct")})
 
 

@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(impression_id, user_id, ts, candidate_id, pos, label): orders as impressions, their parts as candidates, returned ones clicked."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("impression_id"), F.col("l_partkey").alias("candidate_id")).agg(
-        F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"), F.min("l_linenumber").alias("first_line")
-    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("impression_id"), F.col("l_partkey").alias("candidate_id"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_linenumber").alias("first_line"))
+    # dealt out by impression at once, so that neither the join nor the window deals them again
+    lines = lines.repartition("impression_id").groupBy("impression_id", "candidate_id").agg(F.max("label").alias("label"), F.min("first_line").alias("first_line"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("impression_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
     w = W.partitionBy("impression_id").orderBy("first_line", "candidate_id")
     return lines.join(orders, "impression_id").select("impression_id", "user_id", "ts", "candidate_id", (F.row_number().over(w) - 1).alias("pos"), "label")

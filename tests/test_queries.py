@@ -118,3 +118,31 @@ def test_a_request_scores_each_text_once_and_splits_once(spark, monkeypatch):
     assert found.count() > 0 and len(calls) == 1
     texts = spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct().count()
     assert 0 < scored[0] <= texts < spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_fused_rows_are_neither_shuffled_nor_written_before_the_result(spark, monkeypatch):
+    from rankloom.operators import features as FT
+    from rankloom.operators import retrieval as V
+    from rankloom.plans.catalog import articles, clicks, parted, vectors
+
+    kept, tables = [], []
+    for module in (FT, V):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: kept.append(name) or tables.append(f(df, name)) or tables[-1])
+    found = QUERIES["feature_table_fused"](spark, SF)
+    rows = found.count()
+    assert rows > 30_000
+    assert max(t.count() for t in tables) < rows / 2
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    text = plan[plan.index("AdaptiveSparkPlan") :]
+    assert text.count("Generate") == 1 and "Exchange" not in text[: text.index("Generate")].replace("BroadcastExchange", "")
+    # impressions with positives of their own, without clicks, and of users without history; few places, so lists are cut
+    _, fit, tune = parted(spark, SF)
+    events = clicks(spark, SF).selectExpr("user_id", "read_time", "read_time as scroll")
+    few = FT.fused_features(tune, fit, articles(spark, SF), vectors(spark, SF).select("id", "vec"), events, k=3)
+    pool = FT.fused_pool(tune.select("user_id").distinct(), FT.R.click_history(fit), articles(spark, SF), vectors(spark, SF).select("id", "vec"), k=3)
+    asked = tune.select("impression_id", "user_id").distinct()
+    clicked = tune.filter("label = 1").selectExpr("impression_id as query", "candidate_id as item").distinct()
+    want = FT.R.pool_with_positives(asked.withColumnRenamed("user_id", "query").join(pool, "query").selectExpr("impression_id as query", "item", "pos"), clicked)
+    got = sorted((r.impression_id, r.candidate_position, r.candidate_id) for r in few.collect())
+    assert got == sorted((r.query, r.pos, r.item) for r in want.collect()) and got
